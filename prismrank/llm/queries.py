@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import exactdedup, simhash
+from prismrank.llm import exactdedup, repeats, simhash
 from prismrank.llm._shared import table
 
 
@@ -18,8 +18,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.documents_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.documents_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash_near_dedup, op8_exact_dedup]
+    found = [op4_simhash_near_dedup, op8_exact_dedup, op9_repeated_passages]
     return {f.__name__: f for f in found}
 
 
