@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import exactdedup, repeats, simhash
+from prismrank.llm import exactdedup, repeats, simhash, warc
 from prismrank.llm._shared import table
 
 
@@ -22,10 +22,14 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.documents_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_digest(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash_near_dedup, op8_exact_dedup, op9_repeated_passages]
+    found = [op4_simhash_near_dedup, op8_exact_dedup, op9_repeated_passages, op10_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exactdedup.SQL}
+    return {"op8_exact_dedup": exactdedup.SQL, "op10_warc": warc.SQL}
