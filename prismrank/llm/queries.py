@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import exactdedup, repeats, simhash, warc
+from prismrank.llm import exactdedup, mixing, repeats, secretscan, simhash, topk, warc
 from prismrank.llm._shared import table
 
 
@@ -14,6 +14,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.documents_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.documents_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.documents_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embeddings_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.documents_digest(table(spark, sf_dir, "documents"))
 
@@ -27,9 +39,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash_near_dedup, op8_exact_dedup, op9_repeated_passages, op10_warc]
+    found = [op4_simhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_exact_top_k, op8_exact_dedup, op9_repeated_passages, op10_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exactdedup.SQL, "op10_warc": warc.SQL}
+    return {"op5_source_mixing": mixing.SQL, "op6_secret_scan": secretscan.SQL, "op7_exact_top_k": topk.SQL, "op8_exact_dedup": exactdedup.SQL, "op10_warc": warc.SQL}
