@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import exactdedup, mixing, repeats, secretscan, simhash, topk, warc
+from prismrank.llm import exactdedup, mixing, packing, repeats, secretscan, simhash, topk, warc
 from prismrank.llm._shared import table
 
 
+def op1_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.documents_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.documents_digest(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_exact_top_k, op8_exact_dedup, op9_repeated_passages, op10_warc]
+    found = [op1_nnls_packing, op4_simhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_exact_top_k, op8_exact_dedup, op9_repeated_passages, op10_warc]
     return {f.__name__: f for f in found}
 
 
