@@ -33,6 +33,8 @@ MAX_EPOCHS = 3
 SEED = 17
 #: Leading bits of the 60-bit hash that name a bucket.
 BUCKET_BITS = 12
+#: Sources (a row of a few numbers each) up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -76,6 +78,10 @@ def plan(docs: DataFrame, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
     ends = ends.groupBy(F.col("source")).agg(F.min(F.struct("bucket", (F.col("up_to") - F.col("words")).alias("filled"))).alias("end"))
     ends = ends.select(F.col("source").alias("__of"), F.col("end.bucket").alias("__end"), F.col("end.filled").alias("__filled"))
     known = targets.join(ends, F.col("source").eqNullSafe(F.col("__of")), "left").select(F.col("source").alias("__of"), "source_size", "target", "epochs", F.col("left_over").alias("__left"), "__end", "__filled")
+    # a table of sources is broadcast where it is small by count; a join by
+    # source would send a hot source's documents to one task
+    if sizes.select("source").distinct().count() <= BROADCAST_SOURCES:
+        known = F.broadcast(known)
     rows = docs.join(known, F.col("source").eqNullSafe(F.col("__of"))).withColumn("__bucket", bucket).drop("__of")
     inside = F.col("__end").isNotNull() & (F.col("__bucket") == F.col("__end"))
     clear = rows.filter(~inside).withColumn("extra", F.when(F.col("__end").isNull() | (F.col("__bucket") < F.col("__end")), F.col("size")).otherwise(0)).withColumn("before", F.lit(None).cast("long"))
