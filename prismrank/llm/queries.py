@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import exactdedup, langid, mixing, packing, repeats, secretscan, simhash, topk, warc
+from prismrank.llm import exactdedup, langid, mixing, packing, repeats, secretscan, simhash, topk, urlfilter, warc
 from prismrank.llm._shared import table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.documents_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.pages_digest(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.documents_digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_nnls_packing, op2_language_id, op4_simhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_exact_top_k, op8_exact_dedup, op9_repeated_passages, op10_warc]
+    found = [op1_nnls_packing, op2_language_id, op3_url_filter, op4_simhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_exact_top_k, op8_exact_dedup, op9_repeated_passages, op10_warc]
     return {f.__name__: f for f in found}
 
 
