@@ -37,7 +37,7 @@ from prismrank.llm._shared import materialize, only
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a Python worker keeps.
-CACHE = 400_000
+CACHE = 800_000
 DEPTH = 4
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
@@ -56,6 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.room = CACHE
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
@@ -63,9 +64,6 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, unseen: set[str]) -> None:
-        if len(self.words) + len(unseen) > CACHE:
-            self.words.clear()
-            self.cores.clear()
         split = {}
         for w in unseen:
             core, tail = w, ""
@@ -81,11 +79,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        unseen = set().union(*(w for w in split if w)) - self.words.keys()
-        if unseen:
+        words = set().union(*(w for w in split if w))
+        if len(self.words) + len(words) > self.room:
+            self.words.clear()
+            self.cores.clear()
+        if unseen := words - self.words.keys():
             self._learn(unseen)
-            if len(self.words) < len(unseen):  # cleared, so older words are unknown
-                self._learn(set().union(*(w for w in split if w)) - self.words.keys())
         known = self.words
         return [self._encode([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
 
