@@ -201,17 +201,6 @@ def simhash_groups(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """``docs``, with all its columns, with one row of each group: that with
-    the smallest doc_id (of several such rows one, by its text's hash)."""
-    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    groups = simhash_groups(docs, width, bits)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(number("doc_id").alias("__doc")).distinct()
-    near = docs.withColumn("__doc", number("doc_id")).join(first, "__doc", "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__doc").orderBy(F.xxhash64("text")))
-    return near.withColumn("__turn", turn).filter("__turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def documents_digest(docs: DataFrame) -> DataFrame:
     """The columns that ``op4_simhash_near_dedup`` returns."""
     return simhash_groups(docs, 4, 4).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
