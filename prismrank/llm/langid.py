@@ -12,7 +12,7 @@ of words gains more than one penalty by all its best other languages, no path
 with a switch can be better (each excursion pays one penalty at least).
 
 Training counts trigrams in a bounded number of documents per language (those
-with the smallest id hashes), in the map tasks; the model has one row per
+with small id hashes), in the map tasks; the model has one row per
 bucket and language, and its size does not depend on the data.
 
 Defined results: a null text, and a text without letters, has the language
@@ -28,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismrank.llm._shared import only
 
-#: Documents per language that a model is fitted on, at most.
+#: Documents per language that a model is fitted on (see ``fit``).
 TRAIN_DOCUMENTS = 2000
+RANGE = 1 << 40
 BUCKETS = 1 << 17
 SMOOTHING = 0.05
 #: In nats of trigram log-probability.
@@ -158,17 +159,18 @@ class Model:
 
 
 def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
-    """Fit on rows of ``docs`` (doc_id, text, lang) with no nulls, at most
-    ``documents`` per language (more only where id hashes are equal)."""
-    rows = only(docs, "doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id"))
-    order = Window.partitionBy("lang").orderBy("h")
-    first = rows.select("lang", "h").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= documents)
-    top = {r["lang"]: r["h"] for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    langs = sorted(top)
+    """Fit on rows of ``docs`` (doc_id, text, lang) with no nulls: all of a
+    language with up to ``documents`` of them, else a share by the hash of the
+    id that holds ``documents`` on average (so within a few of its roots)."""
+    rows = only(docs, "doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(have)
     if not langs:
         return Model([], np.zeros((0, BUCKETS + len(SCRIPTS) + 1)))
-    limit = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(top[lang]))])
-    counted = rows.filter(F.col("h") <= F.element_at(limit, F.col("lang"))).select("lang", "text").mapInArrow(_count, "lang string, k int, n long")
+    # the share of the hashes' range below which a language's documents are
+    shares = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, documents / have[lang]) * RANGE)))])
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(RANGE)) < F.element_at(shares, F.col("lang"))
+    counted = rows.filter(below).select("lang", "text").mapInArrow(_count, "lang string, k int, n long")
     counts = np.zeros((len(langs), BUCKETS + len(SCRIPTS) + 1))
     for r in counted.groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts[langs.index(r.lang), r.k] = r.n
