@@ -24,7 +24,9 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # ---- ids -----------------------------------------------------------------
 
 
+def _bytes(ids: list[int]) -> bytes:
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class Encoder:
     """Ids of texts as little-endian bytes.  White space separates whatever the
     tokenizer does, so words are encoded once and remembered; texts with
@@ -57,22 +66,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.room = CACHE
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of Latin letters.  Each is one word to the tokenizer and
+        ends with a token that ends a word, so many are encoded as one text."""
+        texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
+        for data in self._encode(texts):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4
+            at = 0
+            for cut in cuts.tolist():
+                yield data[at:cut]
+                at = cut
 
     def _learn(self, unseen: set[str]) -> None:
         split = {}
         for w in unseen:
             core, tail = w, ""
-            if w.isascii() and "<" not in w:
-                core = w.lower()  # a special token has a "<"
-                if len(core) > 1 and core[-1] in ".,;:!?" and core[-2].isalnum():
+            # the tokenizer lower-cases, and parts letters from punctuation; a
+            # special token has a "<", and beyond Latin marks may combine
+            if "<" not in w and (w.isascii() or max(w) < "\u0250"):
+                core = w.lower()
+                if len(core) > 1 and core[-1] in ".,;:!?" and core[-2].isalpha():
                     core, tail = core[:-1], core[-1]
             split[w] = core, tail
         new = list({x for pair in split.values() for x in pair if x and x not in self.cores})
+        plain = [x for x in new if x.isalpha() and (x.isascii() or max(x) < "\u0250")]
+        self.cores.update(zip(plain, self._encode_words(plain)))
+        new = [x for x in new if x not in self.cores]
         self.cores.update(zip(new, self._encode(new)))
         for w, (core, tail) in split.items():
             self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
