@@ -62,3 +62,13 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone: extra columns, however they are called, cannot
     clash with what an operator adds."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
+
+
+#: Rows of a few numbers up to which a table is sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table with narrow rows), marked for broadcast if its
+    count is within the bound; otherwise as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismrank.llm._shared import UPPER, only
+from prismrank.llm._shared import UPPER, broadcast_if_small, materialize, only
 
 #: Bytes of distinct content that one table holds before it flushes or spills.
 MEMORY_BYTES = 48 << 20
@@ -183,15 +183,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
-    """``docs``, with all its columns, without the rows that repeat a text."""
+    """``docs``, with all its columns, without the rows that repeat a text.
+    Rows that go are few against all; their keys are broadcast within a bound,
+    so that the texts of the others are not dealt out once more."""
     # a null id is held as the smallest number, so that the keys are plain
     number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    found = groups(docs, id_col, text_col, memory_bytes).select(number("keep_id").alias("__doc"), F.col("address").alias("__own"))
+    per = exact_dedup(docs, id_col, text_col, memory_bytes).groupBy(number("doc_id").alias("__doc"), F.col("address").alias("__own")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    # 0: no row of this id and text stays; 1: one of several does
+    marks = per.filter("NOT kept OR n > 1").select("__doc", "__own", F.col("kept").cast("int").alias("__mark"))
+    marks = broadcast_if_small(materialize(marks, "marks"))
     folded = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower())
-    keyed = docs.withColumn("__doc", number(id_col)).withColumn("__own", F.unhex(F.sha2(folded, 256)))
-    near = keyed.join(found, ["__doc", "__own"], "left_semi")
+    left = docs.withColumn("__doc", number(id_col)).withColumn("__own", F.unhex(F.sha2(folded, 256))).join(marks, ["__doc", "__own"], "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
     turn = F.row_number().over(Window.partitionBy("__doc", "__own").orderBy(F.lit(1)))
-    return near.withColumn("__turn", turn).filter("__turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = left.filter("__mark = 1").withColumn("__turn", turn).filter("__turn = 1")
+    return left.filter("__mark is null").select(*names).union(repeated.select(*names))
 
 
 def documents_digest(docs: DataFrame) -> DataFrame:
