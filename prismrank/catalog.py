@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prismrank.plans import retrieval_queries  # noqa: F401  registers
+from prismrank.plans import report_queries, retrieval_queries  # noqa: F401  register
 from prismrank.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,9 +6,11 @@ one distributed aggregation, and only C x C numbers reach the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,24 +118,30 @@ def apply_pca(pixels: DataFrame, state: Pca, channels: list[str], by: list[str]
 def image_pca(pixels: DataFrame, image: str, channels: list[str], components: int = 3, eps: float = 1e-6) -> DataFrame:
     """Components of each image on its own (covariance by P - 1), its
     projections min-max to [0, 1].  One image is one group."""
-    import pandas as pd
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[channels].to_numpy(float)
-        x = x - x.mean(0)
-        values, vectors = np.linalg.eigh(x.T @ x / max(len(x) - 1, 1))
-        w = vectors[:, np.argsort(values)[::-1][:components]]
-        w = w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])
-        p = x @ w
-        p = np.clip((p - p.min(0)) / (np.ptp(p, axis=0) + eps), 0, 1)
-        out = rows[[image, "pixel_id"]].copy()
-        for k in range(p.shape[1]):
-            out[f"pc{k + 1}"] = p[:, k]
-        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, out = [], [], []
+            for i, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.array([[r[c] for c in channels] for r in rows], float)
+                x = x - x.mean(0)
+                values, vectors = np.linalg.eigh(x.T @ x / max(len(x) - 1, 1))
+                w = vectors[:, np.argsort(values)[::-1][:components]]
+                w = w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])
+                p = x @ w
+                out.append(np.clip((p - p.min(0)) / (np.ptp(p, axis=0) + eps), 0, 1))
+                ids += [i] * len(rows)
+                keys += [r["pixel_id"] for r in rows]
+            if out:
+                p = np.concatenate(out)
+                kinds = batch.schema.field(0).type, batch.schema.field(1).type.value_type.field("pixel_id").type
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(keys, kinds[1]), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[image, "pixel_id", *(f"pc{k + 1}" for k in range(p.shape[1]))])
 
     kind = pixels.schema[image].dataType.simpleString(), pixels.schema["pixel_id"].dataType.simpleString()
     schema = f"{image} {kind[0]}, pixel_id {kind[1]}, " + ", ".join(f"pc{k + 1} double" for k in range(min(components, len(channels))))
-    return pixels.select(image, "pixel_id", *channels).groupBy(image).applyInPandas(one, schema)
+    # many images per Arrow batch: a group per image would cost a call each
+    rows = pixels.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("pixel_id", *channels))).alias("rows"))
+    return rows.mapInArrow(run, schema)
 
 
 def stretch(pixels: DataFrame, value: str, by: list[str] | None = None, low: float = 0.02, high: float = 0.98, eps: float = 1e-8, exact: bool = True) -> DataFrame:

@@ -54,14 +54,23 @@ def chi2_tail(x: float) -> float:
     return 1.0 if x <= 0 else math.erfc(math.sqrt(x / 2))
 
 
-@F.pandas_udf("double")
-def t_probability(t: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) or b < 2 else t_tail(a, b - 1) for a, b in zip(t, n)], dtype="float64")
+def t_probability(t: Column | str, n: Column | str) -> Column:
+    """Two-sided p of a t statistic of n pairs.  The function is made on use:
+    it needs a session, which workers that import this module do not have."""
 
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) or b < 2 else t_tail(a, b - 1) for a, b in zip(t, n)], dtype="float64")
 
-@F.pandas_udf("double")
-def chi2_probability(x: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) else chi2_tail(a) for a in x], dtype="float64")
+    return p(t, n)
+
+
+def chi2_probability(x: Column | str) -> Column:
+    @F.pandas_udf("double")
+    def p(x: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else chi2_tail(a) for a in x], dtype="float64")
+
+    return p(x)
 
 
 def finite(x: Column) -> Column:
