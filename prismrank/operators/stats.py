@@ -102,7 +102,7 @@ def paired_t_table(fold_rows: DataFrame, reference: str, metrics: list[str], lev
 def bonferroni(tests: DataFrame, p: str = "p_value") -> DataFrame:
     """min(p * number of tests, 1)."""
     n = F.broadcast(tests.agg(F.count(p).alias("__m")))
-    return tests.crossJoin(n).withColumn("p_bonferroni", F.least(F.col(p) * F.col("__m"), F.lit(1.0))).drop("__m")
+    return tests.crossJoin(n).withColumn("p_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("__m"), F.lit(1.0)))).drop("__m")
 
 
 def mcnemar(pairs: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
