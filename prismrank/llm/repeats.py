@@ -409,3 +409,23 @@ def documents_digest(docs: DataFrame) -> DataFrame:
     """The columns that ``op9_repeated_passages`` returns."""
     found = repeated_passages(docs)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+#: The same over all windows; a window stands for itself by 128 bits of hashes.
+SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, k, p, hash(s) AS h, hash(s, 1) AS g
+      FROM (SELECT rid, coalesce(doc_id, 9223372036854775807) AS k, p, array_slice(x, p + 1, p + 50) AS s FROM (SELECT *, unnest(range(n - 49)) AS p FROM d))),
+m AS (SELECT h, g, min(k) AS low FROM w GROUP BY h, g HAVING min(k) < max(k)),
+r AS (SELECT w.rid, w.p FROM w JOIN m ON w.h = m.h AND w.g = m.g AND w.k > m.low),
+o AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS run
+      FROM (SELECT rid, p, coalesce(p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 50, true)::INT AS fresh FROM r)),
+u AS (SELECT rid, run, min(p) AS a, max(p) + 50 AS b FROM o GROUP BY rid, run),
+c AS (SELECT rid, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+             string_agg(CASE WHEN a > before THEN hex(array_slice(x, before + 1, a)) ELSE '' END, '' ORDER BY a) AS kept
+      FROM (SELECT u.*, d.x, coalesce(lag(b) OVER (PARTITION BY u.rid ORDER BY a), 0) AS before FROM u JOIN d USING (rid)) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN last IS NULL THEN x ELSE unhex(kept || CASE WHEN last < n THEN hex(array_slice(x, last + 1, n)) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN c USING (rid)
+"""
