@@ -158,3 +158,38 @@ def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...]
     kind = queries.schema["query_label"].dataType.simpleString()
     schema = f"query_id long, query_label {kind}, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"hit_at_{k} int" for k in ks) + ", top1_gallery_id long, top1_score double"
     return queries.select("query_id", "query_label", "query_vec").mapInArrow(lambda it: _score(it, *box.value, ks, metric, block), schema)
+
+
+def _best(q: pa.Table, g: pa.Table, k: int, metric: str) -> pa.Table:
+    """The k best rows of a gallery shard for each query of a block."""
+    out: list[list[np.ndarray]] = [[], [], []]
+    if q.num_rows and g.num_rows:
+        a, b = (np.array(t[c].to_pylist(), dtype=np.float64) for t, c in ((q, "query_vec"), (g, "gallery_vec")))
+        if metric == "cosine":
+            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.NORM_FLOOR) for x in (a, b))
+        ids = g["gallery_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, b = ids[order], b[order]
+        for at in range(0, len(a), 256):
+            sim = a[at : at + 256] @ b.T
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            out[0].append(np.repeat(q["query_id"].to_numpy()[at : at + 256], best.shape[1]))
+            out[1].append(ids[best].reshape(-1))
+            out[2].append(np.take_along_axis(sim, best, 1).reshape(-1))
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in zip(out, kinds)], names=["query_id", "gallery_id", "sim"])
+
+
+def top_blocks(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "dot", shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+    """The same rows as ``top`` of ``pairs``, for a gallery of any size: blocks
+    of queries meet shards of the gallery, both of bounded size, as matrices;
+    only k rows per query and shard leave a task."""
+    n, m = gallery.count(), queries.count()
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
+    dealt = lambda c, pieces: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
+    each = lambda pieces: F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+    left = queries.select("query_id", V.doubles("query_vec").alias("query_vec"), dealt("query_id", blocks).alias("block"), each(shards).alias("shard"))
+    right = gallery.select("gallery_id", V.doubles("gallery_vec").alias("gallery_vec"), dealt("gallery_id", shards).alias("shard"), each(blocks).alias("block"))
+    keys = ["shard", "block"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _best(a, b, k, metric), "query_id long, gallery_id long, sim double")
+    return top(best, k)

@@ -51,6 +51,12 @@ def r1_top_10(spark: S, d: str) -> DataFrame:
     return r6(ranking.top(scored, 10).select("query_id", "gallery_id", "sim", "rank", "rel"))
 
 
+@query("SELECT query_id, gallery_id, round(sim, 6) AS sim, rank::INT AS rank FROM r WHERE rank <= 10", X.SQL_PAIRS)
+def r1_top_10_blocks(spark: S, d: str) -> DataFrame:
+    """R1, J1 by shards and blocks, for galleries of any size."""
+    return r6(ranking.top_blocks(X.query_side(spark, d), X.gallery_side(spark, d), 10))
+
+
 @query("SELECT query_label, count(*) AS num_queries, round(avg(hit_at_1) * 100, 6) AS r_at_1, round(avg(hit_at_10) * 100, 6) AS r_at_10, round(avg(ap) * 100, 6) AS map FROM q GROUP BY query_label", X.SQL_PAIRS)
 def r7_map_by_class(spark: S, d: str) -> DataFrame:
     """R7 by class."""
