@@ -1,8 +1,9 @@
 """Operator 10: a deterministic sharded WARC writer, and its reader.
 
 Records are range-sorted by key into shards.  The bounds of the shards are
-quantiles of the rows with the smallest key hashes (a bounded sample that does
-not depend on partitions or on the order of rows), so the same table always
+quantiles of the keys whose hashes are below a share of their range (a sample of
+about ten thousand keys that does not depend on partitions or on the order of
+rows), so the same table always
 gives the same files, byte for byte.  A task writes its shards one after the
 other; a shard rolls to its next file when the compressed size is reached.
 Headers, record ids and digests are regenerated from the content.  Files are
@@ -40,7 +41,9 @@ from prismrank.llm._shared import delete, materialize, scratch
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+#: Keys that bounds are chosen from, on average, where there are more.
 SAMPLE = 10_000
+RANGE = 1 << 40
 NAMESPACE = uuid.UUID("6f1c1a53-9a0f-5b52-8f0e-5d0a4a7a2b10")
 MANIFEST = "name string, shard int, records long, bytes long, sha256 string, first_key long, last_key long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -149,9 +152,11 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int =
     small = materialize(rows.select("page_id", "digest", F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size")), "digests")
     top = small.groupBy("digest").agg(F.max("page_id").alias("top"))
     meta = small.select("page_id", "digest").distinct().join(top, "digest")
-    total = small.agg(F.sum("size")).first()[0] or 0
+    total, n = small.agg(F.sum("size"), F.count("page_id")).first()
+    total = total or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    sample = sorted(r[0] for r in small.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect())
+    share = F.pmod(F.xxhash64("page_id"), F.lit(RANGE)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * RANGE))
+    sample = sorted(r[0] for r in small.select("page_id").filter(F.col("page_id").isNotNull() & share).collect())
     bounds = np.array(sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else [], np.int64)
 
     @F.pandas_udf("int")
