@@ -43,8 +43,9 @@ SWITCH_PENALTY = 14.0
 #: Share of a script's training letters from which a language is a candidate.
 LEAST_SHARE = 0.001
 UND = "und"
-#: Characters that are scored at once.
-CHUNK = 1 << 20
+#: Characters that are scored at once, and rows that are held as strings.
+CHUNK = 1 << 18
+ROWS = 1000
 
 # First and last code point of the ranges of scripts (Unicode).
 SCRIPTS = (
@@ -109,6 +110,12 @@ class Words:
 # ---- training ---------------------------------------------------------------
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     a = 0
     while a < len(texts):
@@ -123,7 +130,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     width = len(SCRIPTS) + 1
     held: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in _slices(batches):
         of: dict[str, list[str]] = {}
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
             of.setdefault(lang, []).append(text)
@@ -210,7 +217,7 @@ def label(s: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         texts = [t or "" for t in batch["text"].to_pylist()]
         lang, score, firsts, lasts, named = [], [], [], [], []
         for _, some in _chunks(texts):

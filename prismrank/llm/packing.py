@@ -24,6 +24,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -38,8 +39,8 @@ from prismrank.llm._shared import materialize, only
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a Python worker keeps.
-CACHE = 800_000
+#: Words whose ids a Python worker keeps, in each of two generations.
+CACHE = 100_000
 DEPTH = 4
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
@@ -59,7 +60,8 @@ class Encoder:
     tokenizer does, so words are encoded once and remembered; texts with
     separators on which Python and the tokenizer differ are encoded whole."""
 
-    ODD = "\x1c\x1d\x1e\x1f"
+    odd = staticmethod(re.compile("[\x1c-\x1f]").search)
+    general = staticmethod(re.compile("[\u0250-\U0010ffff]").search)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -70,7 +72,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,33 +88,49 @@ class Encoder:
                 yield data[at:cut]
                 at = cut
 
-    def _learn(self, unseen: set[str]) -> None:
-        split = {}
+    def _learn(self, unseen: set[str], latin: bool) -> None:
+        """``latin``: of texts of Latin letters without a special token's "<".
+        There the tokenizer lower-cases, and parts letters from punctuation;
+        elsewhere marks may combine, and a word is left to it as it is."""
+        known, new, later = self.words, set(), []
         for w in unseen:
-            core, tail = w, ""
-            # the tokenizer lower-cases, and parts letters from punctuation; a
-            # special token has a "<", and beyond Latin marks may combine
-            if "<" not in w and (w.isascii() or max(w) < "\u0250"):
+            core = w
+            if latin:
                 core = w.lower()
-                if len(core) > 1 and core[-1] in ".,;:!?" and core[-2].isalpha():
-                    core, tail = core[:-1], core[-1]
-            split[w] = core, tail
-        new = list({x for pair in split.values() for x in pair if x and x not in self.cores})
-        plain = [x for x in new if x.isalpha() and (x.isascii() or max(x) < "\u0250")]
-        self.cores.update(zip(plain, self._encode_words(plain)))
-        new = [x for x in new if x not in self.cores]
-        self.cores.update(zip(new, self._encode(new)))
-        for w, (core, tail) in split.items():
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+                last = core[-1]
+                if last in ".,;:!?" and core[-2:-1].isalpha():
+                    core = core[:-1]
+                    later.append((w, core, last))
+                    if last not in known:
+                        new.add(last)
+                elif core != w:
+                    later.append((w, core, ""))
+            if core not in known:
+                new.add(core)
+        plain = [x for x in new if latin and x.isalpha()]
+        known.update(zip(plain, self._encode_words(plain)))
+        rest = new.difference(known)
+        known.update(zip(rest, self._encode(list(rest))))
+        for w, core, tail in later:
+            known[w] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
-        words = set().union(*(w for w in split if w))
-        if len(self.words) + len(words) > self.room:
-            self.words.clear()
-            self.cores.clear()
-        if unseen := words - self.words.keys():
-            self._learn(unseen)
+        split = [None if self.odd(t) else t.split() for t in texts]
+        latin: set[str] = set()
+        other: set[str] = set()
+        for t, w in zip(texts, split):
+            if w:
+                plain = "<" not in t and (t.isascii() or not self.general(t))
+                (latin if plain else other).update(w)
+        if len(self.words) > self.room:  # words in use come over when they are met
+            self.words, self.older = {}, self.words
+        for words, kind in ((latin, True), (other, False)):
+            if unseen := words.difference(self.words):
+                older = self.older
+                met = [w for w in unseen if w in older]
+                self.words.update(zip(met, map(older.__getitem__, met)))
+                unseen.difference_update(met)
+                self._learn(unseen, kind)
         known = self.words
         return [self._encode([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
 

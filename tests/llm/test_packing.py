@@ -93,7 +93,7 @@ def test_words_give_the_ids_of_the_whole_text(text):
 
 def test_a_full_cache_starts_again():
     small = packing.Encoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    small.room = 6
+    small.room = 3
     for texts in (["a b c", "d a"], ["a e f g", "b"], ["a", "h i j k l m n o a"]):
         got = small.encode(texts)
         assert [np.frombuffer(g, "<u4").tolist() + [packing.END_ID] for g in got] == [ids_of(t) for t in texts]
