@@ -8,9 +8,11 @@ fingerprint has 1024 bits, 128 positional bytes:
 1. the inverted index has one posting per pair of neighbouring byte positions
    (128 postings of 16 bits per document); a pair at 0.8 shares any one of
    them with probability 0.07, and at least one with 0.999;
-2. inside a posting, members meet by their first 64 bits, and a posting emits
-   links of a spanning forest between members that are near by those bits, not
-   all pairs (small postings emit all that are near);
+2. inside a posting, members meet by their first 64 bits.  First, of every
+   eighth posting, large ones emit a spanning forest of the members that meet
+   (small ones all pairs); links that hold (3.) give first groups.  Then every
+   posting emits all pairs that meet across these groups, so a pair is left out
+   only if verified links connect it already;
 3. per distinct link, the shared positional bytes are tallied over all 128
    positions; links that reach the minimum are verified: those that differ in
    clearly fewer bits than pairs at 0.8 do are near duplicates, those that
@@ -18,7 +20,9 @@ fingerprint has 1024 bits, 128 positional bytes:
    themselves are compared (texts of these few are read again);
 4. components come from alternating stars; the smallest id of each stays.
 
-A group of equal or very near copies costs one link per member and posting.
+A group of equal or very near copies costs a few links per member.  Of texts
+that meet but are not near duplicates (a shared template) all pairs are
+verified, a number that grows with the square of their family.
 With many more documents than 10^8, use three bytes per posting (``key_bytes``)
 and more words.
 
@@ -51,6 +55,10 @@ SEED = 42
 MEET_BITS = 18
 #: Postings of up to so many members emit every pair that is near.
 SMALL = 8
+#: Of so many byte positions one has a posting for the first groups.
+FIRST_STEP = 8
+#: Pairs of members that are compared, and links that are held, at once.
+PAIRS = 1 << 20
 #: Standard errors of the differing bits below which a pair is surely near;
 #: above twice as many it surely is not.
 CLEAR = 1.75
@@ -100,17 +108,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, words: int) ->
         yield pa.RecordBatch.from_arrays([batch["uid"], batch["doc"], pa.array(a), pa.array(fps, pa.binary())], names=["uid", "doc", "a", "fp"])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], words: int, key_bytes: int) -> Iterator[pa.RecordBatch]:
-    n = words * 8
+def _postings(batches: Iterator[pa.RecordBatch], words: int, key_bytes: int, every: int = 1) -> Iterator[pa.RecordBatch]:
+    n, place = words * 8, np.arange(0, words * 8, every)
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
             fp = np.frombuffer(b"".join(some["fp"].to_pylist()), np.uint8).reshape(some.num_rows, words * 8).astype(np.int64)
-            key = np.broadcast_to(np.arange(n), (some.num_rows, n)).copy()
+            key = np.broadcast_to(place, (some.num_rows, len(place))).copy()
             for k in range(key_bytes):
-                key = key << 8 | np.roll(fp, -k, axis=1)
-            cols = [np.repeat(some[c].to_numpy(zero_copy_only=False), n) for c in ("uid", "a")]
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *map(pa.array, cols)], names=["posting", "uid", "a"])
+                key = key << 8 | fp[:, (place + k) % n]
+            cols = [np.repeat(some[c].to_numpy(zero_copy_only=False), len(place)) for c in ("uid", "label", "a")]
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *map(pa.array, cols)], names=["posting", "uid", "label", "a"])
 
 
 def near_forest(uid: np.ndarray, a: np.ndarray, bits: int, out: list) -> None:
@@ -143,25 +151,54 @@ def near_forest(uid: np.ndarray, a: np.ndarray, bits: int, out: list) -> None:
             front, unseen = unseen[got], unseen[~got]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, uid, a = (np.concatenate(c) for c in zip(*held))
+def across(uid: np.ndarray, label: np.ndarray, a: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of members with different labels whose 64 bits differ in at
+    most ``bits``."""
+    order = np.argsort(label, kind="stable")
+    uid, label, a = uid[order], label[order], a[order]
+    begin = 0
+    for end in (np.flatnonzero(label[1:] != label[:-1]) + 1).tolist():
+        step = max(1, PAIRS // (len(uid) - end))
+        for k in range(begin, end, step):
+            i, j = np.nonzero(np.bitwise_count(a[k : min(k + step, end), None] ^ a[None, end:]) <= bits)
+            yield uid[k + i], uid[end + j]
+        begin = end
+
+
+def _meet(batches: Iterator[pa.RecordBatch], bits: int, forest: bool) -> Iterator[pa.RecordBatch]:
+    def links(held: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, uid, label, a = (np.concatenate(c) for c in zip(*held))
         a = a.view(np.uint64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         for d in range(1, SMALL):  # small postings together, by distance
             i = np.concatenate([starts[(sizes > d + k) & (sizes <= SMALL)] + k for k in range(SMALL - d)])
-            near = np.bitwise_count(a[i] ^ a[i + d]) <= bits
-            found.append((uid[i[near]], uid[i[near] + d]))
+            near = (np.bitwise_count(a[i] ^ a[i + d]) <= bits) & (label[i] != label[i + d])
+            yield uid[i[near]], uid[i[near] + d]
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            near_forest(uid[s : s + n], a[s : s + n], bits, found)
-        u, v = (np.concatenate(c) for c in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+            x = slice(s, s + n)
+            if forest:
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+                near_forest(uid[x], a[x], bits, found)
+                yield from found
+            else:
+                yield from across(uid[x], label[x], a[x], bits)
+
+    def out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ready: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for more in links(held):
+            ready.append(more)
+            n += len(more[0])
+            if n >= PAIRS:
+                yield _ordered(ready)
+                ready, n = [], 0
+        if ready:
+            yield _ordered(ready)
 
     wait: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
         if not batch.num_rows:
             continue
         last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -174,6 +211,11 @@ def _meet(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield from out(wait)
 
 
+def _ordered(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, v = (np.concatenate(c) for c in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+
 def most_differing(similarity: float, words: int = WORDS, errors: float = 0.0) -> int:
     """Differing bits of pairs of equally large sets at a Jaccard similarity,
     and so many standard errors more."""
@@ -215,23 +257,32 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, similarity: float
     rows = docs.select(uid.alias("uid"), doc.alias("doc"), "text").mapInArrow(lambda it: _fingerprints(it, width, words), ROWS)
     rows = materialize(rows, "wide")
     one = rows.select("uid", "a", "fp").dropDuplicates(["uid"])
-    postings = one.mapInArrow(lambda it: _postings(it, words, key_bytes), "posting long, uid long, a long")
-    links = postings.repartition("posting").sortWithinPartitions("posting").mapInArrow(lambda it: _meet(it, MEET_BITS), "u long, v long").distinct()
-    fps = one.select("uid", "fp")
-    ends = links.join(fps.toDF("u", "fu"), "u").join(fps.toDF("v", "fv"), "v").select("u", "v", "fu", "fv")
     sure, bits = most_differing(similarity, words, -CLEAR), most_differing(similarity, words, 2 * CLEAR)
     # a byte is shared if none of its bits differs: half of what is expected
     least = int(words * 8 * (1 - bits / (64 * words)) ** 8 / 2)
-    tallied = materialize(ends.mapInArrow(lambda it: _tally(it, words, bits, least), "u long, v long, far int"), "links")
-    unsure = tallied.filter(F.col("far") > sure).select("u", "v")
-    asked = unsure.select(F.col("u").alias("uid")).union(unsure.select("v")).distinct()
-    asked = broadcast_if_small(materialize(asked, "asked"))
-    texts = docs.select(uid.alias("uid"), "text").join(asked, "uid", "left_semi")
-    sets = materialize(texts.mapInArrow(lambda it: _sets(it, width), "uid long, shingles binary").dropDuplicates(["uid"]), "shingles")
-    pairs = unsure.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
-    compared = pairs.select("u", "v", "su", "sv").mapInArrow(lambda it: _compare(it, similarity), "u long, v long")
-    verified = tallied.filter(F.col("far") <= sure).select("u", "v").union(compared)
-    roots = components(verified)
+    fps = one.select("uid", "fp")
+
+    def links(labelled: DataFrame, forest: bool) -> DataFrame:
+        every = FIRST_STEP if forest else 1
+        postings = labelled.mapInArrow(lambda it: _postings(it, words, key_bytes, every), "posting long, uid long, label long, a long")
+        return postings.repartition("posting").sortWithinPartitions("posting").mapInArrow(lambda it: _meet(it, MEET_BITS, forest), "u long, v long").distinct()
+
+    def verified(links: DataFrame) -> DataFrame:
+        ends = links.join(fps.toDF("u", "fu"), "u").join(fps.toDF("v", "fv"), "v").select("u", "v", "fu", "fv")
+        tallied = materialize(ends.mapInArrow(lambda it: _tally(it, words, bits, least), "u long, v long, far int"), "links")
+        unsure = tallied.filter(F.col("far") > sure).select("u", "v")
+        asked = unsure.select(F.col("u").alias("uid")).union(unsure.select("v")).distinct()
+        asked = broadcast_if_small(materialize(asked, "asked"))
+        texts = docs.select(uid.alias("uid"), "text").join(asked, "uid", "left_semi")
+        sets = materialize(texts.mapInArrow(lambda it: _sets(it, width), "uid long, shingles binary").dropDuplicates(["uid"]), "shingles")
+        pairs = unsure.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+        compared = pairs.select("u", "v", "su", "sv").mapInArrow(lambda it: _compare(it, similarity), "u long, v long")
+        return materialize(tallied.filter(F.col("far") <= sure).select("u", "v").union(compared), "verified")
+
+    first = verified(links(one.withColumn("label", F.col("uid")), True))
+    groups = broadcast_if_small(materialize(components(first).toDF("uid", "root"), "groups"))
+    labelled = one.join(groups, "uid", "left").withColumn("label", F.coalesce("root", "uid"))
+    roots = components(first.union(verified(links(labelled, False))))
     member = rows.select("uid", "doc").join(roots.toDF("uid", "root"), "uid")
     low = member.groupBy("root").agg(F.min(F.struct("doc", "uid")).alias("low"))
     gone = member.join(low, "root").filter((F.col("doc") != F.col("low.doc")) | (F.col("uid") != F.col("low.uid"))).select(F.col("uid").alias("__uid"), F.col("doc").alias("__doc")).distinct()

@@ -77,3 +77,40 @@ def test_cases(spark):
     assert sorted((r.doc_id for r in nearstage.keep_representatives(docs).collect()), key=str) == sorted([1, 3, 4, 5, None], key=str)
     assert nearstage.keep_representatives(docs.limit(0)).count() == 0
     assert nearstage.most_differing(0.8) == pytest.approx(155, abs=1)
+
+
+def brute_force(texts, least=0.8):
+    """Ids (places) that stay: the smallest of each component."""
+    root = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            both = len(a & b)
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_near_copies_inside_a_templated_family(spark):
+    rng = random.Random(11)
+    words = ["w%d" % i for i in range(5000)]
+    template = [rng.choice(words) for _ in range(250)]
+    texts = []
+    for i in range(600):  # all at about 0.7 of one another, every third with a near copy
+        base = template + [rng.choice(words) for _ in range(50)]
+        texts.append(" ".join(base))
+        if i % 3 == 0:
+            texts.append(" ".join(edited(rng, base, 5)))
+    rng.shuffle(texts)
+    left = brute_force(texts)
+    assert 0.6 < jaccard(texts[left[0]], texts[left[1]]) < 0.75 and len(left) < len(texts) - 150
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in nearstage.keep_representatives(docs).collect()) == left
