@@ -1,4 +1,5 @@
-"""Near-duplicate stage: wide SimHash over a byte-position inverted index.
+"""Near-duplicate stage: wide SimHash over a byte-position inverted index, and
+an exact search for short texts.
 
 Documents are near duplicates at a Jaccard similarity of 0.8 or more of their
 five-word shingles.  Of 64 bits, pairs at that similarity differ in about ten,
@@ -14,12 +15,16 @@ fingerprint has 1024 bits, 128 positional bytes:
    posting emits all pairs that meet across these groups, so a pair is left out
    only if verified links connect it already;
 3. per distinct link, the shared positional bytes are tallied over all 128
-   positions; links that reach the minimum are verified: those that differ in
-   clearly fewer bits than pairs at 0.8 do are near duplicates, those that
-   differ in clearly more are not, and for those between the shingles
-   themselves are compared (texts of these few are read again);
+   positions; links that reach the minimum and do not differ in clearly more
+   bits than pairs at 0.8 do are verified: the shingles themselves are compared
+   (texts of these are read again);
 4. components come from alternating stars; the smallest id of each stays.
 
+The bits of few shingles say little, so pairs with a set of up to ``SHORT``
+shingles are not searched by bits: sets have a posting for each of the first
+hashes of which near sets must share one (the prefix filter), and meet unless
+bitmaps of their hashes prove that they differ in too many.  Both are lossless.
+
 A group of equal or very near copies costs a few links per member.  Of texts
 that meet but are not near duplicates (a shared template) all pairs are
 verified, a number that grows with the square of their family.
@@ -59,10 +64,15 @@ SMALL = 8
 FIRST_STEP = 8
 #: Pairs of members that are compared, and links that are held, at once.
 PAIRS = 1 << 20
-#: Standard errors of the differing bits below which a pair is surely near;
-#: above twice as many it surely is not.
-CLEAR = 1.75
-ROWS = "uid long, doc long, a long, fp binary"
+#: Half the standard errors of the differing bits above which a pair surely is
+#: not near.
+CLEAR = 2.5
+#: Shingles of a set up to which its pairs are searched without loss; above,
+#: pairs at 0.8 differ in at most two bits of 1024 more than large sets.
+SHORT = 64
+#: First hashes of short sets that have a posting for the first groups.
+FIRST_HASHES = 4
+ROWS = "uid long, doc long, a long, fp binary, n int, short binary"
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -101,11 +111,14 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, words: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``short``: the hashes of sets of up to ``most``, null for others."""
     for batch in _slices(batches):
-        fps = [wide_fingerprint(shingle_hashes(fold(t.as_py()).split(), width), words) for t in batch["text"]]
+        sets = [shingle_hashes(fold(t.as_py()).split(), width) for t in batch["text"]]
+        fps = [wide_fingerprint(h, words) for h in sets]
         a = np.frombuffer(b"".join(f[:8] for f in fps), "<i8")
-        yield pa.RecordBatch.from_arrays([batch["uid"], batch["doc"], pa.array(a), pa.array(fps, pa.binary())], names=["uid", "doc", "a", "fp"])
+        n, short = pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() if len(h) <= most else None for h in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["uid"], batch["doc"], pa.array(a), pa.array(fps, pa.binary()), n, short], names=["uid", "doc", "a", "fp", "n", "short"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch], words: int, key_bytes: int, every: int = 1) -> Iterator[pa.RecordBatch]:
@@ -121,14 +134,43 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, key_bytes: int, eve
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *map(pa.array, cols)], names=["posting", "uid", "label", "a"])
 
 
-def near_forest(uid: np.ndarray, a: np.ndarray, bits: int, out: list) -> None:
-    """Links between members whose 64 bits differ in at most ``bits``: all of
+def _short_postings(batches: Iterator[pa.RecordBatch], similarity: float, first: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Two sets that are near share one of the first n - ceil(n * similarity)
+    + 1 hashes of each; sets without hashes have the posting 0."""
+    for batch in _slices(batches):
+        keys, times, bits = [], [], np.zeros((batch.num_rows, 256), np.uint8)
+        for k, x in enumerate(batch["short"]):
+            h = np.frombuffer(x.as_py(), np.uint64)
+            bits[k, (h & np.uint64(255)).astype(np.int64)] = 1
+            prefix = h[: len(h) - int(np.ceil(len(h) * similarity - 1e-9)) + 1][:first] if len(h) else np.zeros(1, np.uint64)
+            keys.append(prefix)
+            times.append(len(prefix))
+        if not keys:
+            continue
+        bitmap = np.packbits(bits, axis=1).view(np.int64)
+        cols = [batch["uid"].to_numpy(), batch["label"].to_numpy(), *bitmap.T, batch["n"].to_numpy().astype(np.int64)]
+        arrays = [np.concatenate(keys).view(np.int64), *(np.repeat(c, times) for c in cols)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, arrays)], names=["posting", "uid", "label", "s0", "s1", "s2", "s3", "n"])
+
+
+def _excess(x: np.ndarray, y: np.ndarray, most: int | float) -> np.ndarray:
+    """By how much members differ too much to meet.  ``most``: bits of 64, or,
+    for rows of a bitmap and the set's size, a similarity: each bit that
+    differs is a hash that only one of the sets has."""
+    if isinstance(most, int):
+        return np.bitwise_count(x ^ y).astype(np.int16) - most
+    far = np.bitwise_count(x[..., :-1] ^ y[..., :-1]).sum(-1, dtype=np.int16)
+    return far * (1 + most) - (1 - most) * (x[..., -1] + y[..., -1]).astype(np.int64) - 1e-6
+
+
+def near_forest(uid: np.ndarray, a: np.ndarray, bits: int | float, out: list) -> None:
+    """Links between members that meet (see ``_excess`` for ``bits``): all of
     them for a few members, else those of a breadth-first forest, each between
     two members that are near themselves."""
     n = len(uid)
     if n <= SMALL:
         i, j = np.triu_indices(n, 1)
-        near = np.bitwise_count(a[i] ^ a[j]) <= bits
+        near = _excess(a[i], a[j], bits) <= 0
         out.append((uid[i[near]], uid[j[near]]))
         return
     unseen = np.argsort(uid, kind="stable")
@@ -136,14 +178,14 @@ def near_forest(uid: np.ndarray, a: np.ndarray, bits: int, out: list) -> None:
         front, unseen = unseen[:1], unseen[1:]
         while len(front) and len(unseen):
             parent = np.full(len(unseen), -1)
-            step = max(1, (1 << 20) // len(unseen))
+            step = max(1, PAIRS // (len(unseen) * a[0].size))
             for k in range(0, len(front), step):
                 open_ = np.flatnonzero(parent < 0)
                 if not len(open_):
                     break
                 f, u = front[k : k + step, None], unseen[None, open_]
-                far = np.bitwise_count(a[f] ^ a[u])
-                near = far <= bits
+                far = _excess(a[f], a[u], bits)
+                near = far <= 0
                 hit = near.any(0)
                 parent[open_[hit]] = front[k : k + step][far[:, hit].argmin(0)]
             got = parent >= 0
@@ -151,29 +193,28 @@ def near_forest(uid: np.ndarray, a: np.ndarray, bits: int, out: list) -> None:
             front, unseen = unseen[got], unseen[~got]
 
 
-def across(uid: np.ndarray, label: np.ndarray, a: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of members with different labels whose 64 bits differ in at
-    most ``bits``."""
+def across(uid: np.ndarray, label: np.ndarray, a: np.ndarray, bits: int | float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of members with different labels that meet."""
     order = np.argsort(label, kind="stable")
     uid, label, a = uid[order], label[order], a[order]
     begin = 0
     for end in (np.flatnonzero(label[1:] != label[:-1]) + 1).tolist():
-        step = max(1, PAIRS // (len(uid) - end))
+        step = max(1, PAIRS // ((len(uid) - end) * a[0].size))
         for k in range(begin, end, step):
-            i, j = np.nonzero(np.bitwise_count(a[k : min(k + step, end), None] ^ a[None, end:]) <= bits)
+            i, j = np.nonzero(_excess(a[k : min(k + step, end), None], a[None, end:], bits) <= 0)
             yield uid[k + i], uid[end + j]
         begin = end
 
 
-def _meet(batches: Iterator[pa.RecordBatch], bits: int, forest: bool) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], bits: int | float, forest: bool) -> Iterator[pa.RecordBatch]:
     def links(held: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, uid, label, a = (np.concatenate(c) for c in zip(*held))
-        a = a.view(np.uint64)
+        key, uid, label, *a = (np.concatenate(c) for c in zip(*held))
+        a = (a[0] if len(a) == 1 else np.stack(a, 1)).view(np.uint64)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         for d in range(1, SMALL):  # small postings together, by distance
             i = np.concatenate([starts[(sizes > d + k) & (sizes <= SMALL)] + k for k in range(SMALL - d)])
-            near = (np.bitwise_count(a[i] ^ a[i + d]) <= bits) & (label[i] != label[i + d])
+            near = (_excess(a[i], a[i + d], bits) <= 0) & (label[i] != label[i + d])
             yield uid[i[near]], uid[i[near] + d]
         for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             x = slice(s, s + n)
@@ -198,7 +239,7 @@ def _meet(batches: Iterator[pa.RecordBatch], bits: int, forest: bool) -> Iterato
 
     wait: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(batch.num_columns)]
         if not batch.num_rows:
             continue
         last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -229,7 +270,7 @@ def _tally(batches: Iterator[pa.RecordBatch], words: int, bits: int, least: int)
         near = (x == y).sum(1) >= least
         far = np.bitwise_count(x ^ y).sum(1, dtype=np.int32)
         keep = pa.array(near & (far <= bits))
-        yield pa.RecordBatch.from_arrays([batch["u"].filter(keep), batch["v"].filter(keep), pa.array(far).filter(keep)], names=["u", "v", "far"])
+        yield pa.RecordBatch.from_arrays([batch["u"].filter(keep), batch["v"].filter(keep)], names=["u", "v"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -253,31 +294,39 @@ def keep_representatives(docs: DataFrame, width: int = WIDTH, similarity: float
     """``docs`` (doc_id, text and any others) without the rows that have a near
     duplicate with a smaller id in their group."""
     last = (1 << 63) - 1
+    most = int(SHORT / similarity + 1e-9)  # the largest set that is near one of SHORT
     doc, uid = F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), F.xxhash64("doc_id", "text")
-    rows = docs.select(uid.alias("uid"), doc.alias("doc"), "text").mapInArrow(lambda it: _fingerprints(it, width, words), ROWS)
+    rows = docs.select(uid.alias("uid"), doc.alias("doc"), "text").mapInArrow(lambda it: _fingerprints(it, width, words, most), ROWS)
     rows = materialize(rows, "wide")
-    one = rows.select("uid", "a", "fp").dropDuplicates(["uid"])
-    sure, bits = most_differing(similarity, words, -CLEAR), most_differing(similarity, words, 2 * CLEAR)
+    one = rows.select("uid", "a", "fp", "n", "short").dropDuplicates(["uid"])
+    bits = most_differing(similarity, words, 2 * CLEAR)
     # a byte is shared if none of its bits differs: half of what is expected
     least = int(words * 8 * (1 - bits / (64 * words)) ** 8 / 2)
     fps = one.select("uid", "fp")
 
+    def met(postings: DataFrame, bits: int | float, forest: bool) -> DataFrame:
+        return postings.repartition("posting").sortWithinPartitions("posting").mapInArrow(lambda it: _meet(it, bits, forest), "u long, v long").distinct()
+
     def links(labelled: DataFrame, forest: bool) -> DataFrame:
-        every = FIRST_STEP if forest else 1
-        postings = labelled.mapInArrow(lambda it: _postings(it, words, key_bytes, every), "posting long, uid long, label long, a long")
-        return postings.repartition("posting").sortWithinPartitions("posting").mapInArrow(lambda it: _meet(it, MEET_BITS, forest), "u long, v long").distinct()
+        every, first = (FIRST_STEP, FIRST_HASHES) if forest else (1, None)
+        large = labelled.filter(F.col("n") > SHORT).select("uid", "label", "a", "fp")
+        postings = large.mapInArrow(lambda it: _postings(it, words, key_bytes, every), "posting long, uid long, label long, a long")
+        ends = met(postings, MEET_BITS, forest).join(fps.toDF("u", "fu"), "u").join(fps.toDF("v", "fv"), "v").select("u", "v", "fu", "fv")
+        tallied = ends.mapInArrow(lambda it: _tally(it, words, bits, least), "u long, v long")
+        short = labelled.filter("short is not null").select("uid", "label", "n", "short")
+        kinds = "posting long, uid long, label long, s0 long, s1 long, s2 long, s3 long, n long"
+        postings = short.mapInArrow(lambda it: _short_postings(it, similarity, first), kinds)
+        return tallied.union(met(postings, float(similarity), forest)).distinct()
 
     def verified(links: DataFrame) -> DataFrame:
-        ends = links.join(fps.toDF("u", "fu"), "u").join(fps.toDF("v", "fv"), "v").select("u", "v", "fu", "fv")
-        tallied = materialize(ends.mapInArrow(lambda it: _tally(it, words, bits, least), "u long, v long, far int"), "links")
-        unsure = tallied.filter(F.col("far") > sure).select("u", "v")
-        asked = unsure.select(F.col("u").alias("uid")).union(unsure.select("v")).distinct()
+        links = materialize(links, "links")
+        asked = links.select(F.col("u").alias("uid")).union(links.select("v")).distinct()
         asked = broadcast_if_small(materialize(asked, "asked"))
         texts = docs.select(uid.alias("uid"), "text").join(asked, "uid", "left_semi")
         sets = materialize(texts.mapInArrow(lambda it: _sets(it, width), "uid long, shingles binary").dropDuplicates(["uid"]), "shingles")
-        pairs = unsure.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+        pairs = links.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
         compared = pairs.select("u", "v", "su", "sv").mapInArrow(lambda it: _compare(it, similarity), "u long, v long")
-        return materialize(tallied.filter(F.col("far") <= sure).select("u", "v").union(compared), "verified")
+        return materialize(compared, "verified")
 
     first = verified(links(one.withColumn("label", F.col("uid")), True))
     groups = broadcast_if_small(materialize(components(first).toDF("uid", "root"), "groups"))

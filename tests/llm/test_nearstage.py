@@ -114,3 +114,16 @@ def test_near_copies_inside_a_templated_family(spark):
     assert 0.6 < jaccard(texts[left[0]], texts[left[1]]) < 0.75 and len(left) < len(texts) - 150
     docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in nearstage.keep_representatives(docs).collect()) == left
+
+
+def test_short_texts_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(3000)]
+    texts = []
+    for i in range(700):
+        base = [rng.choice(words) for _ in range(rng.randint(6, 60) if i % 2 else rng.choice((8, 9, 12, 13)))]
+        last = base[:-1] + ["other"]  # 12 words: 7 of 9 shingles in common, not near
+        texts += [" ".join(x) for x in (base, last, [*base, "more"], edited(rng, base, 1))[: rng.randint(1, 4)]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in nearstage.keep_representatives(docs).collect()) == brute_force(texts)
