@@ -198,3 +198,10 @@ def test_registered_queries_have_names_and_sql(spark):
     assert set(o) <= set(q) and len(q) >= 90
     assert e.entry(spark).count() == 1
     assert V.NORM_FLOOR > 0
+
+
+def test_registered_cross_validation_has_all_folds(spark):
+    from prismrank.plans import report_queries
+
+    rows = report_queries.r17_cross_validation(spark, "/root/testdata/sf0.001").collect()
+    assert {r.method: r.num_folds for r in rows} == {"mean": 5, "affinity": 5, "full": 5}
