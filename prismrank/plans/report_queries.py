@@ -230,19 +230,19 @@ def _paired_orders(spark: S, d: str) -> DataFrame:
 @query(None)
 def t4_bootstrap(spark: S, d: str) -> DataFrame:
     """T-4 (seeded resampling: tests)."""
-    return r6(stats.bootstrap(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=200))
+    return r6(stats.bootstrap(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=1000))
 
 
 @query(None)
 def t4_poisson_bootstrap(spark: S, d: str) -> DataFrame:
     """T-4 for groups of any size."""
-    return r6(stats.poisson_bootstrap(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=30))
+    return r6(stats.poisson_bootstrap(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=1000))
 
 
 @query(None)
 def t6_permutation(spark: S, d: str) -> DataFrame:
     """T-6 (seeded: tests)."""
-    return r6(stats.permutation(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=200))
+    return r6(stats.permutation(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=1000))
 
 
 @query("SELECT 'all' AS method, query_label, count(DISTINCT query_id % 2) AS num_folds, count(*) AS num_queries, round(avg(ap * 100), 6) AS map_mean, round(coalesce(stddev_samp(ap * 100), 0), 6) AS map_std, round(avg(hit_at_1 * 100), 6) AS r_at_1_mean, round(coalesce(stddev_samp(hit_at_1 * 100), 0), 6) AS r_at_1_std FROM q GROUP BY query_label", X.SQL_PAIRS)

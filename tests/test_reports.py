@@ -205,3 +205,19 @@ def test_registered_cross_validation_has_all_folds(spark):
 
     rows = report_queries.r17_cross_validation(spark, "/root/testdata/sf0.001").collect()
     assert {r.method: r.num_folds for r in rows} == {"mean": 5, "affinity": 5, "full": 5}
+
+
+def test_registered_resampling_has_1000_rounds(spark, monkeypatch):
+    from prismrank.plans import report_queries
+
+    seen = {}
+    for name in ("bootstrap", "poisson_bootstrap", "permutation"):
+
+        def spy(*args, name=name, call=getattr(stats, name), **kw):
+            seen[name] = kw.get("rounds")
+            return call(*args, **kw)
+
+        monkeypatch.setattr(stats, name, spy)
+    for name in ("t4_bootstrap", "t4_poisson_bootstrap", "t6_permutation"):
+        assert getattr(report_queries, name)(spark, "/root/testdata/sf0.001").count() == 3
+    assert seen == {"bootstrap": 1000, "poisson_bootstrap": 1000, "permutation": 1000}
