@@ -40,7 +40,7 @@ BUCKETS = 1 << 17
 SMOOTHING = 0.05
 #: In nats of trigram log-probability.
 SWITCH_PENALTY = 14.0
-#: Share of a script's training letters from which a language is a candidate.
+#: Share of a language's training letters from which it is a candidate in a script.
 LEAST_SHARE = 0.001
 UND = "und"
 #: Characters that are scored at once, and rows that are held as strings.
@@ -152,9 +152,9 @@ class Model:
         grams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
         total = grams.sum(1, keepdims=True)
         self.log = np.ascontiguousarray(np.log((grams + SMOOTHING) / (total + SMOOTHING * BUCKETS)).T.astype(np.float32))
-        allowed = scripts >= LEAST_SHARE * np.maximum(scripts.sum(0), 1)
+        allowed = scripts >= LEAST_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
         allowed &= scripts > 0
-        allowed[:, ~allowed.any(0)] = True  # a script that was never seen
+        allowed[:, ~allowed.any(0)] = True  # a script that was never seen, or only strayed into
         self.barred = np.where(allowed.T, 0.0, -1e4)
 
     def scores(self, w: Words) -> np.ndarray:

@@ -66,3 +66,13 @@ def test_empty(spark):
     assert langid.documents_digest(empty).count() == 0
     unlabelled = spark.createDataFrame([(1, "words", None, "", 1)], SCHEMA)
     assert [r.lang_pred for r in langid.documents_digest(unlabelled).collect()] == ["und"]
+
+
+def test_rare_language_of_a_shared_script(spark):
+    rng = random.Random(5)
+    rows = [(i, text(rng, lang, 80), lang, "", 0) for i, lang in enumerate(["en", "fr"] * 500)]
+    rare = ["kwyjibo zorgul wexxik tazdoq yukkov pluzzik " * 2, "zorgul yukkov kwyjibo qaddoz wexxik tazdoq " * 2]
+    rows += [(2000 + i, t, "xx", "", 0) for i, t in enumerate(rare)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, langid.fit(docs)).filter("doc_id >= 2000").collect()}
+    assert got == {2000: "xx", 2001: "xx"}
