@@ -17,6 +17,9 @@ The plan says, for each class, which of its pieces (by rank) go to which
 sequence and slot.  Ranks are made without gathering a class: pieces are
 numbered inside (class, salt) groups, and the groups' offsets are added.
 
+Sequences are padded to the window by whoever writes them; the result has no
+row for padding.  A sequence never exceeds the window.
+
 Defined results: a null text is empty, an empty text is the end id alone; null
 ids and repeated rows are documents like any other; an empty table gives an
 empty result; further columns are ignored.
@@ -24,10 +27,9 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,107 +37,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismrank.llm._shared import materialize, only
+from prismrank.llm._shared import materialize, only, release_memory
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a Python worker keeps, in each of two generations.
-CACHE = 100_000
+#: Characters of text from which no further text is encoded together.
+TOGETHER = 4_000_000
 DEPTH = 4
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
 # ---- ids -----------------------------------------------------------------
 
-
-def _bytes(ids: list[int]) -> bytes:
-    held = array("I", ids)
-    if sys.byteorder == "big":
-        held.byteswap()
-    return held.tobytes()
+#: Kinds of bytes: white space, a-z, ASCII punctuation but apostrophes (which
+#: may begin a contraction), all others.
+_SPACE, _LETTER, _MARK, _REST = range(4)
+_KIND = np.full(256, _REST, np.uint8)
+_KIND[list(b"\t\n\x0b\x0c\r ")] = _SPACE
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KIND[list(b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")] = _MARK
+
+
+def unit_starts(data: bytes, latin: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes stand in a unit, and which begin one.  Units are parted by
+    white space and, in lower-cased Latin texts, before punctuation that follows
+    a letter (a-z, or U+00DF to U+00FF); the tokenizer parts them there too."""
+    x = np.frombuffer(data, np.uint8)
+    kind = _KIND[x]
+    inside = kind != _SPACE
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    if latin:
+        letter = kind == _LETTER
+        letter[1:] |= (x[:-1] == 0xC3) & (x[1:] != 0x97) & (x[1:] != 0xB7)
+        new[1:] |= (kind[1:] == _MARK) & letter[:-1]
+    return inside, new
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes.  White space separates whatever the
-    tokenizer does, so words are encoded once and remembered; texts with
-    separators on which Python and the tokenizer differ are encoded whole."""
+    """Ids of texts.  The texts of a call are cut into units that the tokenizer
+    treats alone; every distinct unit is encoded once, and the ids of all units
+    are gathered from there.  Nothing is kept between calls but the tokenizer."""
 
-    odd = staticmethod(re.compile("[\x1c-\x1f]").search)
     general = staticmethod(re.compile("[\u0250-\U0010ffff]").search)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.room = CACHE
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f)
+        vocabulary = bare["model"]["vocab"]
+        self.ends = np.zeros(max([*vocabulary.values(), *(x["id"] for x in bare["added_tokens"])]) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words of Latin letters.  Each is one word to the tokenizer and
-        ends with a token that ends a word, so many are encoded as one text."""
+        # for words of lower-case letters: no normalizer, and white space separates
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        self.letters = Tokenizer.from_str(json.dumps(bare))
+
+    def _encode_units(self, units: list[str], latin: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and how many each has."""
+        plain = np.fromiter((latin and u.isalpha() for u in units), bool, len(units))
+        words = [u for u, p in zip(units, plain.tolist()) if p]
+        # each word ends with a token that ends a word, so many make one text
         texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
-        for data in self._encode(texts):
-            cuts = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1) * 4
-            at = 0
-            for cut in cuts.tolist():
-                yield data[at:cut]
-                at = cut
-
-    def _learn(self, unseen: set[str], latin: bool) -> None:
+        found = [np.array(e.ids, "<u4") for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)]
+        rest = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([u for u, p in zip(units, plain.tolist()) if not p], add_special_tokens=False)]
+        ids = np.concatenate([*found, *rest, np.zeros(0, "<u4")])
+        of_words = sum(map(len, found))
+        ends = np.flatnonzero(self.ends[ids[:of_words]]) + 1
+        if len(ends) != len(words) or (of_words and ends[-1] != of_words):
+            raise RuntimeError("a word does not end with a token that ends a word")
+        size = np.empty(len(units), np.int64)
+        size[plain] = np.diff(ends, prepend=0)
+        size[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        begin = np.empty(len(units), np.int64)
+        begin[plain] = ends - size[plain]
+        begin[~plain] = of_words + np.cumsum(size[~plain]) - size[~plain]
+        return ids[ranges(begin, size)], size
+
+    def _encode_group(self, texts: list[str], latin: bool) -> list[np.ndarray]:
         """``latin``: of texts of Latin letters without a special token's "<".
-        There the tokenizer lower-cases, and parts letters from punctuation;
-        elsewhere marks may combine, and a word is left to it as it is."""
-        known, new, later = self.words, set(), []
-        for w in unseen:
-            core = w
-            if latin:
-                core = w.lower()
-                last = core[-1]
-                if last in ".,;:!?" and core[-2:-1].isalpha():
-                    core = core[:-1]
-                    later.append((w, core, last))
-                    if last not in known:
-                        new.add(last)
-                elif core != w:
-                    later.append((w, core, ""))
-            if core not in known:
-                new.add(core)
-        plain = [x for x in new if latin and x.isalpha()]
-        known.update(zip(plain, self._encode_words(plain)))
-        rest = new.difference(known)
-        known.update(zip(rest, self._encode(list(rest))))
-        for w, core, tail in later:
-            known[w] = known[core] + known[tail] if tail else known[core]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd(t) else t.split() for t in texts]
-        latin: set[str] = set()
-        other: set[str] = set()
-        for t, w in zip(texts, split):
-            if w:
-                plain = "<" not in t and (t.isascii() or not self.general(t))
-                (latin if plain else other).update(w)
-        if len(self.words) > self.room:  # words in use come over when they are met
-            self.words, self.older = {}, self.words
-        for words, kind in ((latin, True), (other, False)):
-            if unseen := words.difference(self.words):
-                older = self.older
-                met = [w for w in unseen if w in older]
-                self.words.update(zip(met, map(older.__getitem__, met)))
-                unseen.difference_update(met)
-                self._learn(unseen, kind)
-        known = self.words
-        return [self._encode([t])[0] if w is None else b"".join(map(known.__getitem__, w)) for t, w in zip(texts, split)]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        There the tokenizer lower-cases; elsewhere marks may combine, and what
+        stands between white space is left to it as it is."""
+        held = [(t.lower() if latin else t).encode("utf-8", "surrogatepass") for t in texts]
+        size = np.fromiter(map(len, held), np.int64, len(held))
+        data = b"\n".join(held)
+        inside, new = unit_starts(data, latin)
+        if not inside.any():
+            return [np.zeros(0, "<u4")] * len(texts)
+        where = np.flatnonzero(new)
+        cuts = np.searchsorted(where, np.r_[np.cumsum(size + 1) - size - 1, len(data)])
+        offsets = np.append(np.flatnonzero(new[inside]), inside.sum()).astype(np.int64)
+        body = np.frombuffer(data, np.uint8)[inside]
+        units = pa.Array.from_buffers(pa.large_string(), len(where), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        ids, n = self._encode_units(units.dictionary.to_pylist(), latin)
+        at = units.indices.to_numpy(zero_copy_only=False)
+        every = ids[ranges((np.cumsum(n) - n)[at], n[at])]
+        ends = np.r_[0, np.cumsum(n[at])][cuts].tolist()
+        return [every[a:b] for a, b in zip(ends, ends[1:])]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        latin = ["<" not in t and (t.isascii() or not self.general(t)) for t in texts]
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        for kind in (True, False):
+            at = [i for i, k in enumerate(latin) if k == kind]
+            for i, ids in zip(at, self._encode_group([texts[i] for i in at], kind) if at else ()):
+                out[i] = ids
+        return out
 
 
 def encoder(path: str | None) -> Encoder:
@@ -143,9 +158,7 @@ def encoder(path: str | None) -> Encoder:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return Encoder(path)
 
 
 # ---- length classes and the plan ---------------------------------------------
@@ -277,23 +290,23 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, window: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(path), np.array([END_ID], "<u4").tobytes()
+    enc, end = encoder(path), np.array([END_ID], "<u4")
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         a = 0
         while a < len(ids):
             some, size, b = [], 0, a
-            while b < len(ids) and size < 2_000_000:  # bounds the words held at once
+            while b < len(ids) and size < TOGETHER:
                 some.append(texts[b].as_py() or "")
                 size += len(some[-1])
                 b += 1
             out: list[tuple] = []
             for i, data in zip(ids[a:b], enc.encode(some)):
-                data += end
-                n = len(data) // 4
+                n = len(data) + 1
                 for s in range(0, n, window):
-                    piece = data[4 * s : 4 * (s + window)]
-                    out.append((i, s, len(piece) // 4, zlib.crc32(piece), n))
+                    m = min(window, n - s)
+                    crc = zlib.crc32(data[s : s + m])
+                    out.append((i, s, m, crc if s + m < n else zlib.crc32(end, crc), n))
             cols = list(zip(*out))
             length = np.array(cols[2], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -301,6 +314,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, window: int, ed
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"],
             )
             a = b
+    del enc
+    release_memory()
 
 
 def _place(batches: Iterator[pa.RecordBatch], table: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -7,11 +7,12 @@ from hypothesis import strategies as st
 
 from prismrank.llm import packing
 
+ENCODER = packing.encoder(None)
 SCHEMA = "doc_id long, text string, length string, class int"
 
 
 def ids_of(text):
-    return packing.encoder(None).tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+    return ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
 def rows():
@@ -85,18 +86,15 @@ def test_nnls_solves_small_problems():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text(alphabet="aAzÉéßÅİıÿŒœ'.,;:!?12<|> ", max_size=40)))
-def test_words_give_the_ids_of_the_whole_text(text):
-    got = np.frombuffer(packing.encoder(None).encode([text])[0], "<u4").tolist()
-    assert got + [packing.END_ID] == ids_of(text)
-
-
-def test_a_full_cache_starts_again():
-    small = packing.Encoder(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    small.room = 3
-    for texts in (["a b c", "d a"], ["a e f g", "b"], ["a", "h i j k l m n o a"]):
-        got = small.encode(texts)
-        assert [np.frombuffer(g, "<u4").tolist() + [packing.END_ID] for g in got] == [ids_of(t) for t in texts]
+@given(st.lists(st.one_of(st.text(max_size=60), st.text(alphabet="aAzÉéßÅİıÿŒœ'.,;:!?12<|>&\x1c\x85\xa0\u0307\t\n ", max_size=40)), max_size=5))
+def test_units_give_the_ids_of_the_whole_text(texts):
+    got = ENCODER.encode(texts)
+    assert [g.tolist() + [packing.END_ID] for g in got] == [ids_of(t) for t in texts]
+
+
+def test_contractions_marks_and_special_tokens():
+    texts = ["it's 'stuff' ('s", "don't.'ll", "A\u030a H\u0331 I\u0307 \u0130", "<|endoftext|>x<|ENDOFTEXT|>", "\xab.,\xbb \xd7.\xf7", "\u03a3\u03c2 \u039f\u0394\u039f\u03a3.", "", " \n\t", "\u023a\u017f\ufb01"]
+    assert [g.tolist() + [packing.END_ID] for g in ENCODER.encode(texts)] == [ids_of(t) for t in texts]
 
 
 def test_empty(spark):
