@@ -28,6 +28,7 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -80,6 +81,13 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _ids(tokenizer, texts: list[str], together: int) -> Iterator[np.ndarray]:
+    """So many at once, as what the tokenizer returns is much larger than ids."""
+    for a in range(0, len(texts), together):
+        for e in tokenizer.encode_batch_fast(texts[a : a + together], add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
+
 class Encoder:
     """Ids of texts.  The texts of a call are cut into units that the tokenizer
     treats alone; every distinct unit is encoded once, and the ids of all units
@@ -88,6 +96,8 @@ class Encoder:
     general = staticmethod(re.compile("[\u0250-\U0010ffff]").search)
 
     def __init__(self, path: str) -> None:
+        # a worker has one core; a pool of threads of its own would only wait
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,10 +115,10 @@ class Encoder:
         """The ids of all units, one after the other, and how many each has."""
         plain = np.fromiter((latin and u.isalpha() for u in units), bool, len(units))
         words = [u for u, p in zip(units, plain.tolist()) if p]
+        odd = [u for u, p in zip(units, plain.tolist()) if not p]
         # each word ends with a token that ends a word, so many make one text
         texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
-        found = [np.array(e.ids, "<u4") for e in self.letters.encode_batch_fast(texts, add_special_tokens=False)]
-        rest = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([u for u, p in zip(units, plain.tolist()) if not p], add_special_tokens=False)]
+        found, rest = list(_ids(self.letters, texts, 16)), list(_ids(self.tokenizer, odd, 4096))
         ids = np.concatenate([*found, *rest, np.zeros(0, "<u4")])
         of_words = sum(map(len, found))
         ends = np.flatnonzero(self.ends[ids[:of_words]]) + 1
