@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def release_memory() -> None:
     """Give the free memory of this process back.  Python workers are reused by
     later stages; what they keep would count against every one of these."""
@@ -78,6 +85,15 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def renamed(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns as own_0, own_1, ... and, beside them, the needed
+    ones under their names; and the own names.  So that columns of the caller,
+    however they are called, cannot clash with what an operator adds."""
+    own = [f"own_{i}" for i in range(len(df.columns))]
+    held = df.toDF(*own)
+    return held.select(*own, *[F.col(own[df.columns.index(c)]).alias(c) for c in needed]), own
+
+
 #: Rows of a few numbers up to which a table is sent to every executor.
 BROADCAST_ROWS = 1_000_000
 

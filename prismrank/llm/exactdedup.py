@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismrank.llm._shared import UPPER, broadcast_if_small, materialize, only
+from prismrank.llm._shared import UPPER, broadcast_if_small, materialize, only, release_memory, renamed
 
 #: Bytes of distinct content that one table holds before it flushes or spills.
 MEMORY_BYTES = 48 << 20
@@ -113,6 +113,8 @@ def _combine(batches: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.Reco
                 yield from out(held)
                 held = ContentTable()
     yield from out(held)
+    del held
+    release_memory()
 
 
 def _addresses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +164,7 @@ def _reduce(batches: Iterator[pa.RecordBatch], memory: int) -> Iterator[pa.Recor
     with tempfile.TemporaryDirectory(prefix="grace-") as folder:
         for t in grace(records(), memory, folder):
             yield pa.RecordBatch.from_arrays([pa.array(t.keys, pa.binary()), pa.array(t.ids, pa.int64()), pa.array(t.counts, pa.int64())], names=["address", "keep_id", "group_size"])
+    release_memory()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
@@ -186,18 +189,19 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs``, with all its columns, without the rows that repeat a text.
     Rows that go are few against all; their keys are broadcast within a bound,
     so that the texts of the others are not dealt out once more."""
+    inner, own = renamed(docs, id_col, text_col)
+    inner = inner.toDF(*own, "doc_id", "text")
     # a null id is held as the smallest number, so that the keys are plain
-    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    per = exact_dedup(docs, id_col, text_col, memory_bytes).groupBy(number("doc_id").alias("__doc"), F.col("address").alias("__own")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    per = exact_dedup(inner, "doc_id", "text", memory_bytes).groupBy(number.alias("doc"), "address").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     # 0: no row of this id and text stays; 1: one of several does
-    marks = per.filter("NOT kept OR n > 1").select("__doc", "__own", F.col("kept").cast("int").alias("__mark"))
+    marks = per.filter("NOT kept OR n > 1").select("doc", "address", F.col("kept").cast("int").alias("mark"))
     marks = broadcast_if_small(materialize(marks, "marks"))
-    folded = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower())
-    left = docs.withColumn("__doc", number(id_col)).withColumn("__own", F.unhex(F.sha2(folded, 256))).join(marks, ["__doc", "__own"], "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    turn = F.row_number().over(Window.partitionBy("__doc", "__own").orderBy(F.lit(1)))
-    repeated = left.filter("__mark = 1").withColumn("__turn", turn).filter("__turn = 1")
-    return left.filter("__mark is null").select(*names).union(repeated.select(*names))
+    folded = F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower())
+    left = inner.withColumns({"doc": number, "address": F.unhex(F.sha2(folded, 256))}).join(marks, ["doc", "address"], "left")
+    turn = F.row_number().over(Window.partitionBy("doc", "address").orderBy(F.lit(1)))
+    repeated = left.filter("mark = 1").withColumn("turn", turn).filter("turn = 1")
+    return left.filter("mark is null").select(*own).union(repeated.select(*own)).toDF(*docs.columns)
 
 
 def documents_digest(docs: DataFrame) -> DataFrame:

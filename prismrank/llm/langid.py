@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm._shared import only
+from prismrank.llm._shared import only, release_memory, renamed
 
 #: Documents per language that a model is fitted on (see ``fit``).
 TRAIN_DOCUMENTS = 2000
@@ -143,6 +143,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, mine in held.items():
         k = np.flatnonzero(mine)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(mine[k])], names=["lang", "k", "n"])
+    release_memory()
 
 
 class Model:
@@ -245,6 +246,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model, penalty: float) ->
         values = (lang, score, firsts, lasts, named)
         rest = [batch.column(i) for i in range(batch.num_columns)]
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(v, t) for v, t in zip(values, kinds))], names=[*batch.schema.names, "lang_pred", "score", "firsts", "lasts", "langs"])
+    release_memory()
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -262,10 +264,9 @@ def _schema(docs: DataFrame, *cols: str) -> str:
 
 def keep_identified(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """``docs``, with all its columns, without texts that have no language."""
-    names = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("text"))
+    inner, own = renamed(docs, "text")
     found = inner.mapInArrow(lambda it: _predict(it, model, penalty), _schema(inner, *inner.columns))
-    return found.filter(F.col("lang_pred") != UND).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return found.filter(F.col("lang_pred") != UND).select(*own).toDF(*docs.columns)
 
 
 def documents_digest(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismrank.llm._shared import WORD, materialize
+from prismrank.llm._shared import WORD, materialize, renamed
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -104,13 +104,12 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_ep
     the document in which a source's remainder ends is taken once more if at
     least half of it is due.  Texts are not shuffled, but for those of the one
     bucket of each source."""
-    names = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "source", "text") else f"__own_{c}") for c in names])
-    sizes = materialize(measured(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
+    inner, own = renamed(docs, "doc_id", "source", "text")
+    sizes = materialize(measured(inner.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
     found = plan(measured(inner, seed), sizes, weights, max_epochs)
     times = (F.col("epochs") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)).cast("int")
-    out = found.select("*", times.alias("__times")).filter("__times > 0").select("*", F.explode(F.sequence(F.lit(1), "__times")).alias("__turn"))
-    return out.select(*[F.col(c if c in ("doc_id", "source", "text") else f"`__own_{c}`").alias(c) for c in names])
+    out = found.select(*own, times.alias("times")).filter("times > 0").select(*own, F.explode(F.sequence(F.lit(1), "times")).alias("turn"))
+    return out.select(*own).toDF(*docs.columns)
 
 
 def documents_digest(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismrank.llm._shared import materialize, only, release_memory
+from prismrank.llm._shared import materialize, only, ranges, release_memory
 
 WINDOW = 4096
 END_ID = 2
@@ -75,12 +75,6 @@ def unit_starts(data: bytes, latin: bool) -> tuple[np.ndarray, np.ndarray]:
     return inside, new
 
 
-def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def _ids(tokenizer, texts: list[str], together: int) -> Iterator[np.ndarray]:
     """So many at once, as what the tokenizer returns is much larger than ids."""
     for a in range(0, len(texts), together):

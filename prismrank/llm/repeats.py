@@ -43,6 +43,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismrank.llm._shared import ranges
+
 GRAM = 16
 #: Windows of one document that are hashed at once.
 PIECE = 1 << 20
@@ -84,12 +86,6 @@ def undelta(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=np.uint32)
 
 
-def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of ``key`` with the places where it stands, in order."""
     order = np.argsort(key, kind="stable")

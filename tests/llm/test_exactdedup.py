@@ -47,3 +47,10 @@ def test_kept_rows_have_all_their_columns(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exactdedup.documents_digest(docs).count() == 0 and exactdedup.keep_unique(docs).count() == 0
+
+
+def test_columns_with_the_names_that_operators_use(spark):
+    rows = [(1, "A", "x", 7, "p", "q"), (2, "a", "y", 8, "r", "s"), (3, "d", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc string, __mark int, __own string, own_0 string")
+    got = exactdedup.keep_unique(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == rows[1:]

@@ -51,7 +51,7 @@ def test_large_groups_emit_a_forest():
     a = rng.integers(0, 2**63, n, dtype=np.uint64) & np.uint64(1023)
     a ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
     out = []
-    nearstage.near_forest(np.arange(n), a, 12, out)
+    nearstage.near_forest(np.arange(n), np.stack([a, np.full(n, 100, np.uint64)], 1), 12, out)
     u, v = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
     assert len(u) == n - 1 and len(set(v.tolist())) == n - 1
     assert (np.bitwise_count(a[u] ^ a[v]) <= 12).all()
@@ -127,3 +127,31 @@ def test_short_texts_equal_brute_force(spark):
     rng.shuffle(texts)
     docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in nearstage.keep_representatives(docs).collect()) == brute_force(texts)
+
+
+@pytest.mark.parametrize("shared", [0, 150])
+def test_recall_at_the_threshold(spark, shared):
+    """Pairs of texts of more than 64 shingles at 0.80 to 0.82, alone and with a
+    passage that all texts share."""
+    rng = random.Random(13 + shared)
+    words = ["w%d" % i for i in range(20_000)]
+    boilerplate = [rng.choice(words) for _ in range(shared)]
+    texts = []
+    while len(texts) < 800:
+        base = boilerplate + [rng.choice(words) for _ in range(rng.randint(150, 500))]
+        copy = base[:]
+        while jaccard(" ".join(base), " ".join(copy)) > 0.82:
+            copy[rng.randrange(shared, len(copy))] = rng.choice(words)
+        if jaccard(" ".join(base), " ".join(copy)) >= 0.8:
+            texts += [" ".join(base), " ".join(copy)]
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    kept = {r.doc_id for r in nearstage.keep_representatives(docs).collect()}
+    assert {i for i in range(0, 800, 2)} <= kept
+    assert sum(i not in kept for i in range(1, 800, 2)) >= 0.99 * 400
+
+
+def test_columns_with_the_names_that_operators_use(spark):
+    rows = [(1, "a b c", "x", 7, "p", "q"), (2, "a b c", "y", 8, "r", "s"), (3, "d", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid string, mark int, own_0 string, __doc string")
+    got = nearstage.keep_representatives(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
