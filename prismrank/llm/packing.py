@@ -27,7 +27,6 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -43,7 +42,7 @@ from prismrank.llm._shared import materialize, only, ranges, release_memory
 WINDOW = 4096
 END_ID = 2
 #: Characters of text from which no further text is encoded together.
-TOGETHER = 4_000_000
+TOGETHER = 3_000_000
 DEPTH = 4
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
@@ -75,13 +74,6 @@ def unit_starts(data: bytes, latin: bool) -> tuple[np.ndarray, np.ndarray]:
     return inside, new
 
 
-def _ids(tokenizer, texts: list[str], together: int) -> Iterator[np.ndarray]:
-    """So many at once, as what the tokenizer returns is much larger than ids."""
-    for a in range(0, len(texts), together):
-        for e in tokenizer.encode_batch_fast(texts[a : a + together], add_special_tokens=False):
-            yield np.array(e.ids, "<u4")
-
-
 class Encoder:
     """Ids of texts.  The texts of a call are cut into units that the tokenizer
     treats alone; every distinct unit is encoded once, and the ids of all units
@@ -92,18 +84,22 @@ class Encoder:
     def __init__(self, path: str) -> None:
         # a worker has one core; a pool of threads of its own would only wait
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            bare = json.load(f)
-        vocabulary = bare["model"]["vocab"]
-        self.ends = np.zeros(max([*vocabulary.values(), *(x["id"] for x in bare["added_tokens"])]) + 1, bool)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        # for words of lower-case letters: no normalizer, and white space separates
-        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
-        self.letters = Tokenizer.from_str(json.dumps(bare))
+        self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        # of lower-case letters: nothing to normalize, and white space separates
+        self.plain_steps = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _ids(self, texts: list[str], together: int, steps: tuple) -> Iterator[np.ndarray]:
+        """So many at once, as what the tokenizer returns is much larger than ids."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        for a in range(0, len(texts), together):
+            for e in self.tokenizer.encode_batch_fast(texts[a : a + together], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
 
     def _encode_units(self, units: list[str], latin: bool) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units, one after the other, and how many each has."""
@@ -112,7 +108,7 @@ class Encoder:
         odd = [u for u, p in zip(units, plain.tolist()) if not p]
         # each word ends with a token that ends a word, so many make one text
         texts = [" ".join(words[a : a + 1000]) for a in range(0, len(words), 1000)]
-        found, rest = list(_ids(self.letters, texts, 16)), list(_ids(self.tokenizer, odd, 4096))
+        found, rest = list(self._ids(texts, 16, self.plain_steps)), list(self._ids(odd, 4096, self.steps))
         ids = np.concatenate([*found, *rest, np.zeros(0, "<u4")])
         of_words = sum(map(len, found))
         ends = np.flatnonzero(self.ends[ids[:of_words]]) + 1

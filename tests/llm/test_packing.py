@@ -2,17 +2,20 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from prismrank.llm import packing
 
 ENCODER = packing.encoder(None)
+WHOLE = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, length string, class int"
 
 
 def ids_of(text):
-    return ENCODER.tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
+    return WHOLE.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
 def rows():
