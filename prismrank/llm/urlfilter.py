@@ -18,6 +18,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import random
 import zlib
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ from prismrank.llm._shared import UPPER
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
-RIDGE = 1.0
+RIDGE = 0.01
 TRAIN_ROWS = 2000
 
 
@@ -47,20 +48,48 @@ class Rule:
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
-#: The small labelled table of the registered query: hosts and paths of the
-#: kind that such lists hold, each with every word of its side.
-_BLOCK_WORDS = ("casino", "poker", "jackpot", "xxx", "porn", "viagra", "pills", "torrent", "warez", "crack", "spam", "phish", "malware", "cheap", "loan", "escort", "betting", "clickbait")
-_ALLOW_WORDS = ("docs", "wiki", "news", "library", "museum", "school", "university", "blog", "recipes", "science", "history", "journal", "guide", "help", "weather", "sports", "city", "health")
-
-
-def seed_urls(spark: SparkSession) -> DataFrame:
-    """url, blocked (0 or 1): 216 rows."""
-    rows = []
-    for words, y in ((_BLOCK_WORDS, 1), (_ALLOW_WORDS, 0)):
-        for i, w in enumerate(words):
-            other = words[(i + 5) % len(words)]
-            rows += [(u, y) for u in (f"http://www.{w}.example.com/", f"https://{w}-{other}.example.org/{i}", f"http://m.example.com/{w}/{other}.html", f"https://{other}.example.net/{w}?id={i}", f"http://blog.{w}{other}.example.org/en/{1000 + i}", f"https://example.org/{w}-{other}/#top")]
-    return spark.createDataFrame(rows, "url string, blocked int")
+#: What the hosts and paths of the labelled table are made of: words of what a
+#: blocklist holds (gambling, adult, drugs, piracy, fraud, advertising), and
+#: ordinary words of the web.
+BLOCKED_WORDS = (
+    "casino", "poker", "jackpot", "slots", "roulette", "betting", "bets", "gamble", "lottery", "bingo", "xxx", "porn", "nude", "escort", "sex", "camgirls", "hookup",
+    "viagra", "cialis", "pills", "pharma", "steroids", "weightloss", "torrent", "warez", "crack", "keygen", "pirate", "leaked", "spam", "phish", "malware", "trojan",
+    "scam", "fraud", "botnet", "clickbait", "popup", "adserver", "ads", "tracker", "track", "banner", "affiliate", "doubleclick", "cheap", "replica", "payday", "loans",
+    "getrich", "forex", "win", "winner", "prize", "free", "giveaway", "farm", "cheats", "hack", "stresser",
+)
+ORDINARY_WORDS = (
+    "docs", "wiki", "news", "library", "museum", "school", "university", "recipes", "science", "history", "journal", "guide", "help", "weather", "sports", "city", "health",
+    "music", "garden", "travel", "photo", "forum", "archive", "research", "paper", "lecture", "course", "student", "teacher", "kitchen", "bakery", "hotel", "train", "bridge",
+    "river", "mountain", "forest", "theatre", "cinema", "gallery", "poetry", "novel", "letters", "language", "grammar", "physics", "biology", "chemistry", "medicine",
+    "hospital", "council", "parliament", "justice", "market", "harbour", "village", "museums", "studio", "design", "software", "manual", "support", "contact", "about",
+)
+SEED_HOSTS = 1600
+
+
+def seed_urls(spark: SparkSession, hosts: int = SEED_HOSTS, seed: int = 11) -> DataFrame:
+    """The small labelled table of the registered query: url, blocked (0 or 1),
+    one URL for each of so many hosts; a third are blocked."""
+    return spark.createDataFrame(labelled_urls(hosts, seed), "url string, blocked int")
+
+
+def labelled_urls(hosts: int, seed: int) -> list[tuple[str, int]]:
+    """URLs whose label hangs on words of the two lists alone: made-up names,
+    prefixes, domains and paths are the same on both sides."""
+    rng = random.Random(seed)
+    made_up = lambda: "".join(rng.choice(("b c d f g h j k l m n p r s t v w z th sh ch st tr bl".split())) + rng.choice("a e i o u ea ou er on in an".split()) for _ in range(rng.randint(2, 4)))
+    out: dict[str, tuple[str, int]] = {}
+    while len(out) < hosts:
+        y = int(rng.random() < 1 / 3)
+        own = lambda: rng.choice(BLOCKED_WORDS if y else ORDINARY_WORDS)
+        inside = not (y and rng.random() < 0.2)  # else the path alone tells
+        some = own if inside else made_up
+        name = rng.choice((lambda: some(), lambda: f"{some()}-{some()}", lambda: f"{some()}-{made_up()}", lambda: f"{made_up()}-{some()}", lambda: some() + made_up(), lambda: made_up() if not y else some() + some(), lambda: made_up() if not y else f"{some()}{rng.randint(1, 99)}"))()
+        host = rng.choice(("", "", "www.", "m.", "blog.", "cdn.")) + name + rng.choice((".example.com", ".example.org", ".example.net", ".com", ".org", ".info"))
+        number = rng.randint(1, 9999)
+        plain = rng.choice((f"/{rng.choice(('en', 'de', 'fr', 'es', 'it'))}/{number}", f"/{number}.html", f"/{made_up()}/{number}/", f"/{made_up()}", "/"))
+        path = plain if inside and rng.random() < 0.7 else f"/{own()}/{rng.choice((number, made_up(), own()))}"
+        out.setdefault(host, (f"{rng.choice(('http', 'https'))}://{host}{path}{rng.choice(('', '', '?page=2', '#top'))}", y))
+    return list(out.values())
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -117,15 +146,16 @@ def fit_rows(rows: list[tuple[str, str, int]], ridge: float = RIDGE, steps: int
         return Model(np.zeros(BUCKETS), 0.0)
     sets = [buckets(h, p) for h, p, _ in rows]
     y = np.array([r[2] for r in rows], float)
-    used = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]))
-    at = np.full(BUCKETS, -1)
-    at[used] = np.arange(len(used))
-    x = np.zeros((len(rows), len(used) + 1))
-    for i, b in enumerate(sets):
-        x[i, at[b]] = _norm(b)
-    x[:, -1] = 1.0
-    kernel = x @ x.T
-    a = np.zeros(len(rows))  # weights are x.T @ a
+    kernel = np.ones((len(rows), len(rows)))  # of the constant feature
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    feature = np.concatenate([*sets, np.zeros(0, np.int64)])
+    norm = np.array([_norm(b) for b in sets])
+    for low in range(0, BUCKETS, 4096):  # so that no table of all features is held
+        at = (feature >= low) & (feature < low + 4096)
+        x = np.zeros((len(rows), 4096), np.float32)
+        x[owner[at], feature[at] - low] = 1.0
+        kernel += (x @ x.T) * norm[:, None] * norm[None, :]
+    a = np.zeros(len(rows))  # weights are features times a
     for _ in range(steps):
         z = kernel @ a
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
@@ -135,10 +165,9 @@ def fit_rows(rows: list[tuple[str, str, int]], ridge: float = RIDGE, steps: int
         a = new
         if done:
             break
-    w = x.T @ a
     weights = np.zeros(BUCKETS)
-    weights[used] = w[:-1]
-    return Model(weights, float(w[-1]))
+    np.add.at(weights, feature, (a * norm)[owner])
+    return Model(weights, float(a.sum()))
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:

@@ -37,13 +37,26 @@ def test_digest_equals_brute_force(spark):
     assert sorted(map(tuple, urlfilter.pages_digest(pages).collect()), key=str) == expected(rows, model)
 
 
-def test_regression_separates_held_out_urls(spark):
-    rows = [(*cut(r.url), r.blocked) for r in urlfilter.seed_urls(spark).collect()]
-    rng = np.random.default_rng(1)
-    order = rng.permutation(len(rows))
-    model = urlfilter.fit_rows([rows[i] for i in order[:150]])
-    right = [(model.probability(rows[i][0], rows[i][1]) >= 0.5) == bool(rows[i][2]) for i in order[150:]]
-    assert np.mean(right) > 0.9
+def test_regression_judges_hosts_that_it_has_not_seen():
+    """Other hosts of the same kind; and hosts that no rule made."""
+    model = urlfilter.fit_rows([(*cut(u), y) for u, y in urlfilter.labelled_urls(urlfilter.SEED_HOSTS, 11)])
+    seen = {cut(u)[0] for u, _ in urlfilter.labelled_urls(urlfilter.SEED_HOSTS, 11)}
+    rows = [(*cut(u), y) for u, y in urlfilter.labelled_urls(2000, 99) if cut(u)[0] not in seen]
+    p = np.array([model.probability(h, x) for h, x, _ in rows])
+    y = np.array([r[2] for r in rows])
+    assert len(rows) > 1900 and (p[y == 0] >= 0.5).mean() < 0.02 and (p[y == 1] >= 0.5).mean() > 0.8
+    neutral = ["www.rathausmuseum.de", "kellerman.example.com", "openstreetmap.org", "blog.oakridge.example.org", "m.sundvall.example.net", "arxiv.org", "theguardian.com", "ththin.example.com", "johnson-and-sons.example.com", "bibliothek.example.org"]
+    junk = ["casino-royale.example.com", "best-poker-bets.example.org", "cheap-viagra.example.com", "free-xxx-porn.example.net", "torrent-warez.example.org", "spam-farm.example.com", "win-prize.example.com", "ads-tracker.example.net", "payday-loans.example.com", "buy-cheap-pills.example.org"]
+    score = lambda hosts: np.array([model.probability(h, "/en/12") for h in hosts])
+    assert (score(neutral) >= 0.5).sum() <= 1 and (score(junk) >= 0.5).sum() >= 9
+
+
+def test_share_of_neutral_and_junk_hosts_that_is_blocked(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [r for r in urlfilter.judge(pages, urlfilter.fit(urlfilter.seed_urls(spark))).collect() if r.rule is None]
+    junk = [bool(set(r.host.replace(".", "-").split("-")) & set(urlfilter.BLOCKED_WORDS)) for r in rows]
+    blocked = [r.verdict == "block" for r in rows]
+    assert np.mean([b for b, j in zip(blocked, junk) if not j]) < 0.1 and np.mean([b for b, j in zip(blocked, junk) if j]) > 0.9
 
 
 def test_newton_reaches_the_optimum():
