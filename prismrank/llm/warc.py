@@ -1,10 +1,11 @@
 """Operator 10: a deterministic sharded WARC writer, and its reader.
 
-Records are range-sorted by key into shards.  The bounds of the shards are
-quantiles of the keys whose hashes are below a share of their range (a sample of
-about ten thousand keys that does not depend on partitions or on the order of
-rows), so the same table always
-gives the same files, byte for byte.  A task writes its shards one after the
+Records are range-sorted by key into shards, whose number follows from the bytes
+of all payloads alone.  The bounds of the shards are quantiles of the keys whose
+hashes are below a share of their range (a sample of about ten thousand keys, or
+twenty a shard, that does not depend on partitions or on the order of rows), so
+the same table always gives the same files, byte for byte, whatever the settings
+of the session.  A task writes its shards one after the
 other; a shard rolls to its next file when the compressed size is reached.
 Headers, record ids and digests are regenerated from the content.  Files are
 written under a name of the task attempt and renamed when they are complete;
@@ -41,8 +42,12 @@ from prismrank.llm._shared import delete, materialize, scratch
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-#: Keys that bounds are chosen from, on average, where there are more.
+#: Keys that bounds are chosen from, on average, where there are more: in all,
+#: and at least of each shard.
 SAMPLE = 10_000
+SHARD_SAMPLE = 20
+#: Bytes of payload of a shard, which one task writes; with very many, more.
+SHARD_BYTES = 32 << 20
 RANGE = 1 << 40
 NAMESPACE = uuid.UUID("6f1c1a53-9a0f-5b52-8f0e-5d0a4a7a2b10")
 MANIFEST = "name string, shard int, records long, bytes long, sha256 string, first_key long, last_key long"
@@ -143,7 +148,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, least: int, roll_byte
     yield pa.RecordBatch.from_pylist([dict(zip(("name", "shard", "records", "bytes", "sha256", "first_key", "last_key"), x)) for x in out.done], pa.schema([("name", pa.string()), ("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
 
 
-def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = 512 << 20, roll_bytes: int = 256 << 20, level: int = 6) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = 256 << 20, level: int = 6) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``folder``, which driver and
     executors share.  Returns the committed manifest, one row per file."""
     spark = pages.sparkSession
@@ -154,8 +159,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int =
     meta = small.select("page_id", "digest").distinct().join(top, "digest")
     total, n = small.agg(F.sum("size"), F.count("page_id")).first()
     total = total or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    share = F.pmod(F.xxhash64("page_id"), F.lit(RANGE)) < F.lit(int(min(1.0, SAMPLE / max(n, 1)) * RANGE))
+    shards = max(1, -(-total // shard_bytes))
+    share = F.pmod(F.xxhash64("page_id"), F.lit(RANGE)) < F.lit(int(min(1.0, max(SAMPLE, SHARD_SAMPLE * shards) / max(n, 1)) * RANGE))
     sample = sorted(r[0] for r in small.select("page_id").filter(F.col("page_id").isNotNull() & share).collect())
     bounds = np.array(sorted({sample[len(sample) * k // shards] for k in range(1, shards)}) if sample else [], np.int64)
 
@@ -236,7 +241,8 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the files that the manifest names; every digest
     and length is verified on the way."""
-    files = manifest.select("name").repartition("name")
+    # an explicit number, which adaptive execution does not reduce to one task
+    files = manifest.select("name").repartition(max(1, manifest.count()), "name")
     return files.mapInArrow(lambda it: _read(it, folder), RECORD)
 
 

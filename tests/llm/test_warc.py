@@ -44,6 +44,23 @@ def test_files_are_the_same_however_rows_are_dealt(spark, tmp_path):
     assert b"X: y" not in [x for x in b"".join(gzip.decompress(x) for x in found[0].values()).split(b"\r\n")]
 
 
+def test_files_do_not_depend_on_shuffle_partitions(spark, tmp_path):
+    rows = [(i, f"http://{i}/", str(i % 50) * 500) for i in range(300)]
+    pages = spark.createDataFrame([(*r, 1, "clash") for r in rows], SCHEMA)
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for k in ("3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", k)
+            m = warc.write_warc(pages, f"file://{tmp_path}/{k}", shard_bytes=40_000, roll_bytes=4000)
+            read = warc.read_warc(m, f"file://{tmp_path}/{k}")
+            assert read.rdd.getNumPartitions() == m.count() > 3
+            assert sorted(map(tuple, read.collect()), key=str) == expected(rows)
+            found.append({r.name: (tmp_path / k / r.name).read_bytes() for r in m.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] and len({n.split("-")[1] for n in found[0]}) > 3
+
+
 def test_payloads_below_the_least_size_are_all_responses(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     got = warc.read_warc(warc.write_warc(frame(spark), folder, least=4), folder).collect()
