@@ -4,10 +4,12 @@
 ``gallery``: gallery_id, gallery_vec, gallery_label(s).  Order is by
 similarity, ties by the smaller gallery id.
 
-Two routes give the same rows.  ``rank`` is the definition: pairs and a window
-per query.  ``evaluate_blocks`` scores blocks of queries against the gallery as
-a matrix and returns per-query results at once, so pairs never leave a task; it
-is taken while the gallery has a proven, bounded size.
+Queries meet the gallery in blocks: a task has one block of queries and one shard
+of the gallery, both of bounded size, and scores them as a matrix; neither side
+is ever held as a whole.  ``rank`` is the definition, pairs and a window per
+query.  ``evaluate_blocks`` gives the same per-query rows without a row per pair:
+each shard sends a query's scores in order, as packed arrays, and they are merged
+one query at a time (some 17 bytes a gallery row).
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from prismrank.functions import vectors as V
 
-#: Bytes of gallery vectors up to which a task holds all of them.
-GALLERY_BYTES = 256 << 20
+#: Rows of a shard of the gallery and of a block of queries.
+SHARD_ROWS = 8192
+BLOCK_ROWS = 256
 
 
 def relevant(multi: bool) -> Column:
@@ -32,13 +37,74 @@ def relevant(multi: bool) -> Column:
     return F.coalesce(F.col("query_label") == F.col("gallery_label"), F.lit(False))
 
 
-def pairs(queries: DataFrame, gallery: DataFrame, metric: str = "dot", multi: bool = False, on: list[str] | None = None) -> DataFrame:
+def dealt(queries: DataFrame, gallery: DataFrame, work, schema: str, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``work`` (tables of a block of queries and of a shard) on every block and
+    shard.  Sides are dealt by the hashes of query_id and gallery_id."""
+    n, m = gallery.count(), queries.count()
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
+    part = lambda c, pieces: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
+    each = lambda pieces: F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
+    left = queries.select("*", part("query_id", blocks).alias("__block"), each(shards).alias("__shard"))
+    right = gallery.select("*", part("gallery_id", shards).alias("__shard"), each(blocks).alias("__block"))
+    keys = ["__shard", "__block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+
+
+def matrix(t: pa.Table, name: str, unit: bool) -> np.ndarray:
+    """The vectors of a column as rows."""
+    held = t[name].combine_chunks()
+    out = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), V.NORM_FLOOR) if unit else out
+
+
+def similarities(q: pa.Table, g: pa.Table, metric: str) -> np.ndarray:
+    if metric not in ("dot", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    return matrix(q, "query_vec", metric == "cosine") @ matrix(g, "gallery_vec", metric == "cosine").T
+
+
+def relevance(q: pa.Table, g: pa.Table, multi: bool) -> np.ndarray:
+    """J2 / J3 as a matrix; a null label matches nothing."""
+    name = "labels" if multi else "label"
+    ours, theirs = ([x if multi else [x] for x in t[f"{side}_{name}"].to_pylist()] for t, side in ((q, "query"), (g, "gallery")))
+    number: dict = {}
+
+    def hot(rows: list) -> tuple[list[int], list[int]]:
+        found = [(i, number.setdefault(x, len(number))) for i, r in enumerate(rows) for x in r or () if x is not None]
+        return [i for i, _ in found], [k for _, k in found]
+
+    (a, x), (b, y) = hot(ours), hot(theirs)
+    left, right = np.zeros((len(ours), len(number)), np.float32), np.zeros((len(theirs), len(number)), np.float32)
+    left[a, x], right[b, y] = 1, 1
+    return left @ right.T > 0
+
+
+def _kind(df: DataFrame, c: str) -> str:
+    return df.schema[c].dataType.simpleString()
+
+
+def pairs(queries: DataFrame, gallery: DataFrame, metric: str = "dot", multi: bool = False, on: list[str] | None = None, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, gallery_id, sim, rel (0 or 1) and the labels; within equal
-    values of ``on`` (for example the fold)."""
-    both = queries.join(gallery, on) if on else queries.crossJoin(gallery)
+    values of ``on`` (for example the fold) by a join, else in blocks."""
     labels = [] if multi else ["query_label", "gallery_label"]
-    sim = V.similarity("query_vec", "gallery_vec", metric)
-    return both.select(*(on or []), "query_id", "gallery_id", sim.alias("sim"), relevant(multi).cast("int").alias("rel"), *labels)
+    if on:
+        sim = V.similarity("query_vec", "gallery_vec", metric)
+        return queries.join(gallery, on).select(*on, "query_id", "gallery_id", sim.alias("sim"), relevant(multi).cast("int").alias("rel"), *labels)
+    name = "labels" if multi else "label"
+    q = queries.select("query_id", f"query_{name}", V.doubles("query_vec").alias("query_vec"))
+    g = gallery.select("gallery_id", f"gallery_{name}", V.doubles("gallery_vec").alias("gallery_vec"))
+    schema = f"query_id {_kind(q, 'query_id')}, gallery_id {_kind(g, 'gallery_id')}, sim double, rel int"
+    if not multi:
+        schema += f", query_label {_kind(q, 'query_label')}, gallery_label {_kind(g, 'gallery_label')}"
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        sim, rel = similarities(a, b, metric) if a.num_rows and b.num_rows else np.zeros((0, 0)), relevance(a, b, multi)
+        i, j = np.repeat(np.arange(a.num_rows), b.num_rows), np.tile(np.arange(b.num_rows), a.num_rows)
+        cols = [a["query_id"].take(i), b["gallery_id"].take(j), pa.array(sim.reshape(-1)), pa.array(rel.reshape(-1).astype(np.int32))]
+        cols += [] if multi else [a["query_label"].take(i), b["gallery_label"].take(j)]
+        return pa.table(cols, names=["query_id", "gallery_id", "sim", "rel", *labels])
+
+    return dealt(q, g, work, schema, shard_rows, block_rows)
 
 
 def rank(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -70,11 +136,15 @@ def per_query(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: list[str]
         F.when(n > 0, F.sum(F.when(F.col("rel") == 1, F.col("seen") / F.col("rank")).otherwise(0.0)) / n).otherwise(0.0).alias("ap"),
         F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first_hit_rank"), *hits, *found, *best,
     )
-    if multi:
-        for k in ks:
-            p, rec = F.col(f"found_at_{k}") / F.least(F.lit(k), F.col("num_gallery")), F.col(f"found_at_{k}") / F.greatest(F.col("num_relevant"), F.lit(1))
-            out = out.withColumns({f"p_at_{k}": p, f"recall_at_{k}": rec, f"f1_at_{k}": F.when(p + rec > 0, 2 * p * rec / (p + rec)).otherwise(0.0)})
-    return out
+    return _set_quality(out, ks) if multi else out
+
+
+def _set_quality(rows: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Precision, recall and F1 up to k."""
+    for k in ks:
+        p, rec = F.col(f"found_at_{k}") / F.least(F.lit(k), F.col("num_gallery")), F.col(f"found_at_{k}") / F.greatest(F.col("num_relevant"), F.lit(1))
+        rows = rows.withColumns({f"p_at_{k}": p, f"recall_at_{k}": rec, f"f1_at_{k}": F.when(p + rec > 0, 2 * p * rec / (p + rec)).otherwise(0.0)})
+    return rows
 
 
 def summary(rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: list[str] | None = None, multi: bool = False) -> DataFrame:
@@ -113,83 +183,98 @@ def classify(samples: DataFrame, class_vectors: DataFrame, temperature: float |
 # ---- the block route ---------------------------------------------------------
 
 
-def _rows(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return np.array(batch[name].to_pylist(), dtype=np.float64)
-
-
-def _score(batches: Iterator[pa.RecordBatch], ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, ks: tuple[int, ...], metric: str, block: int) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(ids, kind="stable")
-    ids, labels, g = ids[order], labels[order], np.ascontiguousarray(vectors[order].T)
-    at = np.arange(1, len(ids) + 1)
-    block = max(1, min(block, 4_000_000 // max(1, len(ids))))  # a block of scores stays small
+def _ordered(a: pa.Table, b: pa.Table, metric: str, multi: bool, label: str) -> pa.Table:
+    """Per query of a block its scores of a shard: in order, packed."""
+    out: list[list] = [[], [], []]
+    if a.num_rows and b.num_rows:
+        b = b.sort_by("gallery_id")
+        ids = b["gallery_id"].to_numpy()
+        sim, rel = similarities(a, b, metric), relevance(a, b, multi)
+        by = np.argsort(-sim, axis=1, kind="stable")  # ties: smaller id first
+        for i, order in enumerate(by):
+            out[0].append(sim[i, order].tobytes())
+            out[1].append(ids[order].tobytes())
+            out[2].append(np.packbits(rel[i, order]).tobytes())
+    else:
+        a = a.slice(0, 0)
+    return pa.table([a["query_id"], a[label], *(pa.array(x, pa.binary()) for x in out)], names=["query_id", label, "sims", "ids", "rels"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], label: str, ks: tuple[int, ...], names: list[str], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in order of query_id: the scores of one query after the other."""
+
+    def result(query, mine, pieces: list[tuple[bytes, bytes, bytes]]) -> tuple:
+        sims, ids = (np.concatenate([np.frombuffer(p[k], t) for p in pieces]) for k, t in ((0, np.float64), (1, np.int64)))
+        rel = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(p[0]) // 8) for p in pieces])
+        order = np.lexsort((ids, -sims)) if len(pieces) > 1 else np.arange(len(sims))
+        at = np.flatnonzero(rel[order]) + 1
+        n = len(at)
+        ap = float((np.arange(1, n + 1) / at).sum() / n) if n else 0.0
+        found = [int((at <= k).sum()) for k in ks]
+        return query, mine, len(ids), n, ap, int(at[0]) if n else None, *[int(x > 0) for x in found], *found, int(ids[order[0]]), float(sims[order[0]])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for n, c in zip(names, zip(*rows))], names=names)
+
+    now, pieces, done = None, [], []
     for batch in batches:
-        for a in range(0, batch.num_rows, block):
-            some = batch.slice(a, block)
-            q = _rows(some, "query_vec")
-            if metric == "cosine":
-                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), V.NORM_FLOOR)
-            sim = q @ g
-            by = np.argsort(-sim, axis=1, kind="stable")  # ties: smaller id first
-            mine = some["query_label"].to_numpy(zero_copy_only=False)
-            rel = labels[by] == mine[:, None]
-            n = rel.sum(1)
-            ap = np.where(n > 0, (np.cumsum(rel, 1) / at * rel).sum(1) / np.maximum(n, 1), 0.0)
-            first = np.where(n > 0, rel.argmax(1) + 1, 0)
-            cols = [some["query_id"], some["query_label"], pa.array(n.astype(np.int64)), pa.array(ap), pa.array(first.astype(np.int32), mask=n == 0)]
-            cols += [pa.array(rel[:, :k].any(1).astype(np.int32)) for k in ks]
-            cols += [pa.array(ids[by[:, 0]]), pa.array(np.take_along_axis(sim, by[:, :1], 1)[:, 0])]
-            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "query_label", "num_relevant", "ap", "first_hit_rank", *[f"hit_at_{k}" for k in ks], "top1_gallery_id", "top1_score"])
-
-
-def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", gallery_bytes: int = GALLERY_BYTES, block: int = 256) -> DataFrame:
-    """R9 per query, by matrix blocks.  The gallery's size is measured first;
-    beyond ``gallery_bytes``, or without a row, the window route is taken."""
-    wanted = ["query_id", "query_label", "num_relevant", "ap", "first_hit_rank", *[f"hit_at_{k}" for k in ks], "top1_gallery_id", "top1_score"]
-    n, width = gallery.agg(F.count(F.lit(1)), F.max(F.size("gallery_vec"))).first()
-    if not n or n * (8 * (width or 0) + 16) > gallery_bytes:
-        return evaluate(queries, gallery, ks, metric).select(*wanted)
-    held = gallery.select("gallery_id", "gallery_label", "gallery_vec").toArrow()
-    ids, labels = held["gallery_id"].to_numpy(), held["gallery_label"].to_numpy()
-    g = held["gallery_vec"].combine_chunks()
-    vectors = g.flatten().to_numpy().astype(np.float64).reshape(len(ids), width)
-    if metric == "cosine":
-        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), V.NORM_FLOOR)
-    box = queries.sparkSession.sparkContext.broadcast((ids, vectors, labels))
-    kind = queries.schema["query_label"].dataType.simpleString()
-    schema = f"query_id long, query_label {kind}, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"hit_at_{k} int" for k in ks) + ", top1_gallery_id long, top1_score double"
-    return queries.select("query_id", "query_label", "query_vec").mapInArrow(lambda it: _score(it, *box.value, ks, metric, block), schema)
-
-
-def _best(q: pa.Table, g: pa.Table, k: int, metric: str) -> pa.Table:
+        for key in zip(batch["query_id"].to_pylist(), batch[label].to_pylist(), batch["sims"], batch["ids"], batch["rels"]):
+            if pieces and key[0] != now[0]:
+                done.append(result(*now, pieces))
+                pieces = []
+                if len(done) == 1000:
+                    yield out(done)
+                    done = []
+            now = key[:2]
+            pieces.append(tuple(x.as_py() for x in key[2:]))
+    if pieces:
+        done.append(result(*now, pieces))
+    if done:
+        yield out(done)
+
+
+def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", multi: bool = False, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """R9 / R10 per query (one row per query_id), for galleries of any size."""
+    label = "query_labels" if multi else "query_label"
+    q = queries.select("query_id", label, V.doubles("query_vec").alias("query_vec"))
+    g = gallery.select(F.col("gallery_id").cast("long").alias("gallery_id"), "gallery_labels" if multi else "gallery_label", V.doubles("gallery_vec").alias("gallery_vec"))
+    head = f"query_id {_kind(q, 'query_id')}, {label} {_kind(q, label)}"
+    sent = dealt(q, g, lambda a, b: _ordered(a, b, metric, multi, label), f"{head}, sims binary, ids binary, rels binary", shard_rows, block_rows)
+    schema = f"{head}, num_gallery long, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"{x}_at_{k} int" for x in ("hit", "found") for k in ks) + ", top1_gallery_id long, top1_score double"
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    merged = sent.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, label, ks, kinds.names, kinds), schema)
+    merged = _set_quality(merged, ks).withColumn("num_active_labels", F.size(label)) if multi else merged
+    return merged
+
+
+def _best(q: pa.Table, g: pa.Table, k: int, metric: str, least: float | None, others: bool) -> pa.Table:
     """The k best rows of a gallery shard for each query of a block."""
-    out: list[list[np.ndarray]] = [[], [], []]
+    out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     if q.num_rows and g.num_rows:
-        a, b = (np.array(t[c].to_pylist(), dtype=np.float64) for t, c in ((q, "query_vec"), (g, "gallery_vec")))
-        if metric == "cosine":
-            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.NORM_FLOOR) for x in (a, b))
-        ids = g["gallery_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, b = ids[order], b[order]
-        for at in range(0, len(a), 256):
-            sim = a[at : at + 256] @ b.T
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            out[0].append(np.repeat(q["query_id"].to_numpy()[at : at + 256], best.shape[1]))
-            out[1].append(ids[best].reshape(-1))
-            out[2].append(np.take_along_axis(sim, best, 1).reshape(-1))
-    kinds = (np.int64, np.int64, np.float64)
-    return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in zip(out, kinds)], names=["query_id", "gallery_id", "sim"])
-
-
-def top_blocks(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "dot", shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
-    """The same rows as ``top`` of ``pairs``, for a gallery of any size: blocks
-    of queries meet shards of the gallery, both of bounded size, as matrices;
-    only k rows per query and shard leave a task."""
-    n, m = gallery.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    dealt = lambda c, pieces: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
-    each = lambda pieces: F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
-    left = queries.select("query_id", V.doubles("query_vec").alias("query_vec"), dealt("query_id", blocks).alias("block"), each(shards).alias("shard"))
-    right = gallery.select("gallery_id", V.doubles("gallery_vec").alias("gallery_vec"), dealt("gallery_id", shards).alias("shard"), each(blocks).alias("block"))
-    keys = ["shard", "block"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _best(a, b, k, metric), "query_id long, gallery_id long, sim double")
-    return top(best, k)
+        g = g.sort_by("gallery_id")
+        ids, asked = g["gallery_id"].to_numpy(), q["query_id"].to_numpy()
+        sim = similarities(q, g, metric)
+        if least is not None:
+            sim = np.maximum(sim, least)
+        if others:
+            sim[asked[:, None] == ids[None, :]] = -np.inf
+        if sim.shape[1] > k:  # what cannot be among the k best goes before the sort
+            low = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
+        else:
+            low = np.full(len(sim), -np.inf)
+        i, j = np.nonzero((sim >= low[:, None]) & (sim > -np.inf))
+        order = np.lexsort((j, -sim[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, i)
+        best = np.arange(len(i)) - first < k
+        out = [asked[i[best]], ids[j[best]], sim[i[best], j[best]]]
+    return pa.table([pa.array(x) for x in out], names=["query_id", "gallery_id", "sim"])
+
+
+def top_blocks(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "dot", shard_rows: int = SHARD_ROWS, block_rows: int = 2048, least: float | None = None, others: bool = False) -> DataFrame:
+    """The same rows as ``top`` of ``pairs``: only k rows per query and shard
+    leave a task.  ``least``: similarities below it count as it; ``others``:
+    without the gallery row that has the query's id."""
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), V.doubles("query_vec").alias("query_vec"))
+    g = gallery.select(F.col("gallery_id").cast("long").alias("gallery_id"), V.doubles("gallery_vec").alias("gallery_vec"))
+    return top(dealt(q, g, lambda a, b: _best(a, b, k, metric, least, others), "query_id long, gallery_id long, sim double", shard_rows, block_rows), k)

@@ -2,18 +2,22 @@
 
 Test statistics are aggregations.  Tail probabilities need special functions
 that SQL does not have; they are computed for a table of a row per comparison.
-Resampling runs on one compact array per comparison of bounded size, or, for
-any size, as Poisson resampling inside the aggregation.
+Resampling draws a number per pair and round from a hash of the pair's id and
+sums in the tasks that hold the pairs, so a group may have any size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def _fraction(a: float, b: float, x: float) -> float:
@@ -116,60 +120,87 @@ def mcnemar(pairs: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return s.withColumn("p_value", chi2_probability("chi2"))
 
 
-def _seed(seed: int, key: tuple) -> np.random.Generator:
-    import zlib
+# ---- resampling ---------------------------------------------------------------
 
-    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
 
+def _hashes(seed: int, ids: np.ndarray, n: int) -> np.ndarray:
+    """n numbers of 64 bits per id, the same wherever a row lies."""
+    x = ids.astype(np.uint64)[:, None] + np.uint64(seed * 0xD1342543DE82EF95 & (1 << 64) - 1)
+    x = x * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _resample(pairs: DataFrame, x: str, y: str, by: list[str], columns: str, work) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + columns
-    rows = pairs.filter(finite(F.col(x).cast("double")) & finite(F.col(y).cast("double"))).select(*by, (F.col(x).cast("double") - F.col(y).cast("double")).alias("d"))
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *work(np.sort(part["d"].to_numpy(float)), key)]], columns=[*by, *(c.split()[0] for c in columns.split(", "))])
-
-    return rows.groupBy(*by).applyInPandas(one, schema)
-
-
-def bootstrap(pairs: DataFrame, x: str, y: str, by: list[str], rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """T-4: mean difference and its percentile interval, per group; a group's
-    differences (numbers only, one per query) are resampled in one task."""
-
-    def work(d: np.ndarray, key: tuple) -> tuple:
-        rng = _seed(seed, key)
-        means = np.array([d[rng.integers(0, len(d), len(d))].mean() for _ in range(rounds)])
-        low, high = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
-        return float(d.mean()), float(low), float(high)
-
-    return _resample(pairs, x, y, by, "mean_diff double, ci_lower double, ci_upper double", work)
-
-
-def poisson_bootstrap(pairs: DataFrame, x: str, y: str, by: list[str], rounds: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """T-4 at any size: every pair has a Poisson(1) weight per round, drawn
-    from hashes, and each round is a weighted mean; nothing is gathered."""
-    d = F.col(x).cast("double") - F.col(y).cast("double")
-    rows = pairs.filter(finite(d)).select(*by, d.alias("d"), F.monotonically_increasing_id().alias("__i"))
-    each = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "__i", "round"), F.lit(1 << 40)) / float(1 << 40)
-    edges, p, total = [], math.exp(-1), 0.0
-    for k in range(12):
-        total += p
-        edges.append(total)
+def _poisson_table() -> np.ndarray:
+    """The Poisson(1) number of each of 2^16 equally likely values."""
+    edges, p = [], math.exp(-1)
+    for k in range(10):
+        edges.append(p + (edges[-1] if edges else 0.0))
         p /= k + 1
-    weight = sum((F.when(u >= e, 1).otherwise(0) for e in edges[1:]), F.when(u >= edges[0], 1).otherwise(0))
-    means = each.withColumn("w", weight).groupBy(*by, "round").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("ci_lower"), F.percentile("m", F.lit((1 + level) / 2)).alias("ci_upper"))
-
-
-def permutation(pairs: DataFrame, x: str, y: str, by: list[str], rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """T-6: two-sided sign-flip test of the mean difference, per group."""
-
-    def work(d: np.ndarray, key: tuple) -> tuple:
-        rng = _seed(seed, key)
-        seen = abs(d.mean())
-        hits = sum(abs((d * rng.choice((-1.0, 1.0), len(d))).mean()) >= seen - 1e-15 for _ in range(rounds))
-        return float(d.mean()), float(hits / rounds)
-
-    return _resample(pairs, x, y, by, "mean_diff double, p_value double", work)
+    return np.searchsorted(np.array(edges), (np.arange(1 << 16) + 0.5) / (1 << 16), "right").astype(np.float32)
+
+
+def poisson_weights(seed: int, ids: np.ndarray, rounds: int) -> np.ndarray:
+    return _poisson_table()[_hashes(seed, ids, -(-rounds // 4)).view(np.uint16)[:, :rounds]]
+
+
+def signs(seed: int, ids: np.ndarray, rounds: int) -> np.ndarray:
+    bits = np.unpackbits(_hashes(seed, ids, -(-rounds // 64)).view(np.uint8), axis=1)[:, :rounds]
+    return 1.0 - 2.0 * bits.astype(np.float32)
+
+
+def _round_sums(batches: Iterator[pa.RecordBatch], by: int, kinds: pa.Schema, rounds: int, draw, seed: int, step: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Per group and round: sums of the drawn numbers times the differences, and
+    of the numbers; one row per group of this task's rows."""
+    held: dict[tuple, list[np.ndarray]] = {}
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in range(by)))) if by else [()] * batch.num_rows
+        at: dict[tuple, list[int]] = {}
+        for i, k in enumerate(keys):
+            at.setdefault(k, []).append(i)
+        d, ids = batch["d"].to_numpy(), batch["__id"].to_numpy().view(np.uint64)
+        for k, rows in at.items():
+            mine = held.setdefault(k, [np.zeros(rounds), np.zeros(rounds), np.zeros(2)])
+            for a in range(0, len(rows), step):
+                some = np.array(rows[a : a + step])
+                w = draw(seed, ids[some], rounds)
+                mine[0] += d[some] @ w.astype(np.float64)
+                mine[1] += w.sum(0, dtype=np.float64)
+                mine[2] += (d[some].sum(), len(some))
+    for k, (x, n, whole) in held.items():
+        one = [pa.array([v], kinds.field(i).type) for i, v in enumerate(k)]
+        yield pa.RecordBatch.from_arrays([*one, *(pa.array([v.tolist()], pa.list_(pa.float64())) for v in (x, n, whole))], names=kinds.names)
+
+
+def _rounds(pairs: DataFrame, x: str, y: str, by: list[str], ids: list[str], rounds: int, draw, seed: int) -> DataFrame:
+    """by, round, sum (of number times difference), n (of numbers), mean_diff."""
+    d = F.col(x).cast("double") - F.col(y).cast("double")
+    rows = pairs.filter(finite(F.col(x).cast("double")) & finite(F.col(y).cast("double"))).select(*by, d.alias("d"), F.xxhash64(*by, *ids).alias("__id"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = "".join(f"{c} {kinds[c]}, " for c in by) + "sums array<double>, numbers array<double>, whole array<double>"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    parts = rows.mapInArrow(lambda it: _round_sums(it, len(by), arrow, rounds, draw, seed), schema)
+    mean = parts.groupBy(*by).agg((F.sum(F.get("whole", F.lit(0))) / F.sum(F.get("whole", F.lit(1)))).alias("mean_diff"), F.sum(F.get("whole", F.lit(1))).alias("pairs"))
+    each = parts.select(*by, F.posexplode(F.arrays_zip("sums", "numbers")).alias("round", "s"))
+    per = each.groupBy(*by, "round").agg(F.sum("s.sums").alias("sum"), F.sum("s.numbers").alias("n"))
+    # a row per group, and a row per group and round
+    return per.join(F.broadcast(mean), by) if by else per.crossJoin(F.broadcast(mean))
+
+
+def bootstrap(pairs: DataFrame, x: str, y: str, by: list[str], ids: list[str], rounds: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """T-4 at any size: per group mean_diff, ci_lower and ci_upper (percentiles
+    of the rounds' means).  Every pair has a Poisson(1) weight per round, drawn
+    from a hash of ``ids`` (columns that tell pairs apart), so the intervals do
+    not depend on how rows are dealt; tasks sum, nothing is gathered."""
+    r = _rounds(pairs, x, y, by, ids, rounds, poisson_weights, seed).filter("n > 0").withColumn("m", F.col("sum") / F.col("n"))
+    tails = F.lit((1 - level) / 2), F.lit((1 + level) / 2)
+    return r.groupBy(*by).agg(F.first("mean_diff").alias("mean_diff"), F.percentile("m", tails[0]).alias("ci_lower"), F.percentile("m", tails[1]).alias("ci_upper"))
+
+
+def permutation(pairs: DataFrame, x: str, y: str, by: list[str], ids: list[str], rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """T-6 at any size: two-sided sign-flip test of the mean difference, per
+    group: mean_diff, p_value.  Signs are drawn from a hash of ``ids``."""
+    r = _rounds(pairs, x, y, by, ids, rounds, signs, seed)
+    extreme = F.abs(F.col("sum") / F.col("pairs")) >= F.abs("mean_diff") - 1e-15
+    return r.groupBy(*by).agg(F.first("mean_diff").alias("mean_diff"), F.avg(extreme.cast("double")).alias("p_value"))

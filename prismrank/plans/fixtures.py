@@ -56,7 +56,7 @@ def conditioned(spark: SparkSession, d: str) -> DataFrame:
 SQL_V = "v AS (SELECT vec_id AS sample_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 SQL_PAIRS = (
     SQL_V
-    + """, p AS (SELECT q.sample_id AS query_id, q.label AS query_label, g.sample_id AS gallery_id, g.label AS gallery_label,
+    + """, p AS MATERIALIZED (SELECT q.sample_id AS query_id, q.label AS query_label, g.sample_id AS gallery_id, g.label AS gallery_label,
        list_dot_product(q.e, g.e) AS sim, (q.label = g.label)::INT AS rel FROM v q JOIN v g ON q.sample_id % 5 = 0 AND g.sample_id % 5 <> 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, gallery_id) AS rank FROM p),
  a AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM r),

@@ -224,25 +224,22 @@ def t5_mcnemar(spark: S, d: str) -> DataFrame:
 
 
 def _paired_orders(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_returnflag", F.col("l_discount").alias("x"), F.col("l_tax").alias("y"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_discount").alias("x"), F.col("l_tax").alias("y"))
 
 
-@query(None)
-def t4_bootstrap(spark: S, d: str) -> DataFrame:
-    """T-4 (seeded resampling: tests)."""
-    return r6(stats.bootstrap(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=1000))
+ORDER_IDS = ["l_orderkey", "l_linenumber"]
 
 
 @query(None)
-def t4_poisson_bootstrap(spark: S, d: str) -> DataFrame:
-    """T-4 for groups of any size."""
-    return r6(stats.poisson_bootstrap(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=1000))
+def t4_bootstrap(spark: S, d: str) -> DataFrame:
+    """T-4 (seeded resampling: tests)."""
+    return r6(stats.bootstrap(_paired_orders(spark, d), "x", "y", ["l_returnflag"], ORDER_IDS, rounds=1000))
 
 
 @query(None)
 def t6_permutation(spark: S, d: str) -> DataFrame:
     """T-6 (seeded: tests)."""
-    return r6(stats.permutation(_paired_orders(spark, d), "x", "y", ["l_returnflag"], rounds=1000))
+    return r6(stats.permutation(_paired_orders(spark, d), "x", "y", ["l_returnflag"], ORDER_IDS, rounds=1000))
 
 
 @query("SELECT 'all' AS method, query_label, count(DISTINCT query_id % 2) AS num_folds, count(*) AS num_queries, round(avg(ap * 100), 6) AS map_mean, round(coalesce(stddev_samp(ap * 100), 0), 6) AS map_std, round(avg(hit_at_1 * 100), 6) AS r_at_1_mean, round(coalesce(stddev_samp(hit_at_1 * 100), 0), 6) AS r_at_1_std FROM q GROUP BY query_label", X.SQL_PAIRS)
@@ -312,13 +309,14 @@ def j10_decorated_rows(spark: S, d: str) -> DataFrame:
     return report.decorate(rows, s)
 
 
-@query("SELECT coalesce(a.p, b.p) AS split_position, a.i AS cache_index, b.i AS manifest_index FROM (SELECT (vec_id // 2) AS p, vec_id AS i FROM embeddings WHERE vec_id % 2 = 0) a FULL JOIN (SELECT (vec_id // 2) AS p, CASE WHEN vec_id % 10 = 0 THEN vec_id + 1 ELSE vec_id END AS i FROM embeddings WHERE vec_id % 2 = 0 AND vec_id > 4) b ON a.p = b.p WHERE a.i IS DISTINCT FROM b.i")
+@query("SELECT coalesce(a.p, b.p) AS split_position, a.i AS cache_index, b.i AS manifest_index FROM (SELECT vec_id AS p, vec_id AS i FROM embeddings) a FULL JOIN (SELECT vec_id + 3 AS p, CASE WHEN (vec_id + 3) % 10 = 0 THEN vec_id + 4 ELSE vec_id + 3 END AS i FROM embeddings) b ON a.p = b.p WHERE a.i IS DISTINCT FROM b.i")
 def s16_cache_mismatches(spark: S, d: str) -> DataFrame:
-    """A cache against a manifest that was altered."""
-    rows = X.vectors(spark, d).filter("sample_id % 2 = 0").select(F.expr("sample_id div 2").alias("split_position"), F.col("sample_id").alias("dataset_index"), F.lit(0).alias("label"))
-    i = F.col("dataset_index")
-    manifest = rows.filter("dataset_index > 4").withColumn("dataset_index", F.when(i % 10 == 0, i + 1).otherwise(i))
-    return tables.mismatches(rows, manifest).select("split_position", "cache_index", "manifest_index")
+    """A cache of all rows against a manifest of all rows that begins at
+    position 3 and has another index at every tenth."""
+    cache = X.vectors(spark, d).select(F.col("sample_id").alias("split_position"), F.col("sample_id").alias("dataset_index"), F.lit(0).alias("label"))
+    i = F.col("dataset_index") + 3
+    manifest = cache.withColumns({"split_position": F.col("split_position") + 3, "dataset_index": F.when(i % 10 == 0, i + 1).otherwise(i)})
+    return tables.mismatches(cache, manifest).select("split_position", "cache_index", "manifest_index")
 
 
 # ---- failures ------------------------------------------------------------------------

@@ -35,7 +35,8 @@ def retrieval_map_single_label(spark: S, d: str) -> DataFrame:
 @query("SELECT query_id, query_label, num_relevant::BIGINT AS num_relevant, round(ap, 6) AS ap, first_hit_rank::INT AS first_hit_rank, hit_at_1, hit_at_5, hit_at_10, top1_gallery_id, round(top1_score, 6) AS top1_score FROM q", X.SQL_PAIRS)
 def r12_per_query_rows(spark: S, d: str) -> DataFrame:
     """R12, R6, R8, R13 by blocks."""
-    return r6(ranking.evaluate_blocks(X.query_side(spark, d), X.gallery_side(spark, d)))
+    rows = ranking.evaluate_blocks(X.query_side(spark, d), X.gallery_side(spark, d))
+    return r6(rows.select("query_id", "query_label", "num_relevant", "ap", "first_hit_rank", "hit_at_1", "hit_at_5", "hit_at_10", "top1_gallery_id", "top1_score"))
 
 
 @query("SELECT query_id, round(ap, 6) AS ap, first_hit_rank::INT AS first_hit_rank, hit_at_5, top1_gallery_id, top1_label FROM q", X.SQL_PAIRS)
@@ -79,16 +80,15 @@ MULTI = (
 @query("SELECT count(*) AS num_queries, round(avg(h5) * 100, 6) AS r_at_5, round(avg(p5) * 100, 6) AS p_at_5, round(avg(r5) * 100, 6) AS ml_recall_at_5, round(avg(CASE WHEN p5 + r5 > 0 THEN 2 * p5 * r5 / (p5 + r5) ELSE 0 END) * 100, 6) AS f1_at_5, round(avg(ap) * 100, 6) AS map FROM m", MULTI)
 def r10_multi_label(spark: S, d: str) -> DataFrame:
     """R10, R3 to R5, J3."""
-    rows = ranking.evaluate(X.query_side(spark, d, True), X.gallery_side(spark, d, True), (5,), "cosine", multi=True)
+    rows = ranking.evaluate_blocks(X.query_side(spark, d, True), X.gallery_side(spark, d, True), (5,), "cosine", multi=True)
     return r6(ranking.summary(rows, (5,), multi=True))
 
 
 @query("SELECT u AS class_name, count(*) AS num_queries, round(avg(h1) * 100, 2) AS r_at_1, round(avg(h5) * 100, 2) AS r_at_5 FROM (SELECT unnest(ls) AS u, h1, h5 FROM q) GROUP BY u", MULTI)
 def r14_per_class_multi_label(spark: S, d: str) -> DataFrame:
     """R14."""
-    asked = X.query_side(spark, d, True)
-    rows = ranking.evaluate(asked, X.gallery_side(spark, d, True), (1, 5), "cosine", multi=True)
-    return ranking.per_class(rows.join(asked.select("query_id", "query_labels"), "query_id"), "query_labels", (1, 5))
+    rows = ranking.evaluate_blocks(X.query_side(spark, d, True), X.gallery_side(spark, d, True), (1, 5), "cosine", multi=True)
+    return ranking.per_class(rows, "query_labels", (1, 5))
 
 
 CENTROIDS = X.SQL_V + ", t AS (SELECT label AS class_id, list(m ORDER BY d) AS c FROM (SELECT label, d, avg(e[d + 1]) AS m FROM v, (SELECT unnest(range(64))::INT AS d) WHERE sample_id % 5 >= 3 GROUP BY label, d) GROUP BY label)"
@@ -312,9 +312,9 @@ def a19_multi_label_votes(spark: S, d: str) -> DataFrame:
 
 GRAPH = (
     X.SQL_PAIRS
-    + """, gg AS (SELECT * FROM (SELECT x.sample_id AS src_id, y.sample_id AS dst_id, greatest(list_cosine_similarity(x.e, y.e), 0) AS s,
+    + """, gg AS MATERIALIZED (SELECT * FROM (SELECT x.sample_id AS src_id, y.sample_id AS dst_id, greatest(list_cosine_similarity(x.e, y.e), 0) AS s,
        row_number() OVER (PARTITION BY x.sample_id ORDER BY greatest(list_cosine_similarity(x.e, y.e), 0) DESC, y.sample_id) AS k FROM v x JOIN v y ON x.sample_id % 5 <> 0 AND y.sample_id % 5 <> 0 AND x.sample_id <> y.sample_id) WHERE k <= 5),
- gw AS (SELECT src_id, dst_id, s / (sum(s) OVER (PARTITION BY src_id) + 1e-6) AS weight FROM gg)"""
+ gw AS MATERIALIZED (SELECT src_id, dst_id, s / (sum(s) OVER (PARTITION BY src_id) + 1e-6) AS weight FROM gg)"""
 )
 
 
@@ -327,8 +327,9 @@ def a20_gallery_graph(spark: S, d: str) -> DataFrame:
 @query("SELECT p.query_id, p.gallery_id, round(0.7 * p.sim + 0.3 * x.s, 6) AS sim FROM p JOIN (SELECT query_id, src_id AS gallery_id, sum(weight * sim) AS s FROM gw JOIN p ON p.gallery_id = gw.dst_id GROUP BY ALL) x USING (query_id, gallery_id)", GRAPH)
 def a21_propagation(spark: S, d: str) -> DataFrame:
     """A21, J6."""
-    scored = ranking.pairs(X.query_side(spark, d), X.gallery_side(spark, d))
-    return r6(scoring.refine(scored, scoring.gallery_graph(X.gallery_side(spark, d), 5), 0.3).select("query_id", "gallery_id", "sim"))
+    gallery = X.gallery_side(spark, d)
+    moved = scoring.propagated(gallery, scoring.gallery_graph(gallery, 5), 0.3)
+    return r6(ranking.pairs(X.query_side(spark, d), moved).select("query_id", "gallery_id", "sim"))
 
 
 @query(
@@ -342,8 +343,8 @@ def a21_propagation(spark: S, d: str) -> DataFrame:
 )
 def a22_alpha_search(spark: S, d: str) -> DataFrame:
     """A22."""
-    scored = ranking.pairs(X.query_side(spark, d), X.gallery_side(spark, d))
-    out = scoring.search_alpha(scored, scoring.gallery_graph(X.gallery_side(spark, d), 5), [0.0, 0.3, 0.7])
+    gallery = X.gallery_side(spark, d)
+    out = scoring.search_alpha(X.query_side(spark, d), gallery, scoring.gallery_graph(gallery, 5), [0.0, 0.3, 0.7])
     return r6(out.select("alpha", "r_at_1", "r_at_5", "map", "best"))
 
 

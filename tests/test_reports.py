@@ -35,16 +35,32 @@ def test_mcnemar(spark):
 
 def test_resampling_is_seeded_and_covers_the_mean(spark):
     rng = np.random.default_rng(0)
-    rows = [("a", float(x), 0.0) for x in rng.normal(1, 1, 300)] + [("b", float(x), 0.0) for x in rng.normal(0, 1, 300)]
-    df = spark.createDataFrame(rows, "g string, x double, y double")
-    a = {r.g: tuple(r) for r in stats.bootstrap(df, "x", "y", ["g"], 300).collect()}
-    assert a == {r.g: tuple(r) for r in stats.bootstrap(df.repartition(5), "x", "y", ["g"], 300).collect()}
+    rows = [(g, i, float(x), 0.0) for g, mean in (("a", 1), ("b", 0)) for i, x in enumerate(rng.normal(mean, 1, 300))]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double")
+    a = {r.g: tuple(r) for r in stats.bootstrap(df, "x", "y", ["g"], ["i"], 1000).collect()}
+    for k in (1, 5):  # the same however rows are dealt
+        for r in stats.bootstrap(df.repartition(k), "x", "y", ["g"], ["i"], 1000).collect():
+            assert tuple(r)[1:] == pytest.approx(a[r.g][1:], abs=1e-12)
     for r in a.values():
-        assert r[2] < r[1] < r[3] and r[3] - r[2] == pytest.approx(4 * 1 / math.sqrt(300), rel=0.3)
-    p = {r.g: r.p_value for r in stats.permutation(df, "x", "y", ["g"], 300).collect()}
-    assert p["a"] < 0.01 < p["b"]
-    q = {r.g: r for r in stats.poisson_bootstrap(df, "x", "y", ["g"], 100).collect()}
-    assert q["a"].ci_upper - q["a"].ci_lower == pytest.approx(a["a"][3] - a["a"][2], rel=0.4)
+        d = np.array([x for g, _, x, _ in rows if g == r[0]])
+        classic = np.percentile([rng.choice(d, 300).mean() for _ in range(2000)], (2.5, 97.5))
+        assert r[1] == pytest.approx(d.mean()) and r[2:] == pytest.approx(classic, abs=0.025)
+    p = {r.g: r for r in stats.permutation(df, "x", "y", ["g"], ["i"], 1000).collect()}
+    assert p["a"].p_value == 0 and p["a"].mean_diff == pytest.approx(a["a"][1])
+    d = np.array([x for g, _, x, _ in rows if g == "b"])
+    flipped = np.abs((rng.choice((-1.0, 1.0), (5000, 300)) * d).mean(1)) >= abs(d.mean())
+    assert p["b"].p_value == pytest.approx(flipped.mean(), abs=0.06)
+    whole = stats.bootstrap(df, "x", "y", [], ["g", "i"], 50).first()
+    assert whole.ci_lower < whole.mean_diff < whole.ci_upper
+    assert stats.bootstrap(df.limit(0), "x", "y", ["g"], ["i"], 10).count() == 0
+
+
+def test_drawn_numbers_have_their_distribution():
+    ids = np.arange(20_000, dtype=np.uint64)
+    w = stats.poisson_weights(42, ids, 50)
+    assert w.shape == (20_000, 50) and np.bincount(w.astype(int).reshape(-1))[:4] / w.size == pytest.approx([np.exp(-1), np.exp(-1), np.exp(-1) / 2, np.exp(-1) / 6], abs=2e-3)
+    s = stats.signs(42, ids, 130)
+    assert s.shape == (20_000, 130) and abs(s.mean()) < 2e-3 and np.abs(np.corrcoef(s[:, :20].T) - np.eye(20)).max() < 0.04
 
 
 def test_spread_of_one_value_is_zero(spark):
@@ -211,13 +227,13 @@ def test_registered_resampling_has_1000_rounds(spark, monkeypatch):
     from prismrank.plans import report_queries
 
     seen = {}
-    for name in ("bootstrap", "poisson_bootstrap", "permutation"):
+    for name in ("bootstrap", "permutation"):
 
         def spy(*args, name=name, call=getattr(stats, name), **kw):
             seen[name] = kw.get("rounds")
             return call(*args, **kw)
 
         monkeypatch.setattr(stats, name, spy)
-    for name in ("t4_bootstrap", "t4_poisson_bootstrap", "t6_permutation"):
+    for name in ("t4_bootstrap", "t6_permutation"):
         assert getattr(report_queries, name)(spark, "/root/testdata/sf0.001").count() == 3
-    assert seen == {"bootstrap": 1000, "poisson_bootstrap": 1000, "permutation": 1000}
+    assert seen == {"bootstrap": 1000, "permutation": 1000}
