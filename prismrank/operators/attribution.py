@@ -33,16 +33,26 @@ def group_shares(per_band: DataFrame, bands: DataFrame, label: str = "label") ->
     return sums.select(label, "spectral_group", (F.col("s") / F.greatest(whole, F.lit(1e-8))).alias("share"))
 
 
-def preferences(per_band: DataFrame, bands: DataFrame, k: int = 3, label: str = "label") -> DataFrame:
+def preferences(per_band: DataFrame, bands: DataFrame, k: int = 3, label: str = "label", explanations: DataFrame | None = None) -> DataFrame:
     """Per class its k bands with the largest and with the smallest mean
-    (ties by position), and the group with the largest sum."""
+    (ties by position) and their scores, the group with the largest sum, the
+    number of samples, and an explanation: that of ``explanations`` (label,
+    explanation), or a sentence that names the top bands."""
     named = per_band.join(F.broadcast(bands), "band_pos")
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("mean")).alias("m"), "band_pos", "band")))
-    names = lambda a: F.transform(a, lambda x: x["band"])
-    rows = named.groupBy(label).agg(ordered.alias("o"))
+    names = lambda a: F.array_join(F.transform(a, lambda x: x["band"]), ", ")
+    scores = lambda a: F.transform(a, lambda x: -x["m"])
+    rows = named.groupBy(label).agg(ordered.alias("o"), F.max("n").alias("n_samples"))
     sums = named.groupBy(label, "spectral_group").agg(F.sum("mean").alias("s"), F.min("band_pos").alias("p"))
     best = sums.groupBy(label).agg(F.max_by("spectral_group", F.struct("s", -F.col("p"))).alias("dominant_region"))
-    return rows.join(best, label).select(label, F.array_join(names(F.slice("o", 1, k)), ", ").alias("top_bands"), F.array_join(names(F.slice("o", F.greatest(F.size("o") - k + 1, F.lit(1)), F.lit(k))), ", ").alias("bottom_bands"), "dominant_region")
+    top, bottom = F.slice("o", 1, k), F.slice("o", F.greatest(F.size("o") - k + 1, F.lit(1)), F.lit(k))
+    out = rows.join(best, label).select(label, names(top).alias("top_bands"), names(bottom).alias("bottom_bands"), "dominant_region", scores(top).alias("top_scores"), scores(bottom).alias("bottom_scores"), "n_samples")
+    given = F.lit(None).cast("string")
+    if explanations is not None:
+        out = out.join(explanations.select(F.col("label").alias(label), F.col("explanation").alias("__given")), label, "left")
+        given = F.col("__given")
+    plain = F.concat(F.lit("No explanation is given for "), F.col(label).cast("string"), F.lit(". Top bands: "), F.col("top_bands"), F.lit("."))
+    return out.withColumn("explanation", F.coalesce(given, plain)).drop("__given")
 
 
 def domain_shift(a: DataFrame, b: DataFrame, pairs: DataFrame, k: int = 3) -> DataFrame:

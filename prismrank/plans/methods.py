@@ -1,5 +1,5 @@
-"""Retrieval methods as plans, cross-validation, ablation and sweeps (A12, A14,
-A16, R15, R17, G18, G21, G23).
+"""Retrieval methods as plans, cross-validation, ablation and sweeps (A11, A12,
+A14, A16, R15, R17, G18, G21, G23).
 
 A method turns samples (sample_id, label, bands) and a role into features; all
 methods share one evaluation.  The conditioning vector of the spectral methods
@@ -10,16 +10,23 @@ label-free search.
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismrank.functions import vectors as V
-from prismrank.operators import graph, kernel, ranking, report, scoring
+from prismrank.operators import attribution, graph, kernel, pca, ranking, report, scoring
 
 STAGES = ("selected", "mean", "affinity", "fiedler", "full")
-METHODS = (*STAGES, "vote")
+#: Methods beside the stages: the mean of the bands of the spectral indices (near
+#: infrared, red, green, short-wave infrared, those that are there), three
+#: principal components of all bands, propagation over the gallery, and votes.
+METHODS = (*STAGES, "index", "pca", "propagation", "vote")
+RGB_BANDS = (3, 2, 1)
+INDEX_BANDS = (7, 3, 2, 11)
+ALPHAS = (0.3, 0.5, 0.7)
 
 
 def check_methods(methods: list[str]) -> None:
@@ -43,21 +50,32 @@ def class_queries(train: DataFrame, label: str = "label") -> DataFrame:
     return dims.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("query"))
 
 
+def first_label(labels: Column) -> Column:
+    """The one label that conditions a sample with several."""
+    return F.get(labels, F.lit(0))
+
+
+def strongest_label(multi_hot: Column) -> Column:
+    """The first place of the largest value of a multi-hot vector."""
+    return (F.array_position(multi_hot, F.array_max(multi_hot)) - 1).cast("int")
+
+
 def condition(samples: DataFrame, train: DataFrame, mode: str = "own_label") -> DataFrame:
     """Adds ``query`` and ``conditioning``.  ``own_label``: the
     centroid of the sample's class; ``mean_band``: its own mean band, which
     needs no label."""
     if mode == "own_label":
-        return samples.join(F.broadcast(class_queries(train)), "label").withColumn("conditioning", F.lit(mode))
+        return samples.join(class_queries(train), "label").withColumn("conditioning", F.lit(mode))
     if mode == "mean_band":
         return samples.withColumn("query", graph.mean_fusion("bands")).withColumn("conditioning", F.lit(mode))
     raise ValueError(f"unknown conditioning {mode!r}")
 
 
-def fused(samples: DataFrame, stage: str, config: kernel.Config = kernel.Config(k=3), chosen: tuple[int, ...] = (3, 2, 1)) -> DataFrame:
+def fused(samples: DataFrame, stage: str, config: kernel.Config = kernel.Config(k=3), chosen: tuple[int, ...] = RGB_BANDS) -> DataFrame:
     """sample_id, vec by an ablation stage."""
-    if stage == "selected":
-        some = F.array(*[F.get("bands", F.lit(b)) for b in chosen])
+    if stage in ("selected", "index"):
+        places = chosen if stage == "selected" else INDEX_BANDS
+        some = F.filter(F.array(*[F.get("bands", F.lit(b)) for b in places]), lambda x: x.isNotNull())
         return samples.select("sample_id", graph.mean_fusion(some).alias("vec"))
     if stage == "mean":
         return samples.select("sample_id", graph.mean_fusion("bands").alias("vec"))
@@ -89,14 +107,34 @@ def evaluate_method(samples: DataFrame, roles: DataFrame, method: str, config: k
         texts = class_queries(train).select(F.col("label").alias("class_id"), F.col("query").alias("vec"))
         asked = vec.filter("role <> 'train'").select(F.col("sample_id").alias("image_id"), "vec")
         features = scoring.logit_features(scoring.vote_logits(asked, rows, texts)).select(F.col("image_id").alias("sample_id"), "vec")
+    elif method == "pca":
+        flat = labelled.filter("role <> 'train'").select("sample_id", "role", F.flatten("bands").alias("vec"))
+        features = pca.project(flat.select("sample_id", "vec"), pca.fit(flat.filter("role = 'gallery'"), 3)).withColumn("vec", V.l2_normalize("vec"))
     else:
         wanted = labelled.filter("role <> 'train'").drop("role")
         wanted = condition(wanted, train, mode) if method in ("affinity", "fiedler", "full") else wanted
-        features = fused(wanted, method, config)
+        features = fused(wanted, "selected" if method == "propagation" else method, config)
+    if method == "propagation":
+        return propagation(*sides(features, roles), ks=ks).withColumn("method", F.lit(method))
+    return evaluate_features(features, roles, method, ks)
+
+
+def evaluate_features(features: DataFrame, roles: DataFrame, method: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per-query rows of features (sample_id, vec) however they were made, for
+    example by an encoder from images of three bands, of indices or of principal
+    components."""
     q, g = sides(features, roles)
     return ranking.evaluate_blocks(q, g, ks).withColumn("method", F.lit(method))
 
 
+def propagation(queries: DataFrame, gallery: DataFrame, alphas: tuple[float, ...] = ALPHAS, neighbours: int = 20, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per-query rows with the alpha that is best on these queries, as
+    the baseline chooses it.  The scores of all alphas are a few rows."""
+    edges = scoring.gallery_graph(gallery, neighbours)
+    best = scoring.search_alpha(queries, gallery, edges, list(alphas), (1, 5)).filter("best").first()
+    return ranking.evaluate_blocks(queries, scoring.propagated(gallery, edges, best.alpha), ks)
+
+
 def cross_validate(samples: DataFrame, folds: DataFrame, k: int, methods: list[str], config: kernel.Config = kernel.Config(k=3), wanted: list[int] | None = None) -> DataFrame:
     """Per-query rows of all methods and folds; ``folds``: sample_id, label,
     bucket (L2).  Samples are read once per fold and method and are small next
@@ -141,6 +179,34 @@ def sweep(samples: DataFrame, roles: DataFrame, grid: dict[str, list], base: ker
     return out
 
 
+def leave_one_band_out(samples: DataFrame, roles: DataFrame, bands: int, method: str = "mean", config: kernel.Config = kernel.Config(k=3)) -> DataFrame:
+    """The method run again without each band: dropped, r_at_1, r_at_10,
+    what the band adds to either (all bands minus without it), and its rank by
+    R@10 (1: the band that matters most)."""
+    kept = attribution.without_band(samples)
+    out = None
+    for b in (None, *range(bands)):
+        some = samples if b is None else kept.filter(F.col("dropped") == b).drop("dropped")
+        rows = ranking.summary(evaluate_method(some, roles, method, config), (1, 10)).select(F.lit(b).cast("int").alias("dropped"), "r_at_1", "r_at_10")
+        out = rows if out is None else out.unionByName(rows)
+    whole = Window.orderBy(F.col("dropped").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row per band
+    out = out.withColumns({f"delta_{m}": F.first(m).over(whole) - F.col(m) for m in ("r_at_1", "r_at_10")}).filter("dropped IS NOT NULL")
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.round("delta_r_at_10", 9).desc(), "dropped")))
+
+
+def fusion_times(samples: DataFrame, stages: tuple[str, ...] = STAGES, runs: int = 3, config: kernel.Config = kernel.Config(k=3)) -> DataFrame:
+    """Component, run, value: milliseconds a sample for which a stage's
+    fusion ran as a whole (with ``query`` in ``samples``); input of
+    ``report.timing``."""
+    n, rows = max(samples.count(), 1), []
+    for stage in stages:
+        for r in range(runs):
+            began = time.perf_counter()
+            fused(samples, stage, config).write.format("noop").mode("overwrite").save()
+            rows.append((stage, r, (time.perf_counter() - began) * 1000 / n))
+    return samples.sparkSession.createDataFrame(rows, "component string, run int, value double")
+
+
 def text_to_image(texts: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One query per class (class_id, vec) against labelled images."""
     q = texts.select(F.col("class_id").cast("long").alias("query_id"), F.col("class_id").alias("query_label"), V.l2_normalize("vec").alias("query_vec"))

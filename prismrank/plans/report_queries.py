@@ -433,7 +433,15 @@ def g9_spectral_group_shares(spark: S, d: str) -> DataFrame:
 @query("SELECT label, (SELECT string_agg(band, ', ' ORDER BY k) FROM z WHERE z.label = x.label AND k <= 3) AS top_bands, (SELECT string_agg(band, ', ' ORDER BY k) FROM z WHERE z.label = x.label AND k > 5) AS bottom_bands, (SELECT g FROM gs WHERE gs.label = x.label ORDER BY s DESC, p LIMIT 1) AS dominant_region FROM (SELECT DISTINCT label FROM pb) x", AL + ", z AS (SELECT label, band, row_number() OVER (PARTITION BY label ORDER BY mean DESC, band_pos) AS k FROM pb JOIN bt USING (band_pos))")
 def g10_band_preferences(spark: S, d: str) -> DataFrame:
     """G10."""
-    return attribution.preferences(_per_band(spark, d), dimensions.band_table(spark, 13))
+    rows = attribution.preferences(_per_band(spark, d), dimensions.band_table(spark, 13))
+    return rows.select("label", "top_bands", "bottom_bands", "dominant_region")
+
+
+@query("SELECT label, n_samples, round(top, 6) AS top, round(low, 6) AS low, 'No explanation is given for ' || label || '. Top bands: ' || tops || '.' AS explanation FROM (SELECT label, any_value(n) AS n_samples, max(mean) AS top, min(mean) AS low, (SELECT string_agg(band, ', ' ORDER BY k) FROM z WHERE z.label = pb.label AND k <= 3) AS tops FROM pb GROUP BY label)", AL + ", z AS (SELECT label, band, row_number() OVER (PARTITION BY label ORDER BY mean DESC, band_pos) AS k FROM pb JOIN bt USING (band_pos))")
+def g10_band_scores(spark: S, d: str) -> DataFrame:
+    """Scores, samples and explanation."""
+    rows = attribution.preferences(_per_band(spark, d), dimensions.band_table(spark, 13))
+    return r6(rows.select("label", "n_samples", F.get("top_scores", F.lit(0)).alias("top"), F.element_at("bottom_scores", -1).alias("low"), "explanation"))
 
 
 @query(
@@ -457,6 +465,19 @@ def g21_leave_one_band_out(spark: S, d: str) -> DataFrame:
     return r6(out.select("dropped", "sample_id", F.posexplode("f").alias("d", "v")))
 
 
+LEFT_OUT = X.SQL_BANDS + """, dr AS (SELECT unnest([NULL, 0, 1, 2, 3, 4, 5, 6, 7])::INT AS dropped),
+ ft AS (SELECT dropped, sample_id, label, list(v ORDER BY d) AS f FROM (SELECT dropped, sample_id, any_value(label) AS label, d, avg(x[d + 1]) AS v FROM b, (SELECT unnest(range(8))::INT AS d), dr WHERE dropped IS NULL OR i <> dropped GROUP BY dropped, sample_id, d) GROUP BY ALL),
+ pr AS (SELECT q.dropped, q.sample_id AS query_id, (q.label = g.label)::INT AS rel, row_number() OVER (PARTITION BY q.dropped, q.sample_id ORDER BY list_cosine_similarity(q.f, g.f) DESC, g.sample_id) AS rank FROM ft q JOIN ft g ON q.dropped IS NOT DISTINCT FROM g.dropped AND q.sample_id % 5 = 0 AND g.sample_id % 5 IN (1, 2)),
+ me AS (SELECT dropped, avg(h1) * 100 AS r1, avg(h10) * 100 AS r10 FROM (SELECT dropped, query_id, max(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS h1, max(CASE WHEN rank <= 10 THEN rel ELSE 0 END) AS h10 FROM pr GROUP BY ALL) GROUP BY dropped),
+ de AS (SELECT me.dropped, me.r1, me.r10, w.r1 - me.r1 AS d1, w.r10 - me.r10 AS d10 FROM me, (SELECT r1, r10 FROM me WHERE dropped IS NULL) w WHERE me.dropped IS NOT NULL)"""
+
+
+@query("SELECT dropped, round(r1, 6) AS r_at_1, round(r10, 6) AS r_at_10, round(d1, 6) AS delta_r_at_1, round(d10, 6) AS delta_r_at_10, (row_number() OVER (ORDER BY round(d10, 9) DESC, dropped))::INT AS rank FROM de", LEFT_OUT)
+def g21_band_importance(spark: S, d: str) -> DataFrame:
+    """The mean fusion evaluated again without each band."""
+    return r6(methods.leave_one_band_out(X.samples(spark, d), X.roles(spark, d), X.BANDS))
+
+
 # ---- methods ----------------------------------------------------------------------------
 
 
@@ -480,6 +501,35 @@ def r17_cross_validation(spark: S, d: str) -> DataFrame:
     return r6(report.comparison(methods.fold_metrics(rows), ["r_at_1", "map"]))
 
 
+PLAIN = X.SQL_BANDS + """, fs AS (SELECT m, sample_id, any_value(label) AS label, list(v ORDER BY d) AS f FROM (SELECT m, sample_id, any_value(label) AS label, d, avg(x[d + 1]) AS v FROM b, (SELECT unnest(range(8))::INT AS d), (SELECT unnest(['index', 'mean', 'selected']) AS m) WHERE CASE m WHEN 'index' THEN i IN (2, 3, 7) WHEN 'selected' THEN i IN (1, 2, 3) ELSE true END GROUP BY m, sample_id, d) GROUP BY m, sample_id),
+ pr AS (SELECT q.m, q.sample_id AS query_id, (q.label = g.label)::INT AS rel, row_number() OVER (PARTITION BY q.m, q.sample_id ORDER BY list_cosine_similarity(q.f, g.f) DESC, g.sample_id) AS rank FROM fs q JOIN fs g ON q.m = g.m AND q.sample_id % 5 = 0 AND g.sample_id % 5 IN (1, 2)),
+ sn AS (SELECT *, sum(rel) OVER (PARTITION BY m, query_id ORDER BY rank) AS seen FROM pr),
+ aq AS (SELECT m, query_id, sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) / greatest(sum(rel), 1) AS ap, max(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS h1 FROM sn GROUP BY ALL)"""
+
+
+@query("SELECT m AS method, count(*) AS num_queries, round(avg(h1) * 100, 6) AS r_at_1, round(avg(ap) * 100, 6) AS map FROM aq GROUP BY m", PLAIN)
+def r17_plain_baselines(spark: S, d: str) -> DataFrame:
+    """The methods without a kernel, an eigenvector or a graph."""
+    out = None
+    for m in ("selected", "index", "mean"):
+        rows = ranking.summary(methods.evaluate_method(X.samples(spark, d), X.roles(spark, d), m), (1,), ["method"])
+        out = rows if out is None else out.unionByName(rows)
+    return r6(out)
+
+
+@query(None)
+def a11_embedding_pca(spark: S, d: str) -> DataFrame:
+    """Retrieval in three components of the flattened bands, fitted on the
+    gallery (eigenvectors: NumPy tests)."""
+    return r6(ranking.summary(methods.evaluate_method(X.samples(spark, d), X.roles(spark, d), "pca")))
+
+
+@query(None)
+def r17_propagation(spark: S, d: str) -> DataFrame:
+    """The propagation baseline with its best alpha (tests)."""
+    return r6(ranking.summary(methods.evaluate_method(X.samples(spark, d), X.roles(spark, d), "propagation")))
+
+
 @query(None)
 def a18_vote_method(spark: S, d: str) -> DataFrame:
     """Retrieval in the space of vote logits."""

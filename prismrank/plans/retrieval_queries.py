@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prismrank.functions import vectors as V
 from prismrank.operators import graph, kernel, ranking, scoring, split
 from prismrank.plans import fixtures as X
-from prismrank.plans import methods
+from prismrank.plans import methods, retrieval
 from prismrank.plans.registry import query
 
 S = SparkSession
@@ -225,13 +225,19 @@ def p16_weight_entropy(spark: S, d: str) -> DataFrame:
     return r6(out.groupBy("sigma").agg(F.avg(V.entropy("w")).alias("mean_entropy"), F.min(F.array_min("w")).alias("least"), F.max(F.array_max("w")).alias("most")))
 
 
-@query("SELECT sample_id, round(max(abs(n.a - m.a)), 6) AS symmetry_error, round(min(rs), 6) AS least_row_sum, round(max(rs), 6) AS most_row_sum FROM n JOIN (SELECT sample_id, i AS j, j AS i, a FROM n) m USING (sample_id, i, j) JOIN (SELECT sample_id, i, sum(a) AS rs FROM n GROUP BY sample_id, i) USING (sample_id, i) GROUP BY sample_id", X.SQL_GRAPH)
+def _variation(sums):
+    """Population spread by mean of an array."""
+    mean = V.total(sums) / F.size(sums)
+    return F.sqrt(V.total(F.transform(sums, lambda x: (x - mean) * (x - mean))) / F.size(sums)) / F.greatest(mean, F.lit(1e-12))
+
+
+@query("SELECT sample_id, round(max(abs(n.a - m.a)), 6) AS symmetry_error, round(min(rs), 6) AS least_row_sum, round(max(rs), 6) AS most_row_sum, round(stddev_pop(rs) / greatest(avg(rs), 1e-12), 6) AS row_sum_cv FROM n JOIN (SELECT sample_id, i AS j, j AS i, a FROM n) m USING (sample_id, i, j) JOIN (SELECT sample_id, i, sum(a) AS rs FROM n GROUP BY sample_id, i) USING (sample_id, i) GROUP BY sample_id", X.SQL_GRAPH)
 def a24_affinity_diagnostics(spark: S, d: str) -> DataFrame:
     """A24."""
     m = X.conditioned(spark, d).select("sample_id", graph.affinity("bands", "query").alias("m"))
     error = F.array_max(F.transform("m", lambda r, i: F.array_max(F.transform(r, lambda x, j: F.abs(x - F.get(F.get("m", j), i))))))
     sums = F.transform("m", V.total)
-    return r6(m.select("sample_id", error.alias("symmetry_error"), F.array_min(sums).alias("least_row_sum"), F.array_max(sums).alias("most_row_sum")))
+    return r6(m.select("sample_id", error.alias("symmetry_error"), F.array_min(sums).alias("least_row_sum"), F.array_max(sums).alias("most_row_sum"), _variation(sums).alias("row_sum_cv")))
 
 
 @query(None)
@@ -255,6 +261,14 @@ def a14_fiedler_fusion(spark: S, d: str) -> DataFrame:
     return r6(methods.fused(X.conditioned(spark, d), "fiedler").select("sample_id", F.posexplode("vec").alias("d", "v")))
 
 
+@query(None)
+def a13_search(spark: S, d: str) -> DataFrame:
+    """Fused with one query for all samples, then the five nearest."""
+    shared = [float(x == 0) for x in range(X.WIDTH)]
+    fused = retrieval.retrieve_batch(X.samples(spark, d).select("sample_id", "bands"), shared, kernel.Config(k=3))
+    return r6(retrieval.search(fused.filter("sample_id % 5 = 0"), fused.filter("sample_id % 5 <> 0"), 5))
+
+
 @query(None)
 def a23_optimizer_grid(spark: S, d: str) -> DataFrame:
     """Final loss and decrease over a grid of steps and rates."""

@@ -66,3 +66,23 @@ def markdown(rows: DataFrame, digits: int = 2, most: int = 1000) -> str:
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows.limit(most).collect()]) + "\n"
+
+
+def contribution_text(per_band: DataFrame, title: str = "Band contribution") -> str:
+    """K6: mean and spread of every band (rows: band, mean, std), largest first."""
+    lines = [f"{r.band:<6} {r['mean']:.4f} +/- {r['std']:.4f}" for r in per_band.orderBy("mean", "band").collect()[::-1]]
+    return "\n".join([title, "=" * len(title), *lines]) + "\n"
+
+
+def class_text(per_class: DataFrame) -> str:
+    """K6: a block per class (rows as ``attribution.preferences`` gives them)."""
+    blocks = [f"{r[0]}\n  top: {r.top_bands}\n  bottom: {r.bottom_bands}\n  dominant region: {r.dominant_region}" for r in per_class.orderBy(per_class.columns[0]).collect()]
+    return "\n".join(blocks) + "\n"
+
+
+def failure_text(by_cause: DataFrame, failures: int, queries: int) -> str:
+    """K6: the share of failures and its causes (rows as ``failure.by_cause``
+    gives them)."""
+    share = 100 * failures / queries if queries else 0.0
+    lines = [f"{r.cause:<20} {r['count']:>6} {r.percentage:6.2f} %" for r in by_cause.orderBy("cause").collect()]
+    return "\n".join([f"Failures: {failures} of {queries} queries ({share:.1f} %)", *lines]) + "\n"

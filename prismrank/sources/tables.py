@@ -50,9 +50,25 @@ def patches(spark: SparkSession, path: str, mapping: dict[str, str], keep: list[
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table of patches without snow and clouds; the flags are
-    pushed into the scan."""
-    return spark.read.parquet(path).filter("NOT contains_seasonal_snow AND NOT contains_cloud_or_shadow")
+    """A Parquet table of patches without snow and clouds; an unknown flag
+    keeps its row, as in F1.  The flags are pushed into the scan."""
+    clear = "({0} IS NULL OR {0} = false)"
+    return spark.read.parquet(path).filter(f"{clear.format('contains_seasonal_snow')} AND {clear.format('contains_cloud_or_shadow')}")
+
+
+def subsets(rows: DataFrame, manifest: DataFrame) -> dict[str, DataFrame]:
+    """Rows of each split, with their ``split_position``."""
+    both = rows.join(manifest.select(F.col("dataset_index").alias("sample_id"), "split", "split_position"), "sample_id")
+    return {s: both.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test", "query", "gallery")}
+
+
+def batches(subset: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
+    """Batch, rows: the rows of a subset in batches of ``size``
+    consecutive positions, each an array of structs in order; a partial last
+    batch stays unless ``drop_last``."""
+    each = F.array_sort(F.collect_list(F.struct("split_position", *[c for c in subset.columns if c != "split_position"])))
+    out = subset.groupBy(F.floor(F.col("split_position") / size).cast("int").alias("batch")).agg(each.alias("rows"))
+    return out.filter(F.size("rows") == size) if drop_last else out
 
 
 def write_cache(rows: DataFrame, path: str, seed: int, split: str) -> None:
