@@ -16,15 +16,19 @@ record stands for about eighteen of them:
    minimizer; 40 bits of its hash go to the bucket of that hash.
 2. ``_shared``: per bucket, the runs whose minimizer occurs in at least two
    documents (all others have no repeated window and are done).
-3. ``_contexts``: these runs' bytes are cut from the texts.
-4. ``_radix``: per bucket, runs of identical bytes are merged first, so a line
-   that very many documents share is sorted once; then the radix passes.
-5. ``_finish``: removed spans are united per document.
-
-The texts are dealt out once by the hash of their id; the later steps reuse
-that exchange.  Between the steps only packed, compressed arrays travel.  A
-part, and a bucket, is processed by one task; their numbers follow
-``spark.sql.shuffle.partitions``, which must follow the data.
+3. ``_contexts``: per part, runs of identical bytes become one kind; a kind's
+   bytes, and the least and greatest id that have it, go to the bucket, so a line
+   that very many documents share costs a record per part.
+4. ``_radix``: per bucket, the radix passes over the windows of its kinds, then
+   for each kind of a part the stretches of windows that a smaller id than its
+   greatest has.
+5. ``_finish``: these stretches, of the runs of each kind with a greater id, are
+   united per document.
+
+The texts are dealt out once by the hash of their id (and, where that is null, of
+the text); the later steps reuse that exchange.  Between the steps only packed,
+compressed arrays travel.  A part, and a bucket, is processed by one task; their
+number follows from the bytes of all texts.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose
 nothing; a null id ranks above all others and equals every other null id; rows
@@ -39,16 +43,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm._shared import ranges
+from prismrank.llm._shared import ranges, release_memory
 
 GRAM = 16
 #: Windows of one document that are hashed at once.
 PIECE = 1 << 20
 LAST = (1 << 63) - 1
+#: Bytes of text in a part, on average, and at least as many parts.
+PART_BYTES = 8 << 20
+LEAST_PARTS = 8
 
 
 # ---- packed arrays -------------------------------------------------------
@@ -241,20 +249,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(texts: pa.Table, runs: pa.Table, length: int) -> pa.Table:
-    buckets, data = [], []
+    """Rows for the buckets: of each kind its windows, group, least and greatest
+    id, and bytes.  And one row for the part itself, with the bucket -1 - part:
+    of each run its bucket, document, start and kind."""
+    buckets, data, own = [], [], []
+    p = texts["part"][0].as_py() if texts.num_rows else 0
     if runs.num_rows and texts.num_rows:
         part = Part(texts)
         whole = np.frombuffer(b"".join(part.texts[k] for k in part.leaders), np.uint8)
         size = np.array([len(part.texts[k]) for k in part.leaders])
         at = np.cumsum(size) - size
         ids = np.array([k[0] for k in part.leaders], np.int64)
+        raw = whole.tobytes()
         for b, payload in zip(runs["bucket"].to_pylist(), runs["payload"]):
             d, s, n, g = unpack(payload.as_py())
-            d, s = undelta(d), undelta(s)
-            cut = whole[ranges(at[d] + s, n.astype(np.int64) + length - 1)]
+            d, s, n = undelta(d), undelta(s), n.astype(np.int64)
+            first = at[d] + s
+            known: dict[tuple[int, bytes], int] = {}
+            kind = np.empty(len(d), np.int64)
+            of: list[int] = []
+            for r, (k, x, m) in enumerate(zip(g.tolist(), first.tolist(), n.tolist())):
+                kind[r] = found = known.setdefault((k, raw[x : x + m + length - 1]), len(of))
+                if found == len(of):
+                    of.append(r)
+            low, high = np.full(len(of), LAST, np.int64), np.full(len(of), -(1 << 63), np.int64)
+            np.minimum.at(low, kind, ids[d])
+            np.maximum.at(high, kind, ids[d])
             buckets.append(b)
-            data.append(pack(delta(d), delta(s), n, g, ids[d].view("<u8"), cut))
-    p = texts["part"][0].as_py() if texts.num_rows else 0
+            data.append(pack(n[of].astype("<u4"), g[of], low.view("<u8"), high.view("<u8"), whole[ranges(first[of], n[of] + length - 1)]))
+            own.append((np.full(len(d), b, np.uint32), d, s, kind.astype("<u4")))
+        buckets.append(-1 - p)
+        data.append(pack(*map(np.concatenate, zip(*own))))
     return pa.table({"bucket": pa.array(buckets, pa.int32()), "part": pa.array([p] * len(buckets), pa.int32()), "payload": pa.array(data, pa.binary())})
 
 
@@ -280,83 +305,112 @@ def equal_suffixes(buf: np.ndarray, places: np.ndarray, label: np.ndarray, lengt
     return active, label
 
 
-def removed_runs(ident: np.ndarray, start: np.ndarray, count: np.ndarray, group: np.ndarray, buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of runs with these ids, starts, numbers of windows and groups, and their
-    bytes: run, first and end byte of each removed interval in its document."""
-    count = count.astype(np.int64)
+def window_lows(count: np.ndarray, group: np.ndarray, low: np.ndarray, buf: np.ndarray, length: int) -> np.ndarray:
+    """Of kinds with these numbers of windows, groups and least ids, and their
+    bytes: the least id that has each window, kind by kind."""
     size = count + length - 1
     ends = np.cumsum(size)
     raw = buf.tobytes()
     known: dict[tuple[int, bytes], int] = {}
-    kind = np.empty(len(ident), np.int64)
+    same = np.empty(len(count), np.int64)
     of: list[int] = []
     for r, (g, a, e) in enumerate(zip(group.tolist(), (ends - size).tolist(), ends.tolist())):
-        k = known.setdefault((g, raw[a:e]), len(of))
+        same[r] = k = known.setdefault((g, raw[a:e]), len(of))
         if k == len(of):
             of.append(r)
-        kind[r] = k
     del known
     of = np.array(of, np.int64)
     lowest = np.full(len(of), LAST, np.int64)
-    np.minimum.at(lowest, kind, ident)
+    np.minimum.at(lowest, same, low)
     windows = count[of]
-    place = ranges((ends - size)[of], windows)
-    window_low = np.repeat(lowest, windows)
-    active, label = equal_suffixes(buf, place, np.repeat(group[of], windows), length)
+    found = np.repeat(lowest, windows)
+    active, label = equal_suffixes(buf, ranges((ends - size)[of], windows), np.repeat(group[of], windows), length)
     if len(active):
         cuts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
-        window_low[active] = np.repeat(np.minimum.reduceat(window_low[active], cuts), np.diff(np.r_[cuts, len(active)]))
-    first = np.cumsum(windows) - windows
-    runs, begin, end = [], [], []
-    step = 1 << 16
-    for a in range(0, len(ident), step):
-        n = count[a : a + step]
-        gone = np.repeat(ident[a : a + step], n) > window_low[ranges(first[kind[a : a + step]], n)]
-        run = np.repeat(np.arange(a, a + len(n)), n)
-        at = ranges(start[a : a + step].astype(np.int64), n)
-        same = np.r_[False, run[1:] == run[:-1]]
-        opens = gone & ~(np.r_[False, gone[:-1]] & same)
-        closes = gone & ~(np.r_[gone[1:], False] & np.r_[same[1:], False])
-        runs.append(run[opens])
-        begin.append(at[opens])
-        end.append(at[closes] + length)
-    return np.concatenate(runs), np.concatenate(begin), np.concatenate(end)
+        found[active] = np.repeat(np.minimum.reduceat(found[active], cuts), np.diff(np.r_[cuts, len(active)]))
+    return found[ranges((np.cumsum(windows) - windows)[same], count)]
+
+
+def stretches(count: np.ndarray, high: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """kind, first window, windows and id of the maximal stretches of windows
+    with one least id that is below the kind's greatest."""
+    kind = np.repeat(np.arange(len(count)), count)
+    new = np.r_[True, (kind[1:] != kind[:-1]) | (lows[1:] != lows[:-1])]
+    opens = np.flatnonzero(new)
+    sizes = np.diff(np.r_[opens, len(kind)])
+    below = lows[opens] < high[kind[opens]]
+    opens, sizes = opens[below], sizes[below]
+    return kind[opens], opens - (np.cumsum(count) - count)[kind[opens]], sizes, lows[opens]
 
 
 def _radix(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for bucket, blobs in _grouped(batches):
-        part, doc, cols = [], [], []
-        for p, data in blobs:
-            d, s, n, g, i, cut = unpack(data)
-            doc.append(undelta(d))
-            part.append(np.full(len(d), p, np.int64))
-            cols.append((i.view(np.int64), undelta(s), n, g, cut))
-        part, doc = np.concatenate(part), np.concatenate(doc)
-        run, a, e = removed_runs(*(np.concatenate(c) for c in zip(*cols)), length)
-        parts, data = [], []
-        for p, at in by(part[run]):
-            parts.append(p)
-            data.append(pack(delta(doc[run[at]]), delta(a[at]), (e - a)[at].astype("<u4")))
+    """Rows of parts pass; rows of buckets become bucket, and of each kind of the
+    part its stretches."""
+
+    def split() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.greater_equal(batch["bucket"], 0))
+            passed.append(batch.filter(pc.less(batch["bucket"], 0)))
+
+    passed: list[pa.RecordBatch] = []
+    for bucket, blobs in _grouped(split()):
+        yield from passed
+        passed.clear()
+        cols = []
+        for _, data in blobs:
+            n, g, low, high, cut = unpack(data)
+            cols.append((n.astype(np.int64), g, low.view(np.int64), high.view(np.int64), cut))
+        count, group, low, high, buf = (np.concatenate(c) for c in zip(*cols))
+        lows = window_lows(count, group, low, buf, length)
+        parts, data, end = [], [], 0
+        for (p, _), c in zip(blobs, cols):
+            windows = int(c[0].sum())
+            kind, first, size, least = stretches(c[0], c[3], lows[end : end + windows])
+            end += windows
+            if len(kind):
+                parts.append(p)
+                data.append(pack(kind.astype("<u4"), first.astype("<u4"), size.astype("<u4"), least.view("<u8")))
         yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(parts), pa.int32()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "part", "payload"])
+    yield from passed
+    release_memory()
 
 
 # ---- 5: what is left -----------------------------------------------------------
 
 
+def _removed(part: Part, rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and end byte of what goes: the stretches that the buckets
+    found, on every run of their kind that has a greater id."""
+    own, found = [], []
+    for bucket, payload in zip(rows["bucket"].to_pylist(), rows["payload"]):
+        x = unpack(payload.as_py())
+        if bucket < 0:
+            own.append(x)
+        else:
+            found.append((np.full(len(x[0]), bucket, np.int64), *(c.astype(np.int64) for c in x[:3]), x[3].view(np.int64)))
+    if not own or not found:
+        return (np.zeros(0, np.int64),) * 3
+    where, doc, start, kind = (np.concatenate(c).astype(np.int64) for c in zip(*own))
+    bucket, of, first, size, least = (np.concatenate(c) for c in zip(*found))
+    key, ask = bucket << 32 | of, where << 32 | kind
+    order = np.argsort(key, kind="stable")
+    key, first, size, least = key[order], first[order], size[order], least[order]
+    low, high = np.searchsorted(key, ask, "left"), np.searchsorted(key, ask, "right")
+    run, at = np.repeat(np.arange(len(ask)), high - low), ranges(low, high - low)
+    ids = np.array([k[0] for k in part.leaders], np.int64)
+    gone = ids[doc[run]] > least[at]
+    run, at = run[gone], at[gone]
+    begin = start[run] + first[at]
+    return doc[run], begin, begin + size[at] + length - 1
+
+
 def _finish(texts: pa.Table, spans: pa.Table, length: int) -> pa.Table:
     out: dict[str, list] = {"id": [], "n_bytes": [], "n_removed": [], "starts": [], "ends": [], "kept_sha256": []}
     if texts.num_rows:
         part = Part(texts)
-        docs, begin, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-        for payload in spans["payload"]:
-            d, s, n = unpack(payload.as_py())
-            docs.append(undelta(d))
-            begin.append(undelta(s))
-            size.append(n)
-        docs, begin, size = map(np.concatenate, (docs, begin, size))
+        docs, begin, end = _removed(part, spans, length)
         order = np.lexsort((begin, docs))
-        docs, begin = docs[order], begin[order].astype(np.int64)
-        end = begin + size[order]
+        docs, begin, end = docs[order], begin[order], end[order]
         merged: dict[int, list[list[int]]] = {}
         for d, s, e in zip(docs.tolist(), begin.tolist(), end.tolist()):
             mine = merged.setdefault(d, [])
@@ -389,10 +443,13 @@ def repeated_passages(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     the maximal removed runs, kept_sha256.  See the module for the cases."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, buckets = parts or 2 * n, buckets or 2 * n
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    texts = docs.select(F.pmod(F.xxhash64(number), F.lit(parts)).cast("int").alias("part"), number.alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    if parts is None:
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        parts = max(LEAST_PARTS, -(-total // PART_BYTES))
+    buckets = buckets or parts
+    given, number = F.col(id_col).cast("long"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    dealt = F.when(given.isNull(), F.xxhash64(F.lit(1), text_col)).otherwise(F.xxhash64(given))
+    texts = docs.select(F.pmod(dealt, F.lit(parts)).cast("int").alias("part"), number.alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     packed = "bucket int, part int, payload binary"
     runs = texts.groupBy("part").applyInArrow(lambda t: _anchors(t, buckets, length), packed)
     shared = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, packed)

@@ -46,6 +46,32 @@ def test_digest_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, repeats.documents_digest(docs).collect()), key=str) == expected(data)
 
 
+def test_result_does_not_depend_on_parts(spark):
+    data = rows() + [(None, r[1]) for r in rows()[40:50]]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in data], SCHEMA).repartition(3)
+    want = expected(data)
+    for parts, buckets in ((1, 1), (5, 3), (40, 17)):
+        got = repeats.repeated_passages(docs, parts=parts, buckets=buckets).collect()
+        assert sorted(((r.id, r.n_bytes, r.n_removed, len(r.starts), r.kept_sha256) for r in got), key=str) == want
+
+
+def test_a_line_of_all_documents_costs_a_record_per_part():
+    import pyarrow as pa
+
+    line = "a line that stands in every document of the table: " + " ".join(map(str, range(100, 200)))
+    texts = [f"{i} {line} {i * 7}" for i in range(400)]
+    t = pa.table({"part": pa.array([0] * 400, pa.int32()), "id": pa.array(range(400)), "h": pa.array(range(400)), "text": texts})
+    anchors = repeats._anchors(t, 1, 50)
+    batch = lambda table: table.combine_chunks().to_batches()[0]
+    shared = pa.Table.from_batches(repeats._shared(iter([batch(anchors)])))
+    rows = repeats._contexts(t, shared, 50)
+    kinds = repeats.unpack([p for b, p in zip(rows["bucket"].to_pylist(), rows["payload"]) if b >= 0][0].as_py())
+    runs = repeats.unpack([p for b, p in zip(rows["bucket"].to_pylist(), rows["payload"]) if b < 0][0].as_py())
+    assert len(runs[0]) >= 400 and (kinds[2].view(np.int64).min(), kinds[3].view(np.int64).max()) == (0, 399)
+    whole = [k for k, (low, high) in enumerate(zip(kinds[2].tolist(), kinds[3].tolist())) if low == 0 and high == 399]
+    assert whole and len(kinds[0]) < len(runs[0])
+
+
 def test_long_texts_are_cut_into_overlapping_pieces(monkeypatch):
     import pyarrow as pa
 
