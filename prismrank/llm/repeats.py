@@ -8,9 +8,9 @@ the repeated windows, and suffixes that have become unique leave after every
 pass.
 
 So that not every suffix has to travel, suffixes are first grouped by the
-minimizer of their window (the 16-gram with the smallest hash), which is the
+minimizer of their window (the 24-gram with the smallest hash), which is the
 same wherever the window occurs.  Neighbouring windows share it, so one short
-record stands for about eighteen of them:
+record stands for about fourteen of them:
 
 1. ``_anchors``: per part of the documents, the runs of windows with one
    minimizer; 40 bits of its hash go to the bucket of that hash.
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from prismrank.llm._shared import ranges, release_memory
 
-GRAM = 16
+GRAM = 24
 #: Windows of one document that are hashed at once.
 PIECE = 1 << 20
 LAST = (1 << 63) - 1
@@ -137,11 +137,12 @@ def minimizer_runs(buf: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.
     """Of the windows that are valid: start, number of windows and minimizer
     hash of each maximal run with one minimizer."""
     x = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
-    h = x[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(31)
-    h += x[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
+    n = len(buf) - GRAM + 1
+    h = np.zeros(n, np.uint64)
+    for at in range(0, GRAM, 8):
+        h += x[at : at + n] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     span, have = length - GRAM + 1, 1
     while 2 * have <= span:
