@@ -27,7 +27,8 @@ clipped to it; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,48 +82,60 @@ class Shard:
         return ids[best], score[best]
 
 
-def _matrix(q: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(q), width))
-    for i, x in enumerate(q):
-        out[i, : len(x)] = x
+def _matrix(q: pa.ChunkedArray, width: int) -> np.ndarray:
+    held = q.combine_chunks()
+    flat, n = held.flatten().to_numpy(zero_copy_only=False).astype(np.float64), held.value_lengths().to_numpy()
+    if (n == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(n), width))
+    out[np.arange(width) < n[:, None]] = flat
     return out
 
 
-def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    out = []
-    if len(queries) and len(rows):
-        width = max(max(map(len, queries.q)), max(map(len, rows.q)))
-        a, c = _matrix(queries.q, width), _matrix(rows.q, width)
+def _search(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    if queries.num_rows and rows.num_rows:
+        width = max(pc.max(pc.list_value_length(t["q"])).as_py() for t in (queries, rows))
+        a, c = _matrix(queries["q"], width), _matrix(rows["q"], width)
+        ids = rows["vec_id"].to_numpy()
         # doubles are exact while every sum stays below 2^53; else whole numbers
         exact = np.abs(a).max(initial=0) * np.abs(c).max(initial=0) * max(1, width) < 2.0**52
         if not exact:
             whole = np.vectorize(int, otypes=[object])
             a, c = (whole(x) if x.size else x for x in (a, c))
-        shard = Shard(rows.vec_id.to_numpy(), c) if exact else None
-        for i, (own, key) in enumerate(zip(queries.vec_id.tolist(), queries.query_key.tolist())):
+        shard = Shard(ids, c) if exact else None
+        for i, (own, key) in enumerate(zip(queries["vec_id"].to_pylist(), queries["query_key"].to_pylist())):
             if exact:
-                ids, score = shard.top(a[i], own, k)
-                out += [(own, key, int(v), int(s)) for v, s in zip(ids, score)]
+                found, score = shard.top(a[i], own, k)
+                score = score.astype(np.int64)
             else:
-                all_scores = [(-max(-(1 << 63), min((1 << 63) - 1, int(s))), v) for v, s in zip(rows.vec_id.tolist(), c @ a[i]) if v != own]
-                out += [(own, key, v, -s) for s, v in sorted(all_scores)[:k]]
-    return pd.DataFrame(out, columns=["query_id", "query_key", "vec_id", "score"]).astype("int64")
+                all_scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, int(s))), v) for v, s in zip(ids.tolist(), c @ a[i]) if v != own)[:k]
+                found, score = np.array([v for _, v in all_scores], np.int64), np.array([-s for s, _ in all_scores], np.int64)
+            for column, x in zip(out, (np.full(len(found), own), np.full(len(found), key), found, score)):
+                column.append(x)
+    return pa.table([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in out], names=["query_id", "query_key", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each row of ``vectors`` (vec_id, embedding) with an id divisible by
     ``every``: query_id, rank, vec_id, score of its k best other rows."""
     rows = quantized(vectors)
-    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct()
-    n, m = rows.count(), asked.count()
+    chosen = F.pmod("vec_id", F.lit(every)) == 0
+    n, top = rows.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("q", F.abs)))).first()
+    if (top or 0) < 1 << 15:  # the same numbers in a quarter of the bytes
+        rows = rows.withColumn("q", F.col("q").cast("array<smallint>"))
+    asked = rows.filter(chosen).distinct()
+    m = asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    # rows are dealt by their id and, for repeated ids, their content
-    dealt = lambda pieces, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "q"), F.lit(pieces)).cast("int")
+    # a row's place among all tells repeated rows apart: a row that is repeated
+    # very often must not fill one shard
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = lambda pieces, salt, *c: F.pmod(F.xxhash64(F.lit(salt), *c), F.lit(pieces)).cast("int")
     each = lambda pieces: F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
-    right = rows.select("vec_id", "q", dealt(shards, 1).alias("shard"), each(blocks).alias("block"))
-    left = asked.select("vec_id", "q", F.xxhash64("q").alias("query_key"), dealt(blocks, 2).alias("block"), each(shards).alias("shard"))
+    right = rows.select("vec_id", "q", dealt(shards, 1, "vec_id", "place").alias("shard"), each(blocks).alias("block"))
+    left = asked.select("vec_id", "q", F.xxhash64("q").alias("query_key"), dealt(blocks, 2, "vec_id", "q").alias("block"), each(shards).alias("shard"))
     keys = ["shard", "block"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: _search(a, b, k), RESULT)
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, k), RESULT)
     order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

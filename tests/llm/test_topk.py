@@ -32,12 +32,26 @@ def test_digest_equals_brute_force(spark):
 
 
 def test_huge_components_are_exact():
-    import pandas as pd
+    import pyarrow as pa
 
-    q = pd.DataFrame({"vec_id": [0], "query_key": [1], "q": [[2.0**40, -1.0]]})
-    r = pd.DataFrame({"vec_id": [1, 2, 3], "q": [[2.0**20, 5.0], [2.0**20, 4.0], [2.0**60, 0.0]]})
+    q = pa.table({"vec_id": [0], "query_key": [1], "q": [[2.0**40, -1.0]]})
+    r = pa.table({"vec_id": [1, 2, 3, 4], "q": [[2.0**20, 5.0], [2.0**20, 4.0], [2.0**60, 0.0], [-(2.0**60), 0.0]]})
     got = topk._search(q, r, 2)
-    assert got.vec_id.tolist() == [3, 2] and got.score.tolist() == [(1 << 63) - 1, 2**60 - 4]
+    assert got["vec_id"].to_pylist() == [3, 2] and got["score"].to_pylist() == [(1 << 63) - 1, 2**60 - 4]
+    assert topk._search(q, r, 4)["score"].to_pylist()[-1] == -(1 << 63)
+
+
+def test_rows_that_are_repeated_very_often(spark):
+    rng = random.Random(4)
+    data = rows(rng, 40, 6) + [(41, [0.3] * 6)] * 300 + [(60, [0.2] * 6)] * 50
+    frame = spark.createDataFrame([(i, v, 1, "clash") for i, v in data], SCHEMA).repartition(3)
+    assert sorted(map(tuple, topk.top_k(frame, 5, 20, shard_rows=16, block_rows=2).collect())) == expected(data, 5, 20)
+
+
+def test_large_numbers_keep_their_width(spark):
+    data = [(i, [600.0 * i, -700.0, 0.5]) for i in range(25)]
+    frame = spark.createDataFrame([(i, v, 1, "clash") for i, v in data], SCHEMA)
+    assert sorted(map(tuple, topk.top_k(frame, 5, 20).collect())) == expected(data, 5, 20)
 
 
 def test_bounds_prune_and_stay_exact():
