@@ -12,8 +12,9 @@ of words gains more than one penalty by all its best other languages, no path
 with a switch can be better (each excursion pays one penalty at least).
 
 Training counts trigrams in a bounded number of documents per language (those
-with small id hashes), in the map tasks; the model has one row per
-bucket and language, and its size does not depend on the data.
+with small id hashes) of a bounded number of languages (the most frequent
+labels), in the map tasks; the model has one row per bucket and language, and its
+size does not depend on the data.
 
 Defined results: a null text, and a text without letters, has the language
 ``und``, score 0 and no spans; without training rows so have all texts; rows
@@ -35,6 +36,8 @@ from prismrank.llm._shared import only, release_memory, renamed
 
 #: Documents per language that a model is fitted on (see ``fit``).
 TRAIN_DOCUMENTS = 2000
+#: Languages that a model is fitted on: the most frequent labels, ties by name.
+LANGUAGES = 200
 RANGE = 1 << 40
 BUCKETS = 1 << 17
 SMOOTHING = 0.05
@@ -166,18 +169,18 @@ class Model:
         return s - s.max(1, keepdims=True)
 
 
-def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
+def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, languages: int = LANGUAGES) -> Model:
     """Fit on rows of ``docs`` (doc_id, text, lang) with no nulls: all of a
     language with up to ``documents`` of them, else a share by the hash of the
     id that holds ``documents`` on average (so within a few of its roots)."""
     rows = only(docs, "doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
-    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     langs = sorted(have)
     if not langs:
         return Model([], np.zeros((0, BUCKETS + len(SCRIPTS) + 1)))
     # the share of the hashes' range below which a language's documents are
     shares = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, documents / have[lang]) * RANGE)))])
-    below = F.pmod(F.xxhash64("doc_id"), F.lit(RANGE)) < F.element_at(shares, F.col("lang"))
+    below = F.pmod(F.xxhash64("doc_id"), F.lit(RANGE)) < F.try_element_at(shares, F.col("lang"))
     counted = rows.filter(below).select("lang", "text").mapInArrow(_count, "lang string, k int, n long")
     counts = np.zeros((len(langs), BUCKETS + len(SCRIPTS) + 1))
     for r in counted.groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas().itertuples():
@@ -263,7 +266,10 @@ def _schema(docs: DataFrame, *cols: str) -> str:
 
 
 def keep_identified(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``docs``, with all its columns, without texts that have no language."""
+    """``docs``, with all its columns, without texts that have no language: null
+    texts, texts without letters, and all texts if there is no training row.
+    Repeated rows, null ids and null labels stay as they are; an empty table
+    gives an empty table."""
     inner, own = renamed(docs, "text")
     found = inner.mapInArrow(lambda it: _predict(it, model, penalty), _schema(inner, *inner.columns))
     return found.filter(F.col("lang_pred") != UND).select(*own).toDF(*docs.columns)

@@ -103,7 +103,9 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_ep
     """``docs``, with all its columns, each row as often as the mix takes it;
     the document in which a source's remainder ends is taken once more if at
     least half of it is due.  Texts are not shuffled, but for those of the one
-    bucket of each source."""
+    bucket of each source.  Null and empty texts have size 0 and stay as often as
+    their source is repeated as a whole; null sources, null ids and repeated rows
+    are as in ``mix``; an empty table gives an empty table."""
     inner, own = renamed(docs, "doc_id", "source", "text")
     sizes = materialize(measured(inner.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
     found = plan(measured(inner, seed), sizes, weights, max_epochs)
