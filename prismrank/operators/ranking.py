@@ -37,16 +37,19 @@ def relevant(multi: bool) -> Column:
     return F.coalesce(F.col("query_label") == F.col("gallery_label"), F.lit(False))
 
 
-def dealt(queries: DataFrame, gallery: DataFrame, work, schema: str, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def dealt(queries: DataFrame, gallery: DataFrame, work, schema: str, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
     """``work`` (tables of a block of queries and of a shard) on every block and
-    shard.  Sides are dealt by the hashes of query_id and gallery_id."""
-    n, m = gallery.count(), queries.count()
+    shard, within equal values of ``by``.  Sides are dealt by the hashes of
+    query_id and gallery_id; the largest group says into how many pieces."""
+    largest = lambda df: (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) if by else df.count()
+    n, m = largest(gallery), largest(queries)
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
     part = lambda c, pieces: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
     each = lambda pieces: F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
     left = queries.select("*", part("query_id", blocks).alias("__block"), each(shards).alias("__shard"))
     right = gallery.select("*", part("gallery_id", shards).alias("__shard"), each(blocks).alias("__block"))
-    keys = ["__shard", "__block"]
+    right = right.toDF(*right.columns)  # both sides may come from one table
+    keys = [*by, "__shard", "__block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
 
 
@@ -183,7 +186,7 @@ def classify(samples: DataFrame, class_vectors: DataFrame, temperature: float |
 # ---- the block route ---------------------------------------------------------
 
 
-def _ordered(a: pa.Table, b: pa.Table, metric: str, multi: bool, label: str) -> pa.Table:
+def _ordered(a: pa.Table, b: pa.Table, metric: str, multi: bool, head: list[str]) -> pa.Table:
     """Per query of a block its scores of a shard: in order, packed."""
     out: list[list] = [[], [], []]
     if a.num_rows and b.num_rows:
@@ -197,13 +200,14 @@ def _ordered(a: pa.Table, b: pa.Table, metric: str, multi: bool, label: str) ->
             out[2].append(np.packbits(rel[i, order]).tobytes())
     else:
         a = a.slice(0, 0)
-    return pa.table([a["query_id"], a[label], *(pa.array(x, pa.binary()) for x in out)], names=["query_id", label, "sims", "ids", "rels"])
+    return pa.table([*(a[c] for c in head), *(pa.array(x, pa.binary()) for x in out)], names=[*head, "sims", "ids", "rels"])
 
 
-def _merged(batches: Iterator[pa.RecordBatch], label: str, ks: tuple[int, ...], names: list[str], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows in order of query_id: the scores of one query after the other."""
+def _merged(batches: Iterator[pa.RecordBatch], head: list[str], ks: tuple[int, ...], names: list[str], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in order of ``head`` but its last, the labels: the scores of one query
+    after the other."""
 
-    def result(query, mine, pieces: list[tuple[bytes, bytes, bytes]]) -> tuple:
+    def result(mine: tuple, pieces: list[tuple[bytes, bytes, bytes]]) -> tuple:
         sims, ids = (np.concatenate([np.frombuffer(p[k], t) for p in pieces]) for k, t in ((0, np.float64), (1, np.int64)))
         rel = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(p[0]) // 8) for p in pieces])
         order = np.lexsort((ids, -sims)) if len(pieces) > 1 else np.arange(len(sims))
@@ -211,40 +215,41 @@ def _merged(batches: Iterator[pa.RecordBatch], label: str, ks: tuple[int, ...],
         n = len(at)
         ap = float((np.arange(1, n + 1) / at).sum() / n) if n else 0.0
         found = [int((at <= k).sum()) for k in ks]
-        return query, mine, len(ids), n, ap, int(at[0]) if n else None, *[int(x > 0) for x in found], *found, int(ids[order[0]]), float(sims[order[0]])
+        return *mine, len(ids), n, ap, int(at[0]) if n else None, *[int(x > 0) for x in found], *found, int(ids[order[0]]), float(sims[order[0]])
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for n, c in zip(names, zip(*rows))], names=names)
 
     now, pieces, done = None, [], []
     for batch in batches:
-        for key in zip(batch["query_id"].to_pylist(), batch[label].to_pylist(), batch["sims"], batch["ids"], batch["rels"]):
-            if pieces and key[0] != now[0]:
-                done.append(result(*now, pieces))
+        for *mine, sims, ids, rels in zip(*(batch[c].to_pylist() for c in head), batch["sims"], batch["ids"], batch["rels"]):
+            if pieces and mine[:-1] != now[:-1]:
+                done.append(result(now, pieces))
                 pieces = []
                 if len(done) == 1000:
                     yield out(done)
                     done = []
-            now = key[:2]
-            pieces.append(tuple(x.as_py() for x in key[2:]))
+            now = mine
+            pieces.append((sims.as_py(), ids.as_py(), rels.as_py()))
     if pieces:
-        done.append(result(*now, pieces))
+        done.append(result(now, pieces))
     if done:
         yield out(done)
 
 
-def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", multi: bool = False, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """R9 / R10 per query (one row per query_id), for galleries of any size."""
+def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", multi: bool = False, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
+    """R9 / R10 per query (one row per query_id), for galleries of any size;
+    within equal values of ``by`` (for example the fold), as one plan."""
     label = "query_labels" if multi else "query_label"
-    q = queries.select("query_id", label, V.doubles("query_vec").alias("query_vec"))
-    g = gallery.select(F.col("gallery_id").cast("long").alias("gallery_id"), "gallery_labels" if multi else "gallery_label", V.doubles("gallery_vec").alias("gallery_vec"))
-    head = f"query_id {_kind(q, 'query_id')}, {label} {_kind(q, label)}"
-    sent = dealt(q, g, lambda a, b: _ordered(a, b, metric, multi, label), f"{head}, sims binary, ids binary, rels binary", shard_rows, block_rows)
-    schema = f"{head}, num_gallery long, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"{x}_at_{k} int" for x in ("hit", "found") for k in ks) + ", top1_gallery_id long, top1_score double"
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
-    merged = sent.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _merged(it, label, ks, kinds.names, kinds), schema)
-    merged = _set_quality(merged, ks).withColumn("num_active_labels", F.size(label)) if multi else merged
-    return merged
+    head = [*by, "query_id", label]
+    q = queries.select(*head, V.doubles("query_vec").alias("query_vec"))
+    g = gallery.select(*by, F.col("gallery_id").cast("long").alias("gallery_id"), "gallery_labels" if multi else "gallery_label", V.doubles("gallery_vec").alias("gallery_vec"))
+    kinds = ", ".join(f"{c} {_kind(q, c)}" for c in head)
+    sent = dealt(q, g, lambda a, b: _ordered(a, b, metric, multi, head), f"{kinds}, sims binary, ids binary, rels binary", shard_rows, block_rows, by)
+    schema = f"{kinds}, num_gallery long, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"{x}_at_{k} int" for x in ("hit", "found") for k in ks) + ", top1_gallery_id long, top1_score double"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    merged = sent.repartition(*head[:-1]).sortWithinPartitions(*head[:-1]).mapInArrow(lambda it: _merged(it, head, ks, arrow.names, arrow), schema)
+    return _set_quality(merged, ks).withColumn("num_active_labels", F.size(label)) if multi else merged
 
 
 def _best(q: pa.Table, g: pa.Table, k: int, metric: str, least: float | None, others: bool) -> pa.Table:

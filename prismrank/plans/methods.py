@@ -43,11 +43,13 @@ def check_folds(wanted: list[int] | None, k: int) -> list[int]:
     return folds
 
 
-def class_queries(train: DataFrame, label: str = "label") -> DataFrame:
-    """label, query: the centroid over the bands of a class's training rows."""
-    each = train.select(label, F.explode("bands").alias("x")).select(label, F.posexplode("x").alias("d", "x"))
-    dims = each.groupBy(label, "d").agg(F.avg("x").alias("x"))
-    return dims.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("query"))
+def class_queries(train: DataFrame, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
+    """label, query: the centroid over the bands of a class's training rows, for
+    each value of ``by``."""
+    keys = [*by, label]
+    each = train.select(*keys, F.explode("bands").alias("x")).select(*keys, F.posexplode("x").alias("d", "x"))
+    dims = each.groupBy(*keys, "d").agg(F.avg("x").alias("x"))
+    return dims.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("query"))
 
 
 def first_label(labels: Column) -> Column:
@@ -60,12 +62,12 @@ def strongest_label(multi_hot: Column) -> Column:
     return (F.array_position(multi_hot, F.array_max(multi_hot)) - 1).cast("int")
 
 
-def condition(samples: DataFrame, train: DataFrame, mode: str = "own_label") -> DataFrame:
+def condition(samples: DataFrame, train: DataFrame, mode: str = "own_label", by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``query`` and ``conditioning``.  ``own_label``: the
     centroid of the sample's class; ``mean_band``: its own mean band, which
     needs no label."""
     if mode == "own_label":
-        return samples.join(class_queries(train), "label").withColumn("conditioning", F.lit(mode))
+        return samples.join(class_queries(train, by=by), [*by, "label"]).withColumn("conditioning", F.lit(mode))
     if mode == "mean_band":
         return samples.withColumn("query", graph.mean_fusion("bands")).withColumn("conditioning", F.lit(mode))
     raise ValueError(f"unknown conditioning {mode!r}")
@@ -135,17 +137,38 @@ def propagation(queries: DataFrame, gallery: DataFrame, alphas: tuple[float, ...
     return ranking.evaluate_blocks(queries, scoring.propagated(gallery, edges, best.alpha), ks)
 
 
+def evaluate_folds(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config = kernel.Config(k=3), ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """A stage or the index mean over all folds of ``roles`` (sample_id, label,
+    fold_id, role) as one plan."""
+    by = ("fold_id",)
+    labelled = samples.join(roles.select("sample_id", "fold_id", "role"), "sample_id")
+    wanted = labelled.filter("role <> 'train'").drop("role")
+    if method in ("affinity", "fiedler", "full"):
+        wanted = condition(wanted, labelled.filter("role = 'train'"), by=by)
+    # a sample has one vector per fold
+    features = fused(wanted.withColumn("sample_id", F.struct("sample_id", "fold_id")), method, config)
+    f = features.select("sample_id.sample_id", "sample_id.fold_id", "vec").join(roles, ["sample_id", "fold_id"])
+    q = f.filter("role = 'query'").select("fold_id", F.col("sample_id").alias("query_id"), F.col("label").alias("query_label"), F.col("vec").alias("query_vec"))
+    g = f.filter("role = 'gallery'").select("fold_id", F.col("sample_id").alias("gallery_id"), F.col("label").alias("gallery_label"), F.col("vec").alias("gallery_vec"))
+    return ranking.evaluate_blocks(q, g, ks, by=by).withColumn("method", F.lit(method))
+
+
 def cross_validate(samples: DataFrame, folds: DataFrame, k: int, methods: list[str], config: kernel.Config = kernel.Config(k=3), wanted: list[int] | None = None) -> DataFrame:
     """Per-query rows of all methods and folds; ``folds``: sample_id, label,
-    bucket (L2).  Samples are read once per fold and method and are small next
-    to their images; cache them if they are not."""
+    bucket (L2).  Stages run over all folds at once, the methods that fit a graph,
+    components or votes fold by fold."""
     check_methods(methods)
+    chosen = check_folds(wanted, k)
+    fold = F.col("fold_id")
+    role = F.when(F.col("bucket") == fold, "query").when(F.col("bucket") == (fold + 1) % k, "gallery").otherwise("train")
+    roles = folds.select("sample_id", "label", "bucket", F.explode(F.array(*[F.lit(f) for f in chosen])).alias("fold_id")).select("sample_id", "label", "fold_id", role.alias("role"))
     out = None
-    for fold in check_folds(wanted, k):
-        role = F.when(F.col("bucket") == fold, "query").when(F.col("bucket") == (fold + 1) % k, "gallery").otherwise("train")
-        roles = folds.select("sample_id", "label", role.alias("role"))
-        for m in methods:
-            rows = evaluate_method(samples, roles, m, config).withColumn("fold_id", F.lit(fold))
+    for m in methods:
+        if m in (*STAGES, "index"):
+            found = [evaluate_folds(samples, roles, m, config)]
+        else:
+            found = [evaluate_method(samples, roles.filter(fold == f).drop("fold_id"), m, config).withColumn("fold_id", F.lit(f)) for f in chosen]
+        for rows in found:
             out = rows if out is None else out.unionByName(rows)
     return out
 

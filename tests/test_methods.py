@@ -131,6 +131,12 @@ def test_cross_validation_equals_its_folds(tables_, spark):
         q, g = ([(c, unit(np.mean(x, 0))) for i, c, x in rows if i // 3 % 5 == f] for f in (fold, (fold + 1) % 5))
         want = quality(q, g)
         assert got["mean", fold][:2] == pytest.approx((want[0], want[3]))
+    some = {(r.method, r.fold_id): (r.r_at_1, r.r_at_10, r.map) for r in methods.fold_metrics(methods.cross_validate(samples, folds, 5, ["full", "vote"], CONFIG, wanted=[1, 3])).collect()}
+    assert set(some) == {(m, f) for m in ("full", "vote") for f in (1, 3)}
+    role = F.when(F.col("bucket") == 3, "query").when(F.col("bucket") == 4, "gallery").otherwise("train")
+    for m in ("full", "vote"):
+        one = ranking.summary(methods.evaluate_method(samples, folds.select("sample_id", "label", role.alias("role")), m, CONFIG)).first()
+        assert some[m, 3] == pytest.approx((one.r_at_1, one.r_at_10, one.map))
 
 
 def test_ablation_and_sweep_have_their_cells(tables_):
