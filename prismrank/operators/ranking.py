@@ -25,7 +25,10 @@ from pyspark.sql.types import _parse_datatype_string
 
 from prismrank.functions import vectors as V
 
-#: Rows of a shard of the gallery and of a block of queries.
+#: Rows of a shard of the gallery and of a block of queries; bytes of vectors up to
+#: which a shard of narrow vectors may have more rows; scores held at once.
+SHARD_BYTES = 32 << 20
+SCORES = 4_000_000
 SHARD_ROWS = 8192
 BLOCK_ROWS = 256
 
@@ -37,12 +40,17 @@ def relevant(multi: bool) -> Column:
     return F.coalesce(F.col("query_label") == F.col("gallery_label"), F.lit(False))
 
 
-def dealt(queries: DataFrame, gallery: DataFrame, work, schema: str, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
+def largest(rows: DataFrame, by: tuple[str, ...]) -> int:
+    """Rows of the largest group."""
+    return (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) if by else rows.count()
+
+
+def dealt(queries: DataFrame, gallery: DataFrame, work, schema: str, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = (), sizes: tuple[int, int] | None = None) -> DataFrame:
     """``work`` (tables of a block of queries and of a shard) on every block and
     shard, within equal values of ``by``.  Sides are dealt by the hashes of
-    query_id and gallery_id; the largest group says into how many pieces."""
-    largest = lambda df: (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) if by else df.count()
-    n, m = largest(gallery), largest(queries)
+    query_id and gallery_id; the largest group says into how many pieces
+    (``sizes``: of the gallery and of the queries, if they are known)."""
+    n, m = sizes or (largest(gallery, by), largest(queries, by))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
     part = lambda c, pieces: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
     each = lambda pieces: F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))
@@ -237,7 +245,16 @@ def _merged(batches: Iterator[pa.RecordBatch], head: list[str], ks: tuple[int, .
         yield out(done)
 
 
-def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", multi: bool = False, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
+def _at_once(a: pa.Table, b: pa.Table, metric: str, multi: bool, head: list[str], ks: tuple[int, ...], kinds: pa.Schema) -> pa.Table:
+    """The rows of a block of queries, where one shard is the whole gallery."""
+    a, out = a.sort_by([(c, "ascending") for c in head[:-1]]), []
+    step = max(1, SCORES // max(1, b.num_rows))
+    parts = (x for at in range(0, a.num_rows, step) for x in _ordered(a.slice(at, step), b, metric, multi, head).to_batches())
+    out = list(_merged(parts, head, ks, kinds.names, kinds))
+    return pa.Table.from_batches(out).cast(kinds) if out else kinds.empty_table()
+
+
+def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", multi: bool = False, shard_rows: int | None = None, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
     """R9 / R10 per query (one row per query_id), for galleries of any size;
     within equal values of ``by`` (for example the fold), as one plan."""
     label = "query_labels" if multi else "query_label"
@@ -245,9 +262,15 @@ def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...]
     q = queries.select(*head, V.doubles("query_vec").alias("query_vec"))
     g = gallery.select(*by, F.col("gallery_id").cast("long").alias("gallery_id"), "gallery_labels" if multi else "gallery_label", V.doubles("gallery_vec").alias("gallery_vec"))
     kinds = ", ".join(f"{c} {_kind(q, c)}" for c in head)
-    sent = dealt(q, g, lambda a, b: _ordered(a, b, metric, multi, head), f"{kinds}, sims binary, ids binary, rels binary", shard_rows, block_rows, by)
+    width = g.agg(F.max(F.size("gallery_vec"))).first()[0] or 1
+    shard_rows = shard_rows or max(SHARD_ROWS, SHARD_BYTES // (8 * width))
+    sizes = largest(g, by), largest(q, by)
     schema = f"{kinds}, num_gallery long, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"{x}_at_{k} int" for x in ("hit", "found") for k in ks) + ", top1_gallery_id long, top1_score double"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
+    if sizes[0] <= shard_rows:  # one shard: there is nothing to merge, and no score travels
+        merged = dealt(q, g, lambda a, b: _at_once(a, b, metric, multi, head, ks, arrow), schema, shard_rows, block_rows, by, sizes)
+        return _set_quality(merged, ks).withColumn("num_active_labels", F.size(label)) if multi else merged
+    sent = dealt(q, g, lambda a, b: _ordered(a, b, metric, multi, head), f"{kinds}, sims binary, ids binary, rels binary", shard_rows, block_rows, by, sizes)
     merged = sent.repartition(*head[:-1]).sortWithinPartitions(*head[:-1]).mapInArrow(lambda it: _merged(it, head, ks, arrow.names, arrow), schema)
     return _set_quality(merged, ks).withColumn("num_active_labels", F.size(label)) if multi else merged
 
