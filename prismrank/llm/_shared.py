@@ -55,13 +55,18 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.  This
-    cuts the lineage, survives the loss of executors, and keeps the columns
-    prunable for later reads."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared folder and read it again; and its
+    path.  This cuts the lineage, survives the loss of executors, and keeps the
+    columns prunable for later reads."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as it is read from a written table."""
+    return written(df, tag)[0]
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
