@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import codebooks, exactdedup, kmeans, langid, mixing, packing, repeats, secretscan, simhash, topk, urlfilter, warc
+from prismrank.llm import codebooks, exactdedup, kmeans, langid, mixing, packing, repeats, secretscan, setjoin, simhash, topk, urlfilter, warc
 from prismrank.llm._shared import table
 
 
@@ -50,6 +50,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_digest(table(spark, sf_dir, "pages"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.documents_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.embeddings_digest(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +63,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_nnls_packing, op2_language_id, op3_url_filter, op4_simhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_exact_top_k, op8_exact_dedup, op9_repeated_passages, op10_warc, op12_centroid_clustering, op13_vector_codes]
+    found = [op1_nnls_packing, op2_language_id, op3_url_filter, op4_simhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_exact_top_k, op8_exact_dedup, op9_repeated_passages, op10_warc, op11_ngram_jaccard_join, op12_centroid_clustering, op13_vector_codes]
     return {f.__name__: f for f in found}
 
 
