@@ -27,7 +27,10 @@ something; so two near sets agree in some segment that is not empty (pigeonhole)
    with no one instead: such a segment counts twice, and its subset with each
    one token left out is looked up.  Only the holders of the posting need to be
    indexed by their neighbourhoods, for a partner that no other segment reveals
-   is one of them.  Sets without enough such segments look up the posting.
+   is one of them.  Sets without enough such segments look up the posting.  What
+   is hot here too (a template, of which many texts change a little) is compared
+   in blocks: those who ask, and the holders, of postings that have a set in
+   common which asks.
 6. Every comparison counts the members that both sets hold.  Components come from
    alternating stars.
 
@@ -69,7 +72,7 @@ GROWTH = 1.6
 #: Segments beyond those that the pigeonhole needs: their share, and a number.
 SPARE, EXTRA = 1.15, 28
 #: Groups that hold a subset from which on it is not looked up.
-HOT = 64
+HOT = 8
 #: Members of groups that are listed.
 LISTED = 8
 #: Rows that a task holds of one posting before it passes them on.
@@ -297,6 +300,8 @@ def _met(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch
         for a, b in zip(at.tolist(), ends.tolist()):
             x = slice(a, b)
             groups = np.unique(label[x][indexed[x]])
+            if not part and not asks[x].any():
+                continue
             if len(groups) > hot or part:
                 yield out(uid[x], None, key[x], asks[x], indexed[x])
                 continue
@@ -408,18 +413,14 @@ class Join:
         dealt = known.repartition("key").sortWithinPartitions("key", "label")
         return materialize(dealt.mapInArrow(lambda it: _met(it, hot), MET), "met")
 
-    def met_by_one(self, hot: DataFrame, label: DataFrame) -> DataFrame:
-        """uid and label of sets and groups that meet in the one-deletion index
-        of the holders of hot postings."""
+    def neighbourhoods(self, hot: DataFrame) -> DataFrame:
+        """The one-deletion index of the holders of hot postings."""
         of = hot.groupBy("uid").agg(F.collect_set(F.when(F.col("asks"), F.col("key"))).alias("dropped"), F.collect_set(F.when(F.col("indexed"), F.col("key"))).alias("held"))
         asking = hot.filter("asks").select("uid").distinct()
         shared = self.shared.join(broadcast_if_small(materialize(asking, "asking")), "uid", "left_semi").groupBy("uid").agg(F.collect_set("key").alias("shared"))
         texts = self.of(of.join(shared, "uid", "left")).select("text", "dropped", "shared", "held")
         args = self.width, self.salt, self.bands
-        found = materialize(texts.mapInArrow(lambda it: _neighbourhoods(it, *args), "key long, uid long, asks boolean, indexed boolean"), "deletions")
-        known = lambda flag: found.filter(flag).join(label, "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
-        groups = known("indexed").select("key", F.col("label").alias("other")).distinct()
-        return known("asks").distinct().join(groups, "key").filter("label <> other").select("uid", F.col("other").alias("label")).distinct()
+        return materialize(texts.mapInArrow(lambda it: _neighbourhoods(it, *args), "key long, uid long, asks boolean, indexed boolean"), "deletions")
 
     def links(self, hot: int = HOT) -> DataFrame:
         """Links u, v of sets; they connect all that near sets connect."""
@@ -429,17 +430,24 @@ class Join:
         first = materialize(verified(stars, self.sets(ends(stars)), self.similarity), "verified")
         group = materialize(components(first).toDF("uid", "label"), "groups")
         label = broadcast_if_small(group)
+
         met = self.met(probed.select("key", "uid", "asks", "indexed"), label, hot)
         asked, left = met.filter("label is not null").select("uid", "label"), met.filter("label is null").select("key", "uid", "asks", "indexed")
+        asks = members = None
         if not left.isEmpty():
-            asked = asked.union(self.met_by_one(left, label))
+            again = self.met(self.neighbourhoods(left), label, hot)
+            asked = asked.union(again.filter("label is not null").select("uid", "label"))
+            asks, members = clouds(again.filter("label is null").drop("label"))
+
+        # those asked for: small groups member by member, large ones as a whole
         size = broadcast_if_small(materialize(group.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes"))
         asked = materialize(asked.distinct().join(size, "label", "left").withColumn("size", F.coalesce("size", F.lit(1))), "asks")
         few = group.join(size, "label").filter(F.col("size") <= LISTED).select("label", F.col("uid").alias("member"))
         pairs = asked.filter(F.col("size") <= LISTED).join(few, "label", "left").select(F.col("uid").alias("x"), F.coalesce("member", "label").alias("y"))
         pairs = materialize(pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "pairs")
-        asks = asked.filter(F.col("size") > LISTED).select("uid", "label", "size")
-        members = group.join(size, "label").join(asks.select("label").distinct(), "label", "left_semi").select("uid", "label", "size")
+        large = asked.filter(F.col("size") > LISTED).select("uid", "label", "size")
+        within = group.join(size, "label").join(large.select("label").distinct(), "label", "left_semi").select("uid", "label", "size")
+        asks, members = (large, within) if asks is None else (asks.union(large), members.union(within))
         sets = self.sets(ends(pairs).union(asks.select("uid")).union(members.select("uid")))
         named_sets = sets.join(label.withColumnRenamed("label", "kind"), "uid", "left").withColumn("kind", F.coalesce("kind", "uid"))
         return first.union(verified(pairs, sets, self.similarity)).union(verified_families(asks, members, named_sets, self.similarity))
@@ -456,6 +464,19 @@ class Join:
         return self.rows.join(known, "uid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), found.alias("component_id"))
 
 
+def clouds(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who asks, and who is asked, where postings are hot still: postings that
+    have a set in common that asks are one cloud (uid, label, size).  What is
+    made is a row per set and cloud, not one per pair."""
+    edges = materialize(hot.filter("asks").select(F.col("uid").alias("u"), F.col("key").alias("v")).distinct(), "edges")
+    of = materialize(components(edges).select("node", F.xxhash64(F.lit("cloud"), "root").alias("label")), "clouds")
+    held = hot.filter("indexed").join(of.withColumnRenamed("node", "key"), "key").select("uid", "label").distinct()
+    size = held.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    size = broadcast_if_small(materialize(size, "sizes"))
+    asks = edges.select(F.col("u").alias("node")).distinct().join(of, "node").select(F.col("node").alias("uid"), "label").join(size, "label")
+    return (materialize(x.select("uid", "label", "size"), tag) for x, tag in ((asks, "asking"), (held.join(size, "label"), "asked")))
+
+
 def documents_digest(docs: DataFrame) -> DataFrame:
     """The columns that ``op11_ngram_jaccard_join`` returns."""
     return Join(docs, WIDTH, PERCENT).components()
