@@ -54,6 +54,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,21 +95,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tokens(text: str | None, width: int, salt: int) -> np.ndarray:
-    """Distinct 64-bit hashes, in order, of the shingles (of all words, if
-    there are fewer)."""
-    words = fold(text).split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    seed = np.uint64(salt * 0x2545F4914F6CDD1D + min(n, width) & (1 << 64) - 1)
-    k = min(n, width)
-    h = np.full(n - k + 1, seed)
-    for t in range(k):
-        # words keep their order: what stands before is mixed again
-        h = mix(h * _ODD[0] + w[t : n - k + 1 + t])
-    return np.unique(h)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD[3])
+_FACTOR, _INVERSE = (np.uint64(x) for x in (0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)))
+#: Bytes of a word above which it is hashed by itself: sums of powers can be made
+#: to collide for words of a thousand bytes.
+LONG_WORD = 64
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the factor and of its inverse, as many as the longest block of
+    texts had bytes."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, f)]) for f in (_FACTOR, _INVERSE)]
+    return _powers
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of folded texts, and how many each text has.  A word's
+    hash is a sum over its bytes, taken from sums over the whole block."""
+    block = b" ".join([b"", *texts, b""])
+    x = np.frombuffer(block, np.uint8)
+    space = _SPACE[x]
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    up, down = powers(len(x))
+    sums = np.cumsum(_BYTES[x] * up[: len(x)])
+    w = mix((sums[ends - 1] - sums[starts - 1]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        w[i] = xxhash.xxh64_intdigest(block[starts[i] : ends[i]])
+    upto = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return w, np.diff(np.r_[0, upto])
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def token_sets(texts: list[str | None], width: int, salt: int) -> list[np.ndarray]:
+    """Of each text the distinct 64-bit hashes, in order, of its shingles (of all
+    words, if there are fewer).  Shingles of all texts are hashed at once, and
+    those that reach from one text into the next are left out."""
+    w, n = word_hashes([fold(t) for t in texts])
+
+    def hashed(w: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(max(0, len(w) - k + 1), np.uint64(salt * 0x2545F4914F6CDD1D + k & (1 << 64) - 1))
+        for t in range(k):
+            h = h * _ODD[0] + w[t : len(w) - k + 1 + t]
+        return mix(h)
+
+    whole, out, at = hashed(w, width), [], 0
+    for m in n.tolist():
+        few = hashed(w[at : at + m], m) if 0 < m < width else whole[at : at + max(0, m - width + 1)]
+        out.append(distinct(few))
+        at += m
+    return out
 
 
 def named(x: np.ndarray, salt: int) -> tuple[int, int]:
@@ -161,14 +204,19 @@ class Bands:
         return x[np.argsort(self.segment(x, k), kind="stable")] if self.segments[k] else x
 
 
-def _keyed(k: int, segment: np.ndarray, value: np.ndarray, kind: int = 0) -> np.ndarray:
-    return mix(value + (segment + np.uint64((k * 4 + kind) << 40)) * _ODD[2])
+def _keyed(k: int | np.ndarray, segment: np.ndarray, value: np.ndarray, kind: int = 0) -> np.ndarray:
+    band = np.asarray(k, np.uint64) * np.uint64(4) + np.uint64(kind) << np.uint64(40)
+    return mix(value + (segment + band) * _ODD[2])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of some bytes of text together, or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -177,38 +225,54 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def _named(batches: Iterator[pa.RecordBatch], width: int, salt: int) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        sets = [tokens(t.as_py(), width, salt) for t in batch["text"]]
+        sets = token_sets(batch["text"].to_pylist(), width, salt)
         names = [named(x, salt) for x in sets]
         columns = [pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_id"], *columns], names=["doc_id", "text_id", "uid", "other", "n"])
     release_memory()
 
 
+def signatures(sets: list[np.ndarray], entries: list[tuple[int, int]], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the subsets that sets hold in the segments of a band (entries: set
+    and band, none of them tokenwise), and how many each entry has: those of all
+    entries at once."""
+    k = np.array([b for _, b in entries], np.int64)
+    size, m = np.array([len(sets[i]) for i, _ in entries], np.int64), np.array(bands.segments, np.int64)[k]
+    x, base = np.concatenate([sets[i] for i, _ in entries]), np.cumsum(m) - m
+    segment = ((x * _ODD[1]) >> np.uint64(33)) % np.repeat(m, size).astype(np.uint64)
+    at = segment.astype(np.int64) + np.repeat(base, size)
+    value = np.zeros(int(m.sum()), np.uint64)
+    np.add.at(value, at, x)
+    used = np.flatnonzero(np.bincount(at, minlength=len(value)))
+    entry = np.repeat(np.arange(len(k)), m)[used]
+    return _keyed(k[entry], (used - base[entry]).astype(np.uint64), value[used]), np.bincount(entry, minlength=len(k))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], width: int, salt: int, bands: Bands) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in _slices(batches):
-        keys, uids, slacks, times = [np.zeros(0, np.uint64)], [], [], []
-        for t in batch["text"]:
-            x = tokens(t.as_py(), width, salt)
-            if not len(x):
-                continue
-            uid, _ = named(x, salt)
-            if uid in seen:
-                continue
-            if len(seen) < 1 << 20:
-                seen.add(uid)
-            for k, need, indexed in bands.views(len(x)):
-                segment, value, *_ = bands.subsets(bands.order(x, k), k)
-                spare = len(value) - need if need else NEVER
-                key = _keyed(k, segment, value)
-                slack = spare if indexed else -1 - spare
-                if spare < 0:
-                    key, slack = np.zeros(1, np.uint64), IRREGULAR
-                keys.append(key)
+        sets, uids = [], []
+        for x in token_sets(batch["text"].to_pylist(), width, salt):
+            uid = named(x, salt)[0] if len(x) else None
+            if uid is not None and uid not in seen:
+                sets.append(x)
                 uids.append(uid)
-                slacks.append(slack)
-                times.append(len(key))
-        columns = [np.repeat(np.array(c, np.int64), times) for c in (uids, slacks)] if times else [np.zeros(0, np.int64)] * 2
+                if len(seen) < 1 << 20:
+                    seen.add(uid)
+        views = [(i, *v) for i, x in enumerate(sets) for v in bands.views(len(x))]
+        parts = [(v, _keyed(0, np.zeros(1, np.uint64), sets[v[0]])) for v in views if not v[1]]
+        wide = [v for v in views if v[1]]
+        if wide:
+            key, count = signatures(sets, [v[:2] for v in wide], bands)
+            parts += zip(wide, np.split(key, np.cumsum(count)[:-1]))
+        keys, uid, slack, times = [np.zeros(0, np.uint64)], [], [], []
+        for (i, _, need, indexed), key in parts:
+            spare = len(key) - need if need else NEVER
+            keys.append(key if spare >= 0 else np.zeros(1, np.uint64))
+            uid.append(uids[i])
+            slack.append(IRREGULAR if spare < 0 else spare if indexed else -1 - spare)
+            times.append(len(keys[-1]))
+        columns = [np.repeat(np.array(c, np.int64), np.array(times, np.int64)) for c in (uid, slack)]
         yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), pa.array(columns[0]), pa.array(columns[1], pa.int32())], names=["key", "uid", "slack"])
     release_memory()
 
@@ -330,10 +394,9 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch], width: int, salt: int, ba
     rows key, uid, asks, indexed of the one-deletion index.  A subset and another
     that differs from it by one token meet as a subset of the one and a subset
     less a token of the other; kinds 1 and 2 tell which of them asks."""
-    for batch in _slices(batches, 100):
+    for batch in _slices(batches, 1 << 18):
         keys, flags = [np.zeros(0, np.uint64)], []
-        for text, dropped, shared, held in zip(batch["text"], batch["dropped"], batch["shared"], batch["held"]):
-            x = tokens(text.as_py(), width, salt)
+        for x, dropped, shared, held in zip(token_sets(batch["text"].to_pylist(), width, salt), batch["dropped"], batch["shared"], batch["held"]):
             uid, _ = named(x, salt)
             dropped, shared, held = (np.array(c.as_py() or [], np.int64).view(np.uint64) for c in (dropped, shared, held))
             if len(held):
@@ -364,7 +427,7 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch], width: int, salt: int, ba
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int, salt: int) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        sets = [tokens(t.as_py(), width, salt) for t in batch["text"]]
+        sets = token_sets(batch["text"].to_pylist(), width, salt)
         yield pa.RecordBatch.from_arrays([pa.array([named(x, salt)[0] for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["uid", "shingles"])
     release_memory()
 
