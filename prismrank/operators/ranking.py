@@ -8,22 +8,25 @@ Queries meet the gallery in blocks: a task has one block of queries and one shar
 of the gallery, both of bounded size, and scores them as a matrix; neither side
 is ever held as a whole.  ``rank`` is the definition, pairs and a window per
 query.  ``evaluate_blocks`` gives the same per-query rows without a row per pair:
-each shard sends a query's scores in order, as packed arrays, and they are merged
-one query at a time (some 17 bytes a gallery row).
+a gallery of one shard is ranked where it is scored; of several shards each sends
+the relevant rows of a query alone, and ranks are counted (``_across_shards``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from prismrank.functions import vectors as V
+from prismrank.session import kept
 
 #: Rows of a shard of the gallery and of a block of queries; bytes of vectors up to
 #: which a shard of narrow vectors may have more rows; scores held at once.
@@ -31,6 +34,12 @@ SHARD_BYTES = 32 << 20
 SCORES = 4_000_000
 SHARD_ROWS = 8192
 BLOCK_ROWS = 256
+#: Relevant rows that a task holds when ranks are counted, and shards whose
+#: relevant rows of a query travel together.
+RELEVANT = 4_000_000
+TOGETHER = 8
+#: Scores that several rows have up to which each is looked up by itself.
+FEW_TIES = 16
 
 
 def relevant(multi: bool) -> Column:
@@ -194,85 +203,221 @@ def classify(samples: DataFrame, class_vectors: DataFrame, temperature: float |
 # ---- the block route ---------------------------------------------------------
 
 
-def _ordered(a: pa.Table, b: pa.Table, metric: str, multi: bool, head: list[str]) -> pa.Table:
-    """Per query of a block its scores of a shard: in order, packed."""
-    out: list[list] = [[], [], []]
-    if a.num_rows and b.num_rows:
-        b = b.sort_by("gallery_id")
-        ids = b["gallery_id"].to_numpy()
-        sim, rel = similarities(a, b, metric), relevance(a, b, multi)
-        by = np.argsort(-sim, axis=1, kind="stable")  # ties: smaller id first
-        for i, order in enumerate(by):
-            out[0].append(sim[i, order].tobytes())
-            out[1].append(ids[order].tobytes())
-            out[2].append(np.packbits(rel[i, order]).tobytes())
-    else:
-        a = a.slice(0, 0)
-    return pa.table([*(a[c] for c in head), *(pa.array(x, pa.binary()) for x in out)], names=[*head, "sims", "ids", "rels"])
-
-
-def _merged(batches: Iterator[pa.RecordBatch], head: list[str], ks: tuple[int, ...], names: list[str], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``head`` but its last, the labels: the scores of one query
-    after the other."""
+@dataclass(frozen=True)
+class Scoring:
+    """How a block of queries meets a shard: the columns that tell queries
+    apart, similarity, relevance, and ``mixes``: with shares x of them, each
+    similarity is (1 - x) times that of gallery_vec and x times that of
+    other_vec."""
+
+    keys: tuple[str, ...]
+    metric: str
+    multi: bool
+    mixes: tuple[float, ...] | None
+
+    def ordered(self, a: pa.Table, b: pa.Table) -> tuple[pa.Table, pa.Table]:
+        return a.sort_by([(c, "ascending") for c in self.keys]), b.sort_by("gallery_id")
+
+    def mixed(self, first: np.ndarray, other: np.ndarray | None) -> list[np.ndarray]:
+        return [first] if self.mixes is None else [(1 - x) * first + x * other for x in self.mixes]
+
+    def matrices(self, t: pa.Table, side: str) -> list[np.ndarray]:
+        unit = self.metric == "cosine"
+        return [matrix(t, f"{side}_vec", unit), *([matrix(t, "other_vec", unit)] if self.mixes and side == "gallery" else [])]
+
+
+def rows_above(sims: np.ndarray, ids: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How many of the rows (sims, ids, in the order of ids) stand above each of
+    ``at`` (scores) and ``own`` (ids): a larger score, or an equal one and a
+    smaller id."""
+    rising = np.sort(sims)
+    low, high = np.searchsorted(rising, at, "left"), np.searchsorted(rising, at, "right")
+    above = len(sims) - high
+    # equal scores, but for the row itself where it is one of these
+    place = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
+    tied = np.flatnonzero(high - low - ((ids[place] == own) & (sims[place] == at) if len(ids) else 0) > 0)
+    scores = np.unique(at[tied])
+    if len(scores) <= FEW_TIES:
+        for x in scores.tolist():
+            some = tied[at[tied] == x]
+            above[some] += np.searchsorted(ids[sims == x], own[some])
+        return above
+    order = np.argsort(-sims, kind="stable")
+    ids = ids[order]
+    for i in tied.tolist():
+        first = len(sims) - high[i]
+        above[i] += np.searchsorted(ids[first : len(sims) - low[i]], own[i])
+    return above
+
+
+def _quality(sim: np.ndarray, rel: np.ndarray, ids: np.ndarray, ks: tuple[int, ...]) -> tuple:
+    """One query over a whole gallery in the order of its ids."""
+    own = np.flatnonzero(rel)
+    at = np.sort(rows_above(sim, ids, sim[own], ids[own])) + 1
+    n, best = len(at), int(sim.argmax())  # of equal ones the smallest id
+    ap = float((np.arange(1, n + 1) / at).sum() / n) if n else 0.0
+    found = [int((at <= k).sum()) for k in ks]
+    return len(ids), n, ap, int(at[0]) if n else None, *[int(x > 0) for x in found], *found, int(ids[best]), float(sim[best])
+
+
+def _at_once(a: pa.Table, b: pa.Table, how: Scoring, head: list[str], ks: tuple[int, ...], kinds: pa.Schema) -> pa.Table:
+    """The rows of a block of queries, where one shard is the whole gallery."""
+    if not (a.num_rows and b.num_rows):
+        return kinds.empty_table()
+    a, b = how.ordered(a, b)
+    ids, theirs, out = b["gallery_id"].to_numpy(), how.matrices(b, "gallery"), []
+    step = max(1, SCORES // b.num_rows)
+    for at in range(0, a.num_rows, step):
+        some = a.slice(at, step)
+        rel, (ours,) = relevance(some, b, how.multi), how.matrices(some, "query")
+        mine = list(zip(*(some[c].to_pylist() for c in head)))
+        for number, sim in enumerate(how.mixed(ours @ theirs[0].T, ours @ theirs[1].T if how.mixes else None)):
+            extra = () if how.mixes is None else (number,)
+            out += [(*m, *extra, *_quality(sim[i], rel[i], ids, ks)) for i, m in enumerate(mine)]
+    return pa.table([pa.array(c, f.type) for f, c in zip(kinds, zip(*out))], schema=kinds)
+
+
+def _each(a: pa.Table, b: pa.Table, how: Scoring) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Place of the query, number of the mix, and its scores.  Each query is
+    multiplied by itself, so its scores do not depend on the block it is in."""
+    theirs, (ours,) = how.matrices(b, "gallery"), how.matrices(a, "query")
+    for i, x in enumerate(ours):
+        for number, sim in enumerate(how.mixed(theirs[0] @ x, theirs[1] @ x if how.mixes else None)):
+            yield i, number, sim
+
+
+def _relevant(a: pa.Table, b: pa.Table, how: Scoring, head: list[str], kinds: pa.Schema) -> pa.Table:
+    """Per query of a block and shard: rows, best row, and the scores and ids of
+    the relevant rows."""
+    if not (a.num_rows and b.num_rows):
+        return kinds.empty_table()
+    a, b = how.ordered(a, b)
+    ids, rel, shard, out = b["gallery_id"].to_numpy(), relevance(a, b, how.multi), b["__shard"][0].as_py(), []
+    mine = list(zip(*(a[c].to_pylist() for c in head)))
+    for i, number, sim in _each(a, b, how):
+        best, own = int(sim.argmax()), np.flatnonzero(rel[i])
+        out.append((*mine[i], number, shard, len(ids), int(ids[best]), float(sim[best]), len(own), sim[own].tobytes(), ids[own].tobytes()))
+    return pa.table([pa.array(c, f.type) for f, c in zip(kinds, zip(*out))], schema=kinds)
+
+
+def _above(a: pa.Table, b: pa.Table, how: Scoring, kinds: pa.Schema) -> pa.Table:
+    """A block holds queries and, without vectors, pieces of their relevant rows:
+    of each piece the rows, and the relevant rows, of the shard above each."""
+    pieces = a.filter(pc.is_null(a["query_vec"]))
+    if not (pieces.num_rows and b.num_rows):
+        return kinds.empty_table()
+    a, b = how.ordered(a.filter(pc.is_valid(a["query_vec"])), b)
+    place = {k: i for i, k in enumerate(zip(*(a[c].to_pylist() for c in how.keys)))}
+    asked: dict[tuple[int, int], list[int]] = {}
+    for row, (number, *key) in enumerate(zip(pieces["mix"].to_pylist(), *(pieces[c].to_pylist() for c in how.keys))):
+        asked.setdefault((place[tuple(key)], number), []).append(row)
+    ids, rel, out = b["gallery_id"].to_numpy(), relevance(a, b, how.multi), []
+    for i, number, sim in _each(a, b, how):
+        for row in asked.get((i, number), ()):
+            parts = pieces["parts"][row].as_py()
+            at, own = (np.frombuffer(b"".join(p[c] for p in parts), kind) for c, kind in (("sims", np.float64), ("ids", np.int64)))
+            counts = rows_above(sim, ids, at, own), rows_above(sim[rel[i]], ids[rel[i]], at, own)
+            out.append((*(pieces[c][row].as_py() for c in (*how.keys, "mix", "piece")), *(c.tobytes() for c in counts)))
+    return pa.table([pa.array(c, f.type) for f, c in zip(kinds, zip(*out))], schema=kinds)
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], keys: list[str], ks: tuple[int, ...], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of ``keys``: the counts of all shards for one piece after
+    the other, and what its relevant rows add to their query."""
+    now, total, out = None, None, []
+
+    def done() -> tuple:
+        rank, place = (x + 1 for x in total)
+        return *now[:-1], float((place / rank).sum()), int(rank.min()), *[int((rank <= k).sum()) for k in ks]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(kinds, zip(*rows))], schema=kinds)
 
-    def result(mine: tuple, pieces: list[tuple[bytes, bytes, bytes]]) -> tuple:
-        sims, ids = (np.concatenate([np.frombuffer(p[k], t) for p in pieces]) for k, t in ((0, np.float64), (1, np.int64)))
-        rel = np.concatenate([np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(p[0]) // 8) for p in pieces])
-        order = np.lexsort((ids, -sims)) if len(pieces) > 1 else np.arange(len(sims))
-        at = np.flatnonzero(rel[order]) + 1
-        n = len(at)
-        ap = float((np.arange(1, n + 1) / at).sum() / n) if n else 0.0
-        found = [int((at <= k).sum()) for k in ks]
-        return *mine, len(ids), n, ap, int(at[0]) if n else None, *[int(x > 0) for x in found], *found, int(ids[order[0]]), float(sims[order[0]])
+    for batch in batches:
+        for *key, above, before in zip(*(batch[c].to_pylist() for c in keys), batch["above"], batch["before"]):
+            counts = [np.frombuffer(x.as_py(), np.int64) for x in (above, before)]
+            if key == now:
+                total = [x + y for x, y in zip(total, counts)]
+                continue
+            if now is not None:
+                out.append(done())
+            now, total = key, counts
+        if out:
+            yield batch_of(out)
+            out = []
+    if now is not None:
+        yield batch_of([done()])
+
+
+def _across_shards(q: DataFrame, g: DataFrame, how: Scoring, head: list[str], by: tuple[str, ...], ks: tuple[int, ...], sizes: tuple[int, int], shard_rows: int, block_rows: int) -> DataFrame:
+    """Ranks by counting: the relevant rows of a query go to all shards, each
+    counts the rows above them, and the counts are summed.  No shard's scores
+    leave its task; what travels follows the relevant rows (16 bytes each to a
+    shard, and 16 back)."""
+    arrow = lambda schema: to_arrow_schema(_parse_datatype_string(schema))
+    q, g = kept(q, "queries"), kept(g, "gallery")
+    keys = ", ".join(f"{c} {_kind(q, c)}" for c in how.keys)
+    found = f"{', '.join(f'{c} {_kind(q, c)}' for c in head)}, mix int, shard int, rows long, top1_gallery_id long, top1_score double, relevant long, sims binary, ids binary"
+    kinds = arrow(found)
+    seen = kept(dealt(q, g, lambda a, b: _relevant(a, b, how, head, kinds), found, shard_rows, block_rows, by, sizes), "relevant")
+    of = [*how.keys, "mix"]
+    best = F.max_by(F.struct("top1_gallery_id", "top1_score"), F.struct("top1_score", -F.col("top1_gallery_id"))).alias("best")
+    whole = kept(seen.groupBy(*head, "mix").agg(F.sum("rows").alias("num_gallery"), F.sum("relevant").alias("num_relevant"), best), "counted")
+    # a group holds a block of queries and a bounded number of relevant rows
+    most = max(1, whole.agg(F.max("num_relevant")).first()[0] or 0)
+    pieces, block_rows = -(-most // RELEVANT), max(1, min(block_rows, RELEVANT // most))
+    parts = seen.filter("relevant > 0").withColumn("piece", F.floor(F.col("shard") / TOGETHER).cast("int")).groupBy(*of, "piece").agg(F.array_sort(F.collect_list(F.struct("shard", "sims", "ids"))).alias("parts"))
+    turn = F.pmod("piece", F.lit(pieces)).alias("__turn")
+    turns = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("__turn")
+    asked = q.select("*", turns).unionByName(parts.select("*", turn), allowMissingColumns=True)
+    schema = f"{keys}, mix int, piece int, above binary, before binary"
+    counts = arrow(schema)
+    above = dealt(asked, g.select("*", turns), lambda a, b: _above(a, b, how, counts), schema, shard_rows, block_rows, (*by, "__turn"), sizes)
+    order = [*of, "piece"]
+    schema = f"{keys}, mix int, precision double, first_hit_rank int, " + ", ".join(f"found_at_{k} int" for k in ks)
+    ranked = arrow(schema)
+    rows = above.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _ranked(it, order, ks, ranked), schema)
+    per = rows.groupBy(*of).agg(F.sum("precision").alias("precision"), F.min("first_hit_rank").alias("first_hit_rank"), *[F.sum(f"found_at_{k}").cast("int").alias(f"found_at_{k}") for k in ks])
+    out = whole.join(per, of, "left")
+    found_at = [F.coalesce(f"found_at_{k}", F.lit(0)) for k in ks]
+    return out.select(
+        *head, *([] if how.mixes is None else ["mix"]), "num_gallery", "num_relevant", F.when(F.col("num_relevant") > 0, F.col("precision") / F.col("num_relevant")).otherwise(0.0).alias("ap"), "first_hit_rank",
+        *[(x > 0).cast("int").alias(f"hit_at_{k}") for k, x in zip(ks, found_at)], *[x.alias(f"found_at_{k}") for k, x in zip(ks, found_at)], "best.top1_gallery_id", "best.top1_score",
+    )
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds.field(n).type) for n, c in zip(names, zip(*rows))], names=names)
 
-    now, pieces, done = None, [], []
-    for batch in batches:
-        for *mine, sims, ids, rels in zip(*(batch[c].to_pylist() for c in head), batch["sims"], batch["ids"], batch["rels"]):
-            if pieces and mine[:-1] != now[:-1]:
-                done.append(result(now, pieces))
-                pieces = []
-                if len(done) == 1000:
-                    yield out(done)
-                    done = []
-            now = mine
-            pieces.append((sims.as_py(), ids.as_py(), rels.as_py()))
-    if pieces:
-        done.append(result(now, pieces))
-    if done:
-        yield out(done)
-
-
-def _at_once(a: pa.Table, b: pa.Table, metric: str, multi: bool, head: list[str], ks: tuple[int, ...], kinds: pa.Schema) -> pa.Table:
-    """The rows of a block of queries, where one shard is the whole gallery."""
-    a, out = a.sort_by([(c, "ascending") for c in head[:-1]]), []
-    step = max(1, SCORES // max(1, b.num_rows))
-    parts = (x for at in range(0, a.num_rows, step) for x in _ordered(a.slice(at, step), b, metric, multi, head).to_batches())
-    out = list(_merged(parts, head, ks, kinds.names, kinds))
-    return pa.Table.from_batches(out).cast(kinds) if out else kinds.empty_table()
+def measured(queries: DataFrame, gallery: DataFrame, by: tuple[str, ...] = ()) -> tuple[int, int, int]:
+    """Rows of the largest group of the gallery and of the queries, and the width
+    of the vectors, by one job."""
+    sides = [df.select(F.lit(k).alias("side"), *by, F.size(v).alias("w")) for k, (df, v) in enumerate(((gallery, "gallery_vec"), (queries, "query_vec")))]
+    each = sides[0].unionAll(sides[1]).groupBy("side", *by).agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"))
+    got = {r.side: (r.n, r.w) for r in each.groupBy("side").agg(F.max("n").alias("n"), F.max("w").alias("w")).collect()}
+    n, m = got.get(0, (0, 1)), got.get(1, (0, 1))
+    return n[0], m[0], max(1, n[1] or 1)
 
 
-def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", multi: bool = False, shard_rows: int | None = None, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
+def evaluate_blocks(queries: DataFrame, gallery: DataFrame, ks: tuple[int, ...] = (1, 5, 10), metric: str = "dot", multi: bool = False, shard_rows: int | None = None, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = (), sizes: tuple[int, int, int] | None = None, mixes: tuple[float, ...] | None = None) -> DataFrame:
     """R9 / R10 per query (one row per query_id), for galleries of any size;
-    within equal values of ``by`` (for example the fold), as one plan."""
+    within equal values of ``by`` (for example the fold), as one plan.
+
+    ``sizes``: rows of the largest group of the gallery and of the queries (or
+    more) and width of the vectors, as ``measured`` finds them; give them where
+    the vectors are costly to make.  ``mixes``: see ``Scoring``; the rows then
+    have the place of the share as ``mix``."""
     label = "query_labels" if multi else "query_label"
     head = [*by, "query_id", label]
     q = queries.select(*head, V.doubles("query_vec").alias("query_vec"))
-    g = gallery.select(*by, F.col("gallery_id").cast("long").alias("gallery_id"), "gallery_labels" if multi else "gallery_label", V.doubles("gallery_vec").alias("gallery_vec"))
-    kinds = ", ".join(f"{c} {_kind(q, c)}" for c in head)
-    width = g.agg(F.max(F.size("gallery_vec"))).first()[0] or 1
+    g = gallery.select(*by, F.col("gallery_id").cast("long").alias("gallery_id"), "gallery_labels" if multi else "gallery_label", V.doubles("gallery_vec").alias("gallery_vec"), *([V.doubles("other_vec").alias("other_vec")] if mixes else []))
+    n, m, width = sizes or measured(q, g, by)
     shard_rows = shard_rows or max(SHARD_ROWS, SHARD_BYTES // (8 * width))
-    sizes = largest(g, by), largest(q, by)
-    schema = f"{kinds}, num_gallery long, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"{x}_at_{k} int" for x in ("hit", "found") for k in ks) + ", top1_gallery_id long, top1_score double"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
-    if sizes[0] <= shard_rows:  # one shard: there is nothing to merge, and no score travels
-        merged = dealt(q, g, lambda a, b: _at_once(a, b, metric, multi, head, ks, arrow), schema, shard_rows, block_rows, by, sizes)
-        return _set_quality(merged, ks).withColumn("num_active_labels", F.size(label)) if multi else merged
-    sent = dealt(q, g, lambda a, b: _ordered(a, b, metric, multi, head), f"{kinds}, sims binary, ids binary, rels binary", shard_rows, block_rows, by, sizes)
-    merged = sent.repartition(*head[:-1]).sortWithinPartitions(*head[:-1]).mapInArrow(lambda it: _merged(it, head, ks, arrow.names, arrow), schema)
-    return _set_quality(merged, ks).withColumn("num_active_labels", F.size(label)) if multi else merged
+    how = Scoring((*by, "query_id"), metric, multi, mixes)
+    if n <= shard_rows:  # one shard: nothing is to be counted elsewhere
+        schema = ", ".join(f"{c} {_kind(q, c)}" for c in head) + (", mix int" if mixes else "") + ", num_gallery long, num_relevant long, ap double, first_hit_rank int, " + ", ".join(f"{x}_at_{k} int" for x in ("hit", "found") for k in ks) + ", top1_gallery_id long, top1_score double"
+        kinds = to_arrow_schema(_parse_datatype_string(schema))
+        out = dealt(q, g, lambda a, b: _at_once(a, b, how, head, ks, kinds), schema, shard_rows, block_rows, by, (n, m))
+    else:
+        out = _across_shards(q, g, how, head, by, ks, (n, m), shard_rows, block_rows)
+    return _set_quality(out, ks).withColumn("num_active_labels", F.size(label)) if multi else out
 
 
 def _best(q: pa.Table, g: pa.Table, k: int, metric: str, least: float | None, others: bool) -> pa.Table:

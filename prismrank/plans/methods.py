@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from prismrank.functions import vectors as V
 from prismrank.operators import attribution, graph, kernel, pca, ranking, report, scoring
+from prismrank.session import kept
 
 STAGES = ("selected", "mean", "affinity", "fiedler", "full")
 #: Methods beside the stages: the mean of the bands of the spectral indices (near
@@ -89,52 +90,65 @@ def fused(samples: DataFrame, stage: str, config: kernel.Config = kernel.Config(
     return kernel.run(samples, c).select("sample_id", F.col("fused").alias("vec"))
 
 
-def sides(features: DataFrame, roles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and gallery of features (sample_id, vec) by role (sample_id,
-    label, role)."""
-    f = features.join(roles, "sample_id")
-    q = f.filter("role = 'query'").select(F.col("sample_id").alias("query_id"), F.col("label").alias("query_label"), F.col("vec").alias("query_vec"))
-    g = f.filter("role = 'gallery'").select(F.col("sample_id").alias("gallery_id"), F.col("label").alias("gallery_label"), F.col("vec").alias("gallery_vec"))
-    return q, g
+def named(features: DataFrame, roles: DataFrame, side: str, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """Features of one role as the ``side`` query or gallery of an evaluation;
+    keys beside sample_id stay."""
+    labels = roles.filter(F.col("role") == side).select(*keys, "label")
+    more = [k for k in keys if k != "sample_id"]
+    return features.join(labels, list(keys)).select(*more, F.col("sample_id").alias(f"{side}_id"), F.col("label").alias(f"{side}_label"), F.col("vec").alias(f"{side}_vec"))
+
+
+def role_sizes(samples: DataFrame, roles: DataFrame, by: tuple[str, ...] = ()) -> tuple[int, int, int]:
+    """Sizes for ``ranking.evaluate_blocks`` from the roles, not from features
+    that are costly to make: gallery rows, queries, width of a band."""
+    counts = roles.groupBy(*by, "role").count().groupBy("role").agg(F.max("count").alias("n")).collect()
+    n = {r.role: r.n for r in counts}
+    one = samples.select(F.size(F.get("bands", F.lit(0))).alias("w")).first()
+    return n.get("gallery", 0), n.get("query", 0), max(1, one.w) if one else 1
+
+
+def features_of(rows: DataFrame, method: str, train: DataFrame, gallery: DataFrame, config: kernel.Config, mode: str) -> DataFrame:
+    """sample_id, vec of the samples in ``rows`` by a method that is fitted on
+    ``train`` (class centroids, votes) or on ``gallery`` (components)."""
+    if method == "vote":
+        fitted = train.select(graph.mean_fusion("bands").alias("vec"), F.col("label").alias("class_id"))
+        texts = class_queries(train).select(F.col("label").alias("class_id"), F.col("query").alias("vec"))
+        asked = rows.select(F.col("sample_id").alias("image_id"), graph.mean_fusion("bands").alias("vec"))
+        return scoring.logit_features(scoring.vote_logits(asked, fitted, texts)).select(F.col("image_id").alias("sample_id"), "vec")
+    if method == "pca":
+        flat = lambda df: df.select("sample_id", F.flatten("bands").alias("vec"))
+        return pca.project(flat(rows), pca.fit(flat(gallery), 3)).withColumn("vec", V.l2_normalize("vec"))
+    wanted = condition(rows, train, mode) if method in ("affinity", "fiedler", "full") else rows
+    return fused(wanted, "selected" if method == "propagation" else method, config)
 
 
 def evaluate_method(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config = kernel.Config(k=3), mode: str = "own_label", ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Per-query rows of one method over one fold."""
+    """Per-query rows of one method over one fold.  Each side's features are
+    made from the samples of its role alone, and once."""
     check_methods([method])
     labelled = samples.join(roles.select("sample_id", "role"), "sample_id")
-    train = labelled.filter("role = 'train'")
-    if method == "vote":
-        vec = labelled.select("sample_id", "label", "role", graph.mean_fusion("bands").alias("vec"))
-        rows = vec.filter("role = 'train'").select("vec", F.col("label").alias("class_id"))
-        texts = class_queries(train).select(F.col("label").alias("class_id"), F.col("query").alias("vec"))
-        asked = vec.filter("role <> 'train'").select(F.col("sample_id").alias("image_id"), "vec")
-        features = scoring.logit_features(scoring.vote_logits(asked, rows, texts)).select(F.col("image_id").alias("sample_id"), "vec")
-    elif method == "pca":
-        flat = labelled.filter("role <> 'train'").select("sample_id", "role", F.flatten("bands").alias("vec"))
-        features = pca.project(flat.select("sample_id", "vec"), pca.fit(flat.filter("role = 'gallery'"), 3)).withColumn("vec", V.l2_normalize("vec"))
-    else:
-        wanted = labelled.filter("role <> 'train'").drop("role")
-        wanted = condition(wanted, train, mode) if method in ("affinity", "fiedler", "full") else wanted
-        features = fused(wanted, "selected" if method == "propagation" else method, config)
+    of = {r: labelled.filter(F.col("role") == r).drop("role") for r in ("train", "query", "gallery")}
+    q, g = (named(features_of(of[r], method, of["train"], of["gallery"], config, mode), roles, r) for r in ("query", "gallery"))
     if method == "propagation":
-        return propagation(*sides(features, roles), ks=ks).withColumn("method", F.lit(method))
-    return evaluate_features(features, roles, method, ks)
+        return propagation(q, g, ks=ks).withColumn("method", F.lit(method))
+    return ranking.evaluate_blocks(q, g, ks, sizes=role_sizes(samples, roles)).withColumn("method", F.lit(method))
 
 
 def evaluate_features(features: DataFrame, roles: DataFrame, method: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Per-query rows of features (sample_id, vec) however they were made, for
     example by an encoder from images of three bands, of indices or of principal
     components."""
-    q, g = sides(features, roles)
-    return ranking.evaluate_blocks(q, g, ks).withColumn("method", F.lit(method))
+    return ranking.evaluate_blocks(named(features, roles, "query"), named(features, roles, "gallery"), ks).withColumn("method", F.lit(method))
 
 
 def propagation(queries: DataFrame, gallery: DataFrame, alphas: tuple[float, ...] = ALPHAS, neighbours: int = 20, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Per-query rows with the alpha that is best on these queries, as
-    the baseline chooses it.  The scores of all alphas are a few rows."""
-    edges = scoring.gallery_graph(gallery, neighbours)
-    best = scoring.search_alpha(queries, gallery, edges, list(alphas), (1, 5)).filter("best").first()
-    return ranking.evaluate_blocks(queries, scoring.propagated(gallery, edges, best.alpha), ks)
+    the baseline chooses it.  The graph is built once and all alphas are scored
+    in one pass; their qualities are a few rows."""
+    rows = kept(scoring.alpha_rows(queries, gallery, scoring.gallery_graph(gallery, neighbours), alphas, tuple(sorted({*ks, 1, 5}))), "alphas")
+    best = scoring.alpha_quality(rows, alphas, (1, 5)).filter("best").first()
+    unwanted = [f"{x}_at_{k}" for k in (1, 5) if k not in ks for x in ("hit", "found")]
+    return rows.filter(F.col("mix") == (best.alpha_pos if best else 0)).drop("mix", *unwanted)
 
 
 def evaluate_folds(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config = kernel.Config(k=3), ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -142,15 +156,17 @@ def evaluate_folds(samples: DataFrame, roles: DataFrame, method: str, config: ke
     fold_id, role) as one plan."""
     by = ("fold_id",)
     labelled = samples.join(roles.select("sample_id", "fold_id", "role"), "sample_id")
-    wanted = labelled.filter("role <> 'train'").drop("role")
-    if method in ("affinity", "fiedler", "full"):
-        wanted = condition(wanted, labelled.filter("role = 'train'"), by=by)
-    # a sample has one vector per fold
-    features = fused(wanted.withColumn("sample_id", F.struct("sample_id", "fold_id")), method, config)
-    f = features.select("sample_id.sample_id", "sample_id.fold_id", "vec").join(roles, ["sample_id", "fold_id"])
-    q = f.filter("role = 'query'").select("fold_id", F.col("sample_id").alias("query_id"), F.col("label").alias("query_label"), F.col("vec").alias("query_vec"))
-    g = f.filter("role = 'gallery'").select("fold_id", F.col("sample_id").alias("gallery_id"), F.col("label").alias("gallery_label"), F.col("vec").alias("gallery_vec"))
-    return ranking.evaluate_blocks(q, g, ks, by=by).withColumn("method", F.lit(method))
+
+    def side(role: str) -> DataFrame:
+        rows = labelled.filter(F.col("role") == role).drop("role")
+        if method in ("affinity", "fiedler", "full"):
+            rows = condition(rows, labelled.filter("role = 'train'"), by=by)
+        # a sample has one vector per fold
+        made = fused(rows.withColumn("sample_id", F.struct("sample_id", "fold_id")), method, config)
+        return named(made.select("sample_id.sample_id", "sample_id.fold_id", "vec"), roles, role, ("sample_id", "fold_id"))
+
+    rows = ranking.evaluate_blocks(side("query"), side("gallery"), ks, by=by, sizes=role_sizes(samples, roles, by))
+    return rows.withColumn("method", F.lit(method))
 
 
 def cross_validate(samples: DataFrame, folds: DataFrame, k: int, methods: list[str], config: kernel.Config = kernel.Config(k=3), wanted: list[int] | None = None) -> DataFrame:
@@ -190,16 +206,21 @@ def sweep(samples: DataFrame, roles: DataFrame, grid: dict[str, list], base: ker
     """One parameter at a time; cells param_name, pos, param_value and
     metrics."""
     labelled = samples.join(roles.select("sample_id", "role"), "sample_id")
-    wanted = condition(labelled.filter("role <> 'train'").drop("role"), labelled.filter("role = 'train'"))
+    train = labelled.filter("role = 'train'")
     cells = [(p, i, v) for p, values in grid.items() for i, v in enumerate(values)]
-    # all cells share one pass over the samples: the grid is a parameter
-    features = kernel.run(wanted, [replace(base, **{p: v}) for p, _, v in cells])
-    out = None
-    for n, (p, i, v) in enumerate(cells):
-        q, g = sides(features.filter(F.col("config") == n).select("sample_id", F.col("fused").alias("vec")), roles)
-        rows = ranking.summary(ranking.evaluate_blocks(q, g)).withColumns({"param_name": F.lit(p), "pos": F.lit(i), "param_value": F.lit(float(v))})
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    configs = [replace(base, **{p: v}) for p, _, v in cells]
+    keys = ("sample_id", "config")
+    numbered = roles.withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(len(cells) - 1))))
+
+    def side(role: str) -> DataFrame:
+        made = kernel.run(condition(labelled.filter(F.col("role") == role).drop("role"), train), configs)
+        return named(made.select("sample_id", "config", F.col("fused").alias("vec")), numbered, role, keys)
+
+    # the cell is a key of one evaluation: each sample is fused once a cell
+    rows = ranking.evaluate_blocks(side("query"), side("gallery"), by=("config",), sizes=role_sizes(samples, roles))
+    of = lambda k, kind: F.get(F.array(*[F.lit(c[k]).cast(kind) for c in cells]), F.col("config"))
+    out = ranking.summary(rows, by=["config"])
+    return out.withColumns({"param_name": of(0, "string"), "pos": of(1, "int"), "param_value": of(2, "double")}).drop("config")
 
 
 def leave_one_band_out(samples: DataFrame, roles: DataFrame, bands: int, method: str = "mean", config: kernel.Config = kernel.Config(k=3)) -> DataFrame:
