@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismrank.session import kept
+
 
 def _bounded(x: Column) -> Column:
     return (F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) + 1.0) / 2.0
@@ -115,42 +117,113 @@ def apply_pca(pixels: DataFrame, state: Pca, channels: list[str], by: list[str]
     return out.drop(*[c for c in out.columns if c.startswith("__m")])
 
 
+def _axes(batches: Iterator[pa.RecordBatch], channels: int, components: int) -> Iterator[pa.RecordBatch]:
+    """Components of each row's covariance, given as its upper triangle."""
+    upper = np.triu_indices(channels)
+    for batch in batches:
+        cov = np.zeros((batch.num_rows, channels, channels))
+        if batch.num_rows:
+            cov[:, upper[0], upper[1]] = batch["cov"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cov[:, upper[1], upper[0]] = cov[:, upper[0], upper[1]]
+        values, vectors = np.linalg.eigh(cov)
+        w = np.take_along_axis(vectors, np.argsort(values, axis=1)[:, None, ::-1][:, :, :components], 2).transpose(0, 2, 1)
+        w = w * np.sign(np.take_along_axis(w, np.abs(w).argmax(2)[:, :, None], 2))
+        yield pa.RecordBatch.from_arrays([batch["__image"], batch["__mean"], pa.array(list(w.reshape(len(w), -1)), pa.list_(pa.float64()))], names=["__image", "__mean", "__axes"])
+
+
 def image_pca(pixels: DataFrame, image: str, channels: list[str], components: int = 3, eps: float = 1e-6) -> DataFrame:
     """Components of each image on its own (covariance by P - 1), its
-    projections min-max to [0, 1].  One image is one group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, out = [], [], []
-            for i, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array([[r[c] for c in channels] for r in rows], float)
-                x = x - x.mean(0)
-                values, vectors = np.linalg.eigh(x.T @ x / max(len(x) - 1, 1))
-                w = vectors[:, np.argsort(values)[::-1][:components]]
-                w = w * np.sign(w[np.abs(w).argmax(0), np.arange(w.shape[1])])
-                p = x @ w
-                out.append(np.clip((p - p.min(0)) / (np.ptp(p, axis=0) + eps), 0, 1))
-                ids += [i] * len(rows)
-                keys += [r["pixel_id"] for r in rows]
-            if out:
-                p = np.concatenate(out)
-                kinds = batch.schema.field(0).type, batch.schema.field(1).type.value_type.field("pixel_id").type
-                yield pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(keys, kinds[1]), *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[image, "pixel_id", *(f"pc{k + 1}" for k in range(p.shape[1]))])
-
-    kind = pixels.schema[image].dataType.simpleString(), pixels.schema["pixel_id"].dataType.simpleString()
-    schema = f"{image} {kind[0]}, pixel_id {kind[1]}, " + ", ".join(f"pc{k + 1} double" for k in range(min(components, len(channels))))
-    # many images per Arrow batch: a group per image would cost a call each
-    rows = pixels.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("pixel_id", *channels))).alias("rows"))
-    return rows.mapInArrow(run, schema)
-
-
-def stretch(pixels: DataFrame, value: str, by: list[str] | None = None, low: float = 0.02, high: float = 0.98, eps: float = 1e-8, exact: bool = True) -> DataFrame:
+    projections min-max to [0, 1].  Means and covariances are grouped sums, so an
+    image may have any number of pixels; the eigenvectors of all images of a
+    batch are found at once."""
+    c, k = [F.col(x).cast("double") for x in channels], min(components, len(channels))
+    fine = lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))  # noqa: E731  an image of one pixel has no covariance
+    cov = [fine(F.covar_samp(c[i], c[j])) for i in range(len(c)) for j in range(i, len(c))]
+    moments_ = pixels.groupBy(F.col(image).alias("__image")).agg(F.array(*map(F.avg, c)).alias("__mean"), F.array(*cov).alias("cov"))
+    kind = pixels.schema[image].dataType.simpleString()
+    n = len(channels)
+    axes = moments_.mapInArrow(lambda it: _axes(it, n, k), f"__image {kind}, __mean array<double>, __axes array<double>")
+
+    def part(p: int) -> Column:
+        terms = [(x - F.get("__mean", F.lit(i))) * F.get("__axes", F.lit(p * len(c) + i)) for i, x in enumerate(c)]
+        return sum(terms[1:], terms[0])
+
+    of = lambda t: pixels.join(t, F.col(image).eqNullSafe(F.col("__image")))
+    names = [f"pc{p + 1}" for p in range(k)]
+    ends = of(axes).groupBy(F.col(image).alias("__image"), "__mean", "__axes").agg(*[f(part(p)).alias(f"__{f.__name__}{p}") for p in range(k) for f in (F.min, F.max)])
+    scaled = [F.least(F.greatest((part(p) - F.col(f"__min{p}")) / (F.col(f"__max{p}") - F.col(f"__min{p}") + eps), F.lit(0.0)), F.lit(1.0)).alias(n) for p, n in enumerate(names)]
+    return of(ends).select(image, "pixel_id", *scaled)
+
+
+#: Rows of a group up to which its percentiles are found in one task, and bins of
+#: a pass over a larger one.
+HELD = 100_000
+BINS = 1024
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return out
+
+
+def percentiles(pixels: DataFrame, value: str, shares: list[float], by: list[str], held: int = HELD, bins: int = BINS) -> DataFrame:
+    """``by`` and ``__q``, the exact interpolated percentiles of each group.
+
+    A group of many rows is narrowed down to the two order statistics of each
+    share: a pass counts the rows of a range in bins and goes on with the bin
+    that has the wanted rank, between its own least and largest value; until so
+    few rows are left that they can be ranked, or all are equal.  What meets in
+    a task is a row per bin, or ``held`` rows.  Values that are null or not
+    finite are left out."""
+    if not by:
+        return percentiles(pixels.withColumn("__g", F.lit(0)), value, shares, ["__g"], held, bins).drop("__g")
+    x = F.col(value).cast("double")
+    rows = pixels.select(*by, x.alias("__x")).filter(F.abs(x) < float("inf"))
+    mine = [F.col(c).alias(f"__{c}") for c in by]
+    own = [f"__{c}" for c in by]
+    sizes = kept(rows.groupBy(*mine).agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")), "sizes")
+    large = sizes.filter(F.col("n") > held)
+    at_once = F.percentile("__x", F.array(*[F.lit(s) for s in shares])).alias("__q")
+    if large.isEmpty():
+        return rows.groupBy(*by).agg(at_once)
+    small = rows.join(sizes.filter(F.col("n") <= held).select(*own), _same(by)).groupBy(*by).agg(at_once)
+
+    ranks = [F.struct(F.lit(2 * i + k).alias("k"), F.least(F.floor(F.lit(s) * (F.col("n") - 1)) + k, F.col("n") - 1).alias("rank")) for i, s in enumerate(shares) for k in (0, 1)]
+    state = kept(large.select("*", F.explode(F.array(*ranks)).alias("t")).select(*own, "t.k", "lo", "hi", "t.rank", "n"), "ranks")
+    keys = [*own, "k"]
+    while not (open_ := state.filter((F.col("n") > held) & (F.col("lo") < F.col("hi")))).isEmpty():
+        width = F.col("hi") / 2 - F.col("lo") / 2  # halves cannot overflow
+        bin_ = F.when(F.col("__x") >= F.col("hi"), bins - 1).when(width > 0, F.least(F.floor((F.col("__x") / 2 - F.col("lo") / 2) / width * bins), F.lit(bins - 1))).otherwise(0)
+        near = rows.join(open_, _same(by)).filter(F.col("__x").between(F.col("lo"), F.col("hi")))
+        counts = near.groupBy(*keys, "rank", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+        upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+        done = state.filter((F.col("n") <= held) | (F.col("lo") >= F.col("hi")))
+        state = kept(done.unionByName(found.select(*keys, "lo", "hi", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("c").alias("n"))), "ranks")
+    left = rows.join(state.filter("lo < hi"), _same(by)).filter(F.col("__x").between(F.col("lo"), F.col("hi")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__x")) - 1
+    picked = left.withColumn("at", place).filter("at = rank").select(*keys, "__x").union(state.filter("lo = hi").select(*keys, "lo"))
+    both = F.array_sort(F.collect_list(F.struct("k", F.col("__x").alias("v"))))  # two values a share
+    per = picked.groupBy(*own).agg(both.alias("__v")).join(large.select(*[F.col(c).alias(f"__{c}") for c in own], "n"), _same(own))
+    v = lambda k: F.get("__v", F.lit(k))["v"]
+    q = [v(2 * i) + (F.lit(s) * (F.col("n") - 1) - F.floor(F.lit(s) * (F.col("n") - 1))) * (v(2 * i + 1) - v(2 * i)) for i, s in enumerate(shares)]
+    return small.unionByName(per.select(*[F.col(f"__{c}").alias(c) for c in by], F.array(*q).alias("__q")))
+
+
+def stretch(pixels: DataFrame, value: str, by: list[str] | None = None, low: float = 0.02, high: float = 0.98, eps: float = 1e-8, exact: bool = True, held: int = HELD) -> DataFrame:
     """Percentile stretch to [0, 1], global or by group.  ``exact`` uses
-    interpolated percentiles (counts of all distinct values meet per group);
-    without it a sketch of bounded size."""
-    q = F.percentile(value, F.array(F.lit(low), F.lit(high))) if exact else F.percentile_approx(value, [low, high], 100_000)
-    ends = (pixels.groupBy(*by) if by else pixels).agg(q.alias("__q"))
-    out = pixels.join(ends, by) if by else pixels.crossJoin(F.broadcast(ends))
+    interpolated percentiles (see ``percentiles``); without it a sketch of
+    bounded size."""
+    if exact:
+        ends = percentiles(pixels, value, [low, high], by or [], held)
+    else:
+        ends = pixels.groupBy(*(by or [])).agg(F.percentile_approx(value, [low, high], 100_000).alias("__q"))
+    if by:
+        out = pixels.join(ends.toDF(*[f"__{c}" for c in by], "__q"), _same(by)).drop(*[f"__{c}" for c in by])
+    else:
+        out = pixels.crossJoin(F.broadcast(ends))  # one row
     a, b = F.get("__q", F.lit(0)), F.get("__q", F.lit(1))
     x = (F.col(value) - a) / (b - a + eps)
     return out.withColumn("stretched", F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).drop("__q")

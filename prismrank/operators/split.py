@@ -2,7 +2,8 @@
 
 Order inside a class is that of md5(seed:id), so a split depends on the seed
 and the ids alone, not on partitions, and can be repeated in any SQL engine.
-Ranks are per class; the window holds ids only, never vectors.
+A rank is the number of rows in the buckets before (of hashes, or of ranges of
+ids) and the place in one's own, so no task holds a class or a split.
 """
 
 from __future__ import annotations
@@ -10,6 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismrank.session import kept
+
+#: Hexadecimal digits of a hash that name its bucket.
+DIGITS = 4
+#: Rows up to which a sample is ranked in one task.
+FEW = 100_000
+
 
 def hashed(sample: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(sample).cast("string")))
@@ -20,21 +28,52 @@ def shuffled(sample: str, label: str | None, seed: int) -> Window:
     return by.orderBy(hashed(sample, seed), sample)
 
 
+def _ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` (with ``__b``, a bucket in the order of ``order``) and ``__r``, the
+    rank in the group from 1, and ``__n``, its size."""
+    counts = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*by)  # a row per bucket, however many there are in it
+    before = F.coalesce(F.sum("__c").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__b").alias("__kb"), before.alias("__before"), F.sum("__c").over(group).alias("__n"))
+    same = F.col("__b") == F.col("__kb")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    own = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order))
+    return rows.join(ends, same).withColumn("__r", own + F.col("__before")).drop("__b", "__kb", "__before", *[f"__k{i}" for i in range(len(by))])
+
+
+def placed(rows: DataFrame, by: list[str], sample: str, seed: int) -> DataFrame:
+    """``__r`` and ``__n`` of the order by hash in each group of ``by``."""
+    hashes = rows.withColumn("__h", F.coalesce(hashed(sample, seed), F.lit("")))
+    bucket = F.coalesce(F.conv(F.substring("__h", 1, DIGITS), 16, 10).cast("int"), F.lit(0))
+    return _ranked(hashes.withColumn("__b", bucket), by, ["__h", sample]).drop("__h")
+
+
+def positioned(rows: DataFrame, by: list[str], sample: str) -> DataFrame:
+    """``__r`` and ``__n`` of the order by id in each group of ``by``: ranges of
+    ids, which Spark chooses, are the buckets.  ``rows``: narrow."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = kept(rows.repartitionByRange(parts, *by, sample).withColumn("__b", F.spark_partition_id()), "ranges")
+    return _ranked(ranges, by, [sample])
+
+
 def stratified_split(rows: DataFrame, train: float, val: float, test: float, sample: str = "sample_id", label: str = "label", seed: int = 42) -> DataFrame:
     """L1: floor(n * train) and floor(n * val) of each class; the rest is test."""
     if min(train, val, test) < 0 or abs(train + val + test - 1) > 1e-8:
         raise ValueError("the shares must be 0 or more and add up to 1")
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    r = F.row_number().over(shuffled(sample, label, seed))
+    r, n = F.col("__r"), F.col("__n")
     a, b = F.floor(n * train), F.floor(n * val)
-    return rows.withColumn("split", F.when(r <= a, "train").when(r <= a + b, "val").otherwise("test"))
+    return placed(rows, [label], sample, seed).withColumn("split", F.when(r <= a, "train").when(r <= a + b, "val").otherwise("test")).drop("__r", "__n")
 
 
 def stratified_folds(rows: DataFrame, k: int, sample: str = "sample_id", label: str = "label", seed: int = 42) -> DataFrame:
     """L2: k buckets of each class; the first n % k get one row more."""
     if k < 3:
         raise ValueError("query, gallery and training need three folds at least")
-    return rows.withColumn("bucket", F.ntile(k).over(shuffled(sample, label, seed)) - 1)
+    r, size, more = F.col("__r") - 1, F.floor(F.col("__n") / k), F.col("__n") % k
+    long = more * (size + 1)  # rows of the buckets that have one more
+    bucket = F.when(r < long, F.floor(r / (size + 1))).otherwise(more + F.floor((r - long) / F.greatest(size, F.lit(1))))
+    return placed(rows, [label], sample, seed).withColumn("bucket", bucket.cast("int")).drop("__r", "__n")
 
 
 def fold_roles(rows: DataFrame, k: int, bucket: str = "bucket") -> DataFrame:
@@ -63,12 +102,15 @@ def subset_sizes(n: int, most: int | None, query: int, gallery: int) -> tuple[in
 
 def subset_split(rows: DataFrame, most: int | None, query: int, gallery: int, sample: str = "sample_id", seed: int = 42) -> DataFrame:
     """A sample of ``most`` rows as query, gallery and train.  Only ids are
-    ranked, and only the smallest hashes leave each task."""
+    ranked; of a small sample only the smallest hashes leave each task."""
     n = rows.count()
-    kept, q, g = subset_sizes(n, most, query, gallery)
-    ids = rows.select(sample, hashed(sample, seed).alias("__h")).orderBy("__h", sample).limit(kept)
-    r = F.row_number().over(Window.orderBy("__h", sample))
-    ids = ids.withColumn("__r", r).select(sample, F.when(F.col("__r") <= q, "query").when(F.col("__r") <= q + g, "gallery").otherwise("train").alias("split"))
+    most, q, g = subset_sizes(n, most, query, gallery)
+    if most <= FEW:
+        few = rows.select(sample, hashed(sample, seed).alias("__h")).orderBy("__h", sample).limit(most)
+        ids = few.withColumn("__r", F.row_number().over(Window.orderBy("__h", sample)))
+    else:
+        ids = placed(rows.select(sample), [], sample, seed).filter(F.col("__r") <= most)
+    ids = ids.select(sample, F.when(F.col("__r") <= q, "query").when(F.col("__r") <= q + g, "gallery").otherwise("train").alias("split"))
     return rows.join(ids, sample)
 
 
@@ -84,8 +126,8 @@ def first_rows(rows: DataFrame, n: int, sample: str = "sample_id") -> DataFrame:
 
 def split_manifest(rows: DataFrame, split: str = "split", sample: str = "sample_id", label: str = "label") -> DataFrame:
     """Position of each row in its split, by id."""
-    at = F.row_number().over(Window.partitionBy(split).orderBy(sample)) - 1
-    return rows.select(F.col(split).alias("split"), at.alias("split_position"), F.col(sample).alias("dataset_index"), F.col(label).alias("label"))
+    ids = positioned(rows.select(F.col(split).alias("split"), F.col(sample).alias("dataset_index"), F.col(label).alias("label")), ["split"], "dataset_index")
+    return ids.select("split", (F.col("__r") - 1).cast("int").alias("split_position"), "dataset_index", "label")
 
 
 def fold_manifest(roles: DataFrame, classes: DataFrame, k: int, label: str = "label") -> DataFrame:
