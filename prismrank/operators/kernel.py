@@ -74,17 +74,45 @@ def laplacian(a: np.ndarray, normalized: bool = True) -> np.ndarray:
     return 0.5 * (out + out.transpose(0, 2, 1))
 
 
-def fiedler(a: np.ndarray, normalized: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A5: eigenvalues and the eigenvector of the second smallest."""
+def trivial(a: np.ndarray, normalized: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The vector that every graph's Laplacian maps to zero, and the degrees."""
+    d = 0.5 * (a + a.transpose(0, 2, 1)).sum(2)
+    v = np.sqrt(np.maximum(d, 0)) if normalized else np.ones_like(d)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), d
+
+
+def spectrum(a: np.ndarray, normalized: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and eigenvectors of the Laplacian without its trivial one, from
+    the smallest: the first is the second smallest of all.  The trivial vector is
+    moved beyond the others, so that a graph that falls apart has vectors that
+    are orthogonal to it as well."""
     if a.shape[1] < 2:
         raise ValueError("a graph needs two bands at least")
-    values, vectors = np.linalg.eigh(laplacian(a, normalized))
-    return values, vectors[:, :, 1]
+    t, d = trivial(a, normalized)
+    beyond = 4.0 + 4.0 * d.max(1)[:, None, None]
+    values, vectors = np.linalg.eigh(laplacian(a, normalized) + beyond * t[:, :, None] * t[:, None, :])
+    return values[:, :-1], vectors[:, :, :-1]
+
+
+def fiedler(a: np.ndarray, normalized: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A5: all eigenvalues, and the eigenvector of the second smallest."""
+    values, vectors = spectrum(a, normalized)
+    t, _ = trivial(a, normalized)
+    return np.concatenate([np.einsum("ni,nij,nj->n", t, laplacian(a, normalized), t)[:, None], values], 1), vectors[:, :, 0]
+
+
+#: Eigenvalues that differ by less are one.
+EQUAL = 1e-6
 
 
 def fiedler_weights(a: np.ndarray, normalized: bool = True) -> np.ndarray:
-    """Magnitudes of the vector, to a sum of 1; its sign does not matter."""
-    v = np.abs(fiedler(a, normalized)[1])
+    """Magnitudes of the vector, to a sum of 1; its sign does not matter.
+    Where several vectors have the same eigenvalue, those of their plane (the
+    root of the diagonal of the projection on it), which no choice of vectors
+    changes."""
+    values, vectors = spectrum(a, normalized)
+    same = values - values[:, :1] < EQUAL
+    v = np.sqrt((vectors**2 * same[:, None, :]).sum(2))
     return v / np.maximum(v.sum(1, keepdims=True), 1e-12)
 
 
@@ -92,14 +120,11 @@ def fiedler_properties(a: np.ndarray, normalized: bool = True) -> dict[str, np.n
     """How well the vector meets its definition.  In the normalized case
     it is orthogonal to the roots of the degrees, not to a constant vector."""
     values, v = fiedler(a, normalized)
-    lap = laplacian(a, normalized)
-    d = 0.5 * (a + a.transpose(0, 2, 1)).sum(2)
-    trivial = np.sqrt(np.maximum(a.sum(2), 0)) if normalized else np.ones_like(d)
-    trivial = trivial / np.maximum(np.linalg.norm(trivial, axis=1, keepdims=True), 1e-12)
+    lap, (t, _) = laplacian(a, normalized), trivial(a, normalized)
     return {
         "lambda_1": values[:, 0], "lambda_2": values[:, 1], "gap": values[:, 2] - values[:, 1] if values.shape[1] > 2 else np.full(len(values), np.inf),
         "residual": np.linalg.norm(np.einsum("nij,nj->ni", lap, v) - values[:, 1:2] * v, axis=1),
-        "orthogonality": np.abs((trivial * v).sum(1)), "norm": np.linalg.norm(v, axis=1),
+        "orthogonality": np.abs((t * v).sum(1)), "norm": np.linalg.norm(v, axis=1),
     }
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismrank.functions import vectors as V
-from prismrank.operators import attribution, failure, graph, labels, pixels, ranking, report, stats
+from prismrank.operators import attribution, failure, graph, labels, pixels, ranking, report, resample, stats
 from prismrank.plans import fixtures as X
 from prismrank.plans import methods
+from prismrank.plans import spectral_sql as Q
 from prismrank.plans.registry import query
 from prismrank.plans.retrieval_queries import r6
 from prismrank.sources import dimensions, tables
@@ -154,6 +155,40 @@ def p21_token_pooling(spark: S, d: str) -> DataFrame:
     return r6(pixels.pool_tokens(t, 8, 4).select("sample_id", "oy", "ox", "value"))
 
 
+def _axis_sql(name: str, size: int, to: int, corners: bool) -> str:
+    """Weights (o, i, w) of one axis by the distance of input and output."""
+    at = f"o * {size - 1}.0 / {to - 1}" if corners else f"least(greatest((o + 0.5) * {size}.0 / {to} - 0.5, 0), {size - 1})"
+    return f"{name} AS (SELECT o, i, 1 - abs({at} - i) AS w FROM (SELECT unnest(range({to}))::INT AS o), (SELECT unnest(range({size}))::INT AS i) WHERE abs({at} - i) < 1)"
+
+
+GRID = X.SQL_V + ", px AS (SELECT sample_id, p // 8 AS y, p % 8 AS x, e[p + 1] AS val FROM v, (SELECT unnest(range(64))::INT AS p))"
+
+
+def _images(spark: S, d: str, height: int = 8, width: int = 8) -> DataFrame:
+    return X.vectors(spark, d).select("sample_id", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("vec").alias("cube"))
+
+
+@query("SELECT sample_id, (a.o * 12 + b.o)::INT AS pixel, round(sum(val * a.w * b.w), 6) AS value FROM px JOIN ax a ON a.i = y JOIN ax b ON b.i = x GROUP BY sample_id, a.o, b.o", GRID + ", " + _axis_sql("ax", 8, 12, True) + " ")
+def s6_resampled_patch(spark: S, d: str) -> DataFrame:
+    """Images of 8 x 8 to 12 x 12, corners on corners."""
+    return r6(resample.resampled(_images(spark, d), 12, corners=True).select("sample_id", F.posexplode("cube").alias("pixel", "value")))
+
+
+@query(
+    f", rs AS (SELECT sample_id, a.o * 14 + b.o AS pixel, sum(least(greatest(val, 0), 1) * a.w * b.w) AS val FROM px JOIN ax a ON a.i = y JOIN ax b ON b.i = x GROUP BY sample_id, a.o, b.o) SELECT sample_id, 0 AS band_pos, (k * 196 + pixel)::INT AS place, round((val - {list(resample.ENCODER_MEAN)}[k + 1]) / {list(resample.ENCODER_STD)}[k + 1], 6) AS value FROM rs, (SELECT unnest(range(3))::INT AS k)",
+    GRID + ", " + _axis_sql("ax", 8, 14, False),
+)
+def p5_encoder_input(spark: S, d: str) -> DataFrame:
+    """One band, clamped, 8 x 8 to 14 x 14, as three standardized channels."""
+    return r6(resample.for_encoder(_images(spark, d), 14).select("sample_id", "band_pos", F.posexplode("cube").alias("place", "value")))
+
+
+@query("SELECT sample_id, (k * 8 + p)::INT AS place, round(e[8 * [3, 2, 1][k + 1] + p + 1], 6) AS value FROM v, (SELECT unnest(range(3))::INT AS k), (SELECT unnest(range(8))::INT AS p)", X.SQL_V)
+def s14_rgb_bands(spark: S, d: str) -> DataFrame:
+    """Three bands of cubes of eight bands of 2 x 4."""
+    return r6(resample.select_bands(_images(spark, d, 2, 4)).select("sample_id", F.posexplode("cube").alias("place", "value")))
+
+
 @query(
     """, t AS (SELECT sample_id, i AS d, x[k + 1] AS val FROM (SELECT sample_id, i, e[1 + 8 * i : 8 + 8 * i] AS x FROM v, (SELECT unnest(range(8))::INT AS i)), (SELECT unnest(range(8))::INT AS k)),
  m AS (SELECT sample_id, d, avg(val) + max(val) AS z FROM t GROUP BY ALL) SELECT sample_id, d, round(z / sqrt(sum(z * z) OVER (PARTITION BY sample_id)), 6) AS value FROM m""",
@@ -481,13 +516,27 @@ def g21_band_importance(spark: S, d: str) -> DataFrame:
 # ---- methods ----------------------------------------------------------------------------
 
 
-@query(None)
+STAGED = Q.refined([(0.5, 0.01, 5)]) + """, wt AS (SELECT 0 AS config, sample_id, i, x, 1.0 AS w FROM b WHERE i IN (1, 2, 3) UNION ALL SELECT 1, sample_id, i, x, 1.0 FROM b UNION ALL SELECT 2, sample_id, i, x, w FROM cw UNION ALL SELECT 3, sample_id, i, x, fw.w FROM fw JOIN b USING (sample_id, i)),
+ wf AS (SELECT config, sample_id, list(y ORDER BY d) AS f FROM (SELECT config, sample_id, d, sum(w * x[d + 1]) AS y FROM wt, (SELECT unnest(range(8))::INT AS d) GROUP BY ALL) GROUP BY ALL), """ + Q.unit("(SELECT * FROM wf UNION ALL SELECT 4, sample_id, f FROM rf)", "st") + Q.quality("st") + """,
+ sm AS (SELECT config + 1 AS stage_order, ['selected', 'mean', 'affinity', 'fiedler', 'full'][config + 1] AS component, am.* EXCLUDE (config) FROM am)
+ SELECT stage_order::INT AS stage_order, component, num_queries, round(r_at_1, 6) AS r_at_1, round(r_at_5, 6) AS r_at_5, round(r_at_10, 6) AS r_at_10, round(map, 6) AS map,
+ round(r_at_1 - first(r_at_1) OVER o, 6) AS delta_r_at_1_vs_first, round(r_at_1 - coalesce(lag(r_at_1) OVER o, r_at_1), 6) AS incremental_delta_r_at_1, round(r_at_10 - first(r_at_10) OVER o, 6) AS delta_r_at_10_vs_first, round(r_at_10 - coalesce(lag(r_at_10) OVER o, r_at_10), 6) AS incremental_delta_r_at_10,
+ stage_order > 1 AND r_at_1 - coalesce(lag(r_at_1) OVER o, r_at_1) <= 0 AS redundant FROM sm WINDOW o AS (ORDER BY stage_order)"""
+
+
+@query(STAGED, Q.spectral())
 def g23_component_ablation(spark: S, d: str) -> DataFrame:
-    """G23, G17 over the five stages (the last two have eigenvectors)."""
+    """G23, G17 over the five stages."""
     return r6(methods.ablation(X.samples(spark, d), X.roles(spark, d)))
 
 
-@query(None)
+SWEPT = Q.refined([(0.3, 0.01, 5), (0.5, 0.01, 5), (1.0, 0.01, 5), (0.5, 0.01, 1), (0.5, 0.01, 5)]) + Q.quality("rf") + """,
+ ce(config, param, pos, value) AS (VALUES (0, 'sigma', 0, 0.3::DOUBLE), (1, 'sigma', 1, 0.5), (2, 'sigma', 2, 1.0), (3, 'num_steps', 0, 1.0), (4, 'num_steps', 1, 5.0)),
+ cs AS (SELECT *, row_number() OVER (PARTITION BY param ORDER BY r_at_1 DESC, pos) AS place, max(r_at_1) OVER (PARTITION BY param) - min(r_at_1) OVER (PARTITION BY param) AS spread, string_agg(value::VARCHAR, ', ') OVER (PARTITION BY param ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tested FROM ce JOIN am USING (config))
+ SELECT param, tested AS tested_values, value AS best_value, round(r_at_1, 2) AS best_r_at_1, round(r_at_10, 2) AS best_r_at_10, round(spread, 2) AS r_at_1_range, CASE WHEN spread < 1.5 THEN 'Yes' ELSE 'No' END AS robust FROM cs WHERE place = 1"""
+
+
+@query(SWEPT, Q.spectral((0.3, 0.5, 1.0)))
 def g18_parameter_sweep(spark: S, d: str) -> DataFrame:
     """Steps and sigma, one at a time."""
     return r6(report.sweep_summary(methods.sweep(X.samples(spark, d), X.roles(spark, d), {"sigma": [0.3, 0.5, 1.0], "num_steps": [1, 5]})))

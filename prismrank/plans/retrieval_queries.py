@@ -9,6 +9,7 @@ from prismrank.functions import vectors as V
 from prismrank.operators import graph, kernel, ranking, scoring, split
 from prismrank.plans import fixtures as X
 from prismrank.plans import methods, retrieval
+from prismrank.plans import spectral_sql as Q
 from prismrank.plans.registry import query
 
 S = SparkSession
@@ -240,47 +241,66 @@ def a24_affinity_diagnostics(spark: S, d: str) -> DataFrame:
     return r6(m.select("sample_id", error.alias("symmetry_error"), F.array_min(sums).alias("least_row_sum"), F.array_max(sums).alias("most_row_sum"), _variation(sums).alias("row_sum_cv")))
 
 
-@query(None)
+@query("SELECT sample_id, i AS band_pos, round(w, 4) AS weight, round(lambda_2, 4) AS lambda_2, round(lambda_3 - lambda_2, 4) AS gap FROM fw JOIN fl USING (sigma, sample_id)", Q.spectral(gap=True))
 def a6_fiedler_weights(spark: S, d: str) -> DataFrame:
-    """A5, A6, A7 (eigenvectors: NumPy tests)."""
+    """A5, A6, A7."""
     m = X.conditioned(spark, d).select("sample_id", graph.affinity("bands", "query").alias("affinity"))
+    s = kernel.spectra(m).select("sample_id", F.posexplode("weights").alias("band_pos", "weight"), "lambda_2", "gap")
+    return s.select("sample_id", "band_pos", *[F.round(c, 4).alias(c) for c in ("weight", "lambda_2", "gap")])
+
+
+@query("SELECT sample_id, true AS residual_is_zero, true AS orthogonal_to_root_degrees, true AS norm_is_one, true AS lambda_1_is_zero FROM v", X.SQL_V)
+def a7_fiedler_properties(spark: S, d: str) -> DataFrame:
+    """Every sample's certificate holds."""
+    m = X.conditioned(spark, d).select("sample_id", graph.affinity("bands", "query").alias("affinity"))
+    small = lambda c: F.abs(c) < 1e-9
     s = kernel.spectra(m)
-    return s.select("sample_id", F.round("lambda_2", 6).alias("lambda_2"), F.round("gap", 6).alias("gap"), F.transform("weights", lambda x: F.round(x, 6)).alias("weights"))
+    return s.select("sample_id", small(F.col("residual")).alias("residual_is_zero"), small(F.col("orthogonality")).alias("orthogonal_to_root_degrees"), small(F.col("norm") - 1).alias("norm_is_one"), small(F.col("lambda_1")).alias("lambda_1_is_zero"))
+
+
+ONE = [(0.5, 0.01, 5)]
 
 
-@query(None)
+@query(Q.refined(ONE) + " SELECT sample_id, steps::INT AS steps, i AS band_pos, round(w, 4) AS weight, round(last_loss, 5) AS final_loss FROM rw", Q.spectral())
 def a10_refined_weights(spark: S, d: str) -> DataFrame:
-    """A10, A13 (an optimizer: NumPy tests)."""
-    out = kernel.run(X.conditioned(spark, d), kernel.Config(k=3))
-    return out.select("sample_id", "steps", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"), F.round(F.element_at("losses", -1), 6).alias("final_loss"))
+    """A10, A13."""
+    out = kernel.run(X.conditioned(spark, d), kernel.Config(k=3)).select("sample_id", "steps", F.posexplode("weights").alias("band_pos", "weight"), F.element_at("losses", -1).alias("final_loss"))
+    return out.select("sample_id", "steps", "band_pos", F.round("weight", 4).alias("weight"), F.round("final_loss", 5).alias("final_loss"))
 
 
-@query(None)
+@query(", " + Q.unit("(SELECT 0 AS config, sample_id, list(y ORDER BY d) AS f FROM (SELECT sample_id, d, sum(w * x[d + 1]) AS y FROM fw JOIN b USING (sample_id, i), (SELECT unnest(range(8))::INT AS d) GROUP BY ALL) GROUP BY sample_id)", "ff") + " SELECT sample_id, (unnest(range(8)))::INT AS d, round(unnest(f), 5) AS v FROM ff", Q.spectral())
 def a14_fiedler_fusion(spark: S, d: str) -> DataFrame:
     """A14."""
-    return r6(methods.fused(X.conditioned(spark, d), "fiedler").select("sample_id", F.posexplode("vec").alias("d", "v")))
+    return methods.fused(X.conditioned(spark, d), "fiedler").select("sample_id", F.posexplode("vec").alias("d", "v")).withColumn("v", F.round("v", 5))
 
 
-@query(None)
+@query(
+    Q.refined(ONE, Q.SHARED_QUERY) + """ SELECT query_id, gallery_id, round(sim, 5) AS sim, rank::INT AS rank FROM (SELECT q.sample_id AS query_id, g.sample_id AS gallery_id, list_cosine_similarity(q.f, g.f) AS sim,
+ row_number() OVER (PARTITION BY q.sample_id ORDER BY list_cosine_similarity(q.f, g.f) DESC, g.sample_id) AS rank FROM rf q JOIN rf g ON q.sample_id % 5 = 0 AND g.sample_id % 5 <> 0) WHERE rank <= 5""",
+    Q.spectral(query=Q.SHARED_QUERY),
+)
 def a13_search(spark: S, d: str) -> DataFrame:
     """Fused with one query for all samples, then the five nearest."""
     shared = [float(x == 0) for x in range(X.WIDTH)]
     fused = retrieval.retrieve_batch(X.samples(spark, d).select("sample_id", "bands"), shared, kernel.Config(k=3))
-    return r6(retrieval.search(fused.filter("sample_id % 5 = 0"), fused.filter("sample_id % 5 <> 0"), 5))
+    found = retrieval.search(fused.filter("sample_id % 5 = 0"), fused.filter("sample_id % 5 <> 0"), 5)
+    return found.select("query_id", "gallery_id", F.round("sim", 5).alias("sim"), "rank")
+
+
+GRID = [(n, lr) for n in (3, 5, 7) for lr in (0.005, 0.01, 0.02)]
 
 
-@query(None)
+@query(Q.refined([(0.5, lr, n) for n, lr in GRID]) + " SELECT most AS num_steps, lr, round(avg(last_loss), 6) AS final_loss, round(avg((1 - last_loss / first_loss) * 100), 6) AS decrease_pct FROM rw JOIN cf USING (config) WHERE i = 0 GROUP BY ALL", Q.spectral())
 def a23_optimizer_grid(spark: S, d: str) -> DataFrame:
     """Final loss and decrease over a grid of steps and rates."""
-    grid = [(n, lr) for n in (3, 5, 7) for lr in (0.005, 0.01, 0.02)]
-    out = kernel.run(X.conditioned(spark, d), [kernel.Config(k=3, num_steps=n, lr=lr) for n, lr in grid])
+    out = kernel.run(X.conditioned(spark, d), [kernel.Config(k=3, num_steps=n, lr=lr) for n, lr in GRID])
     first, last = F.element_at("losses", 1), F.element_at("losses", -1)
-    steps, rate = (F.array(*[F.lit(g[k]) for g in grid]) for k in (0, 1))
+    steps, rate = (F.array(*[F.lit(g[k]) for g in GRID]) for k in (0, 1))
     out = out.select(F.get(steps, F.col("config")).alias("num_steps"), F.get(rate, F.col("config")).alias("lr"), last.alias("final_loss"), ((1 - last / first) * 100).alias("decrease_pct"))
     return r6(out.groupBy("num_steps", "lr").agg(F.avg("final_loss").alias("final_loss"), F.avg("decrease_pct").alias("decrease_pct")).orderBy("final_loss"))
 
 
-@query(None)
+@query(Q.refined(ONE) + Q.quality("rf") + " SELECT num_queries, round(r_at_1, 6) AS r_at_1, round(r_at_5, 6) AS r_at_5, round(r_at_10, 6) AS r_at_10, round(map, 6) AS map FROM am", Q.spectral())
 def a13_full_pipeline_quality(spark: S, d: str) -> DataFrame:
     """A13, A16, R9 (conditioned on the sample's own label)."""
     return r6(ranking.summary(methods.evaluate_method(X.samples(spark, d), X.roles(spark, d), "full")))

@@ -86,6 +86,24 @@ def test_fiedler_separates_two_clusters_and_meets_its_definition():
         assert np.allclose(kernel.fiedler_weights(m, normalized).sum(1), 1)
 
 
+def test_weights_of_a_graph_that_falls_apart_do_not_depend_on_the_solver():
+    """Three parts without a link: any vectors of the plane of zero could come
+    out; the weights are those of their projection."""
+    a = np.zeros((1, 7, 7))
+    for part in ([0, 1], [2, 3, 4], [5, 6]):
+        a[0, np.ix_(part, part)[0], np.ix_(part, part)[1]] = np.random.default_rng(len(part)).uniform(0.5, 1)
+    d = a[0].sum(1)
+    plane = np.stack([np.sqrt(d) * np.isin(np.arange(7), p) for p in ([0, 1], [2, 3, 4], [5, 6])], 1)
+    plane = plane / np.linalg.norm(plane, axis=0)
+    t = np.sqrt(d) / np.linalg.norm(np.sqrt(d))
+    w = np.sqrt(np.maximum((plane**2).sum(1) - t**2, 0))
+    assert np.allclose(kernel.fiedler_weights(a)[0], w / w.sum())
+    turned = np.random.default_rng(1).permutation(7)
+    assert np.allclose(kernel.fiedler_weights(a[:, turned][:, :, turned])[0], (w / w.sum())[turned])
+    p = kernel.fiedler_properties(a)
+    assert p["orthogonality"].max() < 1e-9 and p["gap"].max() < 1e-9 and p["lambda_2"].max() < 1e-9
+
+
 def slow_refine(e, w, c):
     """One sample, step by step, with numeric gradients of the plain loss."""
     x = np.log(np.maximum(w, 1e-8))
