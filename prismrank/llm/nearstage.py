@@ -30,7 +30,8 @@ fingerprint has 1024 bits, 128 positional bytes:
 
 The bits of few shingles say little, so pairs with a set of up to ``SHORT``
 shingles are not searched by bits: sets have a posting for each of the first
-hashes of which near sets must share one (the prefix filter), and meet unless
+hashes of which near sets must share one (the prefix filter; hashes that many
+sets hold come last, so that texts with a common opening do not meet by it), and meet unless
 bitmaps of their hashes prove that they differ in too many.  Both are lossless.
 
 What travels grows with the number of documents: a group of equal or very near
@@ -85,6 +86,9 @@ SHORT = 64
 BLOCK = 256
 #: First hashes of short sets that have a posting for the first groups.
 FIRST_HASHES = 4
+#: Short sets that hold a hash from which on it counts as frequent, and frequent
+#: hashes that are told apart.
+OFTEN, FREQUENT = 64, 1 << 16
 ROWS = "uid long, other long, doc long, w0 long, w1 long, w2 long, w3 long, fp binary, n int, short binary"
 POSTINGS = "posting long, uid long, label long, size long, w0 long, w1 long, w2 long, w3 long, n long"
 SHORT_POSTINGS = "posting long, uid long, label long, size long, s0 long, s1 long, s2 long, s3 long, n long"
@@ -150,15 +154,45 @@ def _postings(batches: Iterator[pa.RecordBatch], words: int, key_bytes: int, eve
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), *map(pa.array, cols)], names=["posting", "uid", "label", "size", *HEAD, "n"])
 
 
-def _short_postings(batches: Iterator[pa.RecordBatch], similarity: float, first: int | None = None) -> Iterator[pa.RecordBatch]:
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch["short"].to_pylist()), np.int64))], names=["h"])
+
+
+def frequent_hashes(one: DataFrame) -> np.ndarray:
+    """The most frequent hashes of the short sets, from the most frequent on:
+    those of at least ``OFTEN`` sets, at most ``FREQUENT``.  They order the
+    hashes of a set; any one order loses nothing, so the bound costs no pair."""
+    each = one.filter("short is not null").select("short").mapInArrow(_hashes, "h long")
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    return np.array([r.h for r in often.orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+
+
+class RareFirst:
+    """Hashes of a set from the rarest on: what is not frequent first, by hash."""
+
+    def __init__(self, frequent: np.ndarray) -> None:
+        order = np.argsort(frequent)
+        self.known, self.place = frequent[order], len(frequent) - order
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return h
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return h[np.lexsort((h, np.where(self.known[at] == h, self.place[at], 0)))]
+
+
+def _short_postings(batches: Iterator[pa.RecordBatch], similarity: float, first: int | None, rare_first: RareFirst) -> Iterator[pa.RecordBatch]:
     """Two sets that are near share one of the first n - ceil(n * similarity)
-    + 1 hashes of each; sets without hashes have the posting 0."""
+    + 1 hashes of each, in any order of all hashes: from the rarest on, so that
+    a common opening or line is not among them.  Sets without hashes have the
+    posting 0."""
     for batch in _slices(batches):
         keys, times, bits = [], [], np.zeros((batch.num_rows, 256), np.uint8)
         for k, x in enumerate(batch["short"]):
             h = np.frombuffer(x.as_py(), np.uint64)
             bits[k, (h & np.uint64(255)).astype(np.int64)] = 1
-            prefix = h[: len(h) - int(np.ceil(len(h) * similarity - 1e-9)) + 1][:first] if len(h) else np.zeros(1, np.uint64)
+            prefix = rare_first(h)[: len(h) - int(np.ceil(len(h) * similarity - 1e-9)) + 1][:first] if len(h) else np.zeros(1, np.uint64)
             keys.append(prefix)
             times.append(len(prefix))
         if not keys:
@@ -379,7 +413,7 @@ def _compare_blocks(asking: pa.Table, members: pa.Table, similarity: float) -> p
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def candidates(one: DataFrame, grouped: bool, similarity: float = SIMILARITY, words: int = WORDS, key_bytes: int = 2) -> tuple[DataFrame, DataFrame]:
+def candidates(one: DataFrame, grouped: bool, rare_first: RareFirst, similarity: float = SIMILARITY, words: int = WORDS, key_bytes: int = 2) -> tuple[DataFrame, DataFrame]:
     """Links u, v, size (see ``_meet``) among ``one`` (uid, label, size,
     words of HEAD, fp, n, short), by fingerprints and by short sets.  ``grouped``: all that meet
     across labels; else forests of those that meet."""
@@ -393,7 +427,7 @@ def candidates(one: DataFrame, grouped: bool, similarity: float = SIMILARITY, wo
     short = one.filter("short is not null").select("uid", "label", "size", "n", "short")
     return (
         met(large.mapInArrow(lambda it: _postings(it, words, key_bytes, every), POSTINGS), MEET_BITS),
-        met(short.mapInArrow(lambda it: _short_postings(it, similarity, first), SHORT_POSTINGS), float(similarity)),
+        met(short.mapInArrow(lambda it: _short_postings(it, similarity, first, rare_first), SHORT_POSTINGS), float(similarity)),
     )
 
 
@@ -440,7 +474,8 @@ def groups(rows: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: fl
     one = rows.select("uid", *HEAD, "fp", "n", "short").dropDuplicates(["uid"])
     ends = lambda df: df.select(F.col("u").alias("uid")).union(df.select("v"))
     alone = one.withColumns({"label": F.col("uid"), "size": F.lit(1).cast("long")})
-    by_bits, by_sets = candidates(alone, False, similarity, words, key_bytes)
+    rare_first = RareFirst(frequent_hashes(one))
+    by_bits, by_sets = candidates(alone, False, rare_first, similarity, words, key_bytes)
     links = materialize(tallied(by_bits.select("u", "v"), one, similarity, words).union(by_sets.select("u", "v")).distinct(), "links")
     first = materialize(verified(links, shingle_sets(ends(links), texts, width), similarity), "verified")
 
@@ -451,7 +486,7 @@ def groups(rows: DataFrame, texts: DataFrame, width: int = WIDTH, similarity: fl
     per = known.groupBy("label", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.sum("n").alias("size"), F.max_by("kind", F.struct("n", "kind")).alias("main"))
     known = broadcast_if_small(materialize(known.join(per, "label"), "sized"))
     labelled = one.join(known, "uid", "left").withColumns({"label": F.coalesce("label", "uid"), "size": F.coalesce("size", F.lit(1))})
-    by_bits, by_sets = (materialize(x, "met") for x in candidates(labelled, True, similarity, words, key_bytes))
+    by_bits, by_sets = (materialize(x, "met") for x in candidates(labelled, True, rare_first, similarity, words, key_bytes))
 
     # small families are listed: their members, and who meets them, are pairs
     small, large = F.col("size") <= SMALL, F.col("size") > SMALL

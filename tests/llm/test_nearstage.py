@@ -129,6 +129,39 @@ def test_short_texts_equal_brute_force(spark):
     assert sorted(r.doc_id for r in nearstage.keep_representatives(docs).collect()) == brute_force(texts)
 
 
+def test_short_texts_with_a_common_opening_do_not_meet_by_it():
+    """20,000 unlike short texts that share an opening: postings stay small."""
+    import pyarrow as pa
+
+    rng = random.Random(14)
+    opening = ["open%d" % i for i in range(9)]
+    sets = [nearstage.shingle_hashes([w.encode() for w in opening + ["w%d" % rng.randrange(10**7) for _ in range(rng.randint(8, 20))]], 5) for _ in range(20_000)]
+    n = pa.array([len(h) for h in sets], pa.int32())
+    batch = pa.RecordBatch.from_arrays([*[pa.array(range(len(sets)), pa.int64())] * 2, pa.array([1] * len(sets), pa.int64()), n, pa.array([h.tobytes() for h in sets], pa.binary())], names=["uid", "label", "size", "n", "short"])
+    hashes, count = np.unique(np.concatenate(sets), return_counts=True)
+    often = hashes[count >= nearstage.OFTEN]
+    assert len(often) == 5
+
+    def largest(frequent):
+        keys = np.concatenate([b["posting"].to_numpy() for b in nearstage._short_postings(iter([batch]), 0.8, None, nearstage.RareFirst(frequent))])
+        return np.unique(keys, return_counts=True)[1].max()
+
+    assert largest(np.zeros(0, np.uint64)) > 5000 and largest(often) <= 3
+
+
+def test_frequent_hashes_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(nearstage, "OFTEN", 6)
+    rng = random.Random(15)
+    words = ["w%d" % i for i in range(3000)]
+    texts = []
+    for i in range(300):
+        base = ["the", "same", "words", "open", "all", "of", "these"] + [rng.choice(words) for _ in range(rng.randint(2, 40))]
+        texts += [" ".join(x) for x in (base, [*base, "more"], edited(rng, base, 1))[: rng.randint(1, 3)]]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in nearstage.keep_representatives(docs).collect()) == brute_force(texts)
+
+
 @pytest.mark.parametrize("shared", [0, 150])
 def test_recall_at_the_threshold(spark, shared):
     """Pairs of texts of more than 64 shingles at 0.80 to 0.82, alone and with a
