@@ -18,6 +18,7 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import random
 import zlib
 from dataclasses import dataclass
@@ -139,9 +140,11 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit_rows(rows: list[tuple[str, str, int]], ridge: float = RIDGE, steps: int = 25) -> Model:
+@functools.lru_cache(maxsize=4)
+def fit_rows(rows: tuple[tuple[str, str, int], ...], ridge: float = RIDGE, steps: int = 25) -> Model:
     """Ridge logistic regression of (host, path, blocked) by Newton steps on
-    the kernel of the rows; the intercept is a constant feature."""
+    the kernel of the rows; the intercept is a constant feature.  The same rows
+    are not fitted again."""
     if not rows:
         return Model(np.zeros(BUCKETS), 0.0)
     sets = [buckets(h, p) for h, p, _ in rows]
@@ -175,7 +178,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     host, path = host_and_path(F.col("url"))
     some = labelled.filter("url is not null and blocked is not null").select(host.alias("host"), path.alias("path"), F.col("blocked").cast("int").alias("y"), F.xxhash64("url").alias("h"))
     found = some.orderBy("h", "host", "path", "y").limit(rows).collect()
-    return fit_rows([(r.host, r.path, r.y) for r in found])
+    return fit_rows(tuple((r.host, r.path, r.y) for r in found))
 
 
 def judge(pages: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:

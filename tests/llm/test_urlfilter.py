@@ -39,7 +39,7 @@ def test_digest_equals_brute_force(spark):
 
 def test_regression_judges_hosts_that_it_has_not_seen():
     """Other hosts of the same kind; and hosts that no rule made."""
-    model = urlfilter.fit_rows([(*cut(u), y) for u, y in urlfilter.labelled_urls(urlfilter.SEED_HOSTS, 11)])
+    model = urlfilter.fit_rows(tuple((*cut(u), y) for u, y in urlfilter.labelled_urls(urlfilter.SEED_HOSTS, 11)))
     seen = {cut(u)[0] for u, _ in urlfilter.labelled_urls(urlfilter.SEED_HOSTS, 11)}
     rows = [(*cut(u), y) for u, y in urlfilter.labelled_urls(2000, 99) if cut(u)[0] not in seen]
     p = np.array([model.probability(h, x) for h, x, _ in rows])
@@ -61,7 +61,7 @@ def test_share_of_neutral_and_junk_hosts_that_is_blocked(spark):
 
 def test_newton_reaches_the_optimum():
     rows = [("a.com", "/x", 1), ("b.com", "/y", 0), ("a.org", "/x", 1), ("b.org", "/", 0)]
-    m = urlfilter.fit_rows(rows, ridge=0.5)
+    m = urlfilter.fit_rows(tuple(rows), ridge=0.5)
     grad = np.zeros(urlfilter.BUCKETS)
     bias = 0.0
     for h, p, y in rows:
