@@ -198,7 +198,9 @@ def combinations(edges: np.ndarray, window: int, depth: int = DEPTH) -> np.ndarr
 
 def nnls(columns: np.ndarray, goal: np.ndarray, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Active-set non-negative least squares for a matrix whose column j counts
-    the classes columns[j].  Returns the columns in use and their values."""
+    the classes columns[j].  Returns the columns in use and their values.  After
+    ``rounds`` columns (more than the 348 classes could use) it stops with what it
+    has: a plan a little worse; what it leaves is packed greedily, like any rest."""
     n = len(goal)
     padded = np.where(columns < 0, n, columns)
 
