@@ -128,9 +128,15 @@ def p3_pca_moments(spark: S, d: str) -> DataFrame:
     return spark.createDataFrame([row], "n long, s_nir double, s_red double, nir_red double, nir_nir double, green_green double")
 
 
-@query(None)
+PIXEL_PCA = PIX + """, pu AS (SELECT avg(nir) AS a, avg(red) AS b, avg(green) AS c FROM px), pc AS (SELECT l_orderkey, l_linenumber, [nir - a, red - b, green - c] AS x FROM px, pu),
+ cv AS MATERIALIZED (SELECT 0 AS sigma, 0 AS sample_id, i, j, avg(x[i + 1] * x[j + 1]) AS a FROM pc, (SELECT unnest(range(3))::INT AS i), (SELECT unnest(range(3))::INT AS j) GROUP BY i, j), """ + Q.axes("cv", 3) + """,
+ ew AS (SELECT list(w ORDER BY k) AS w FROM (SELECT k, list(w ORDER BY i) AS w FROM ev GROUP BY k)), pp AS MATERIALIZED (SELECT l_orderkey, l_linenumber, list_dot_product(x, w[1]) AS p1, list_dot_product(x, w[2]) AS p2, list_dot_product(x, w[3]) AS p3 FROM pc, ew)
+ SELECT l_orderkey, l_linenumber, round(least(greatest((p1 - min(p1) OVER ()) / (max(p1) OVER () - min(p1) OVER () + 1e-6), 0), 1), 6) AS pc1, round(least(greatest((p2 - min(p2) OVER ()) / (max(p2) OVER () - min(p2) OVER () + 1e-6), 0), 1), 6) AS pc2, round(least(greatest((p3 - min(p3) OVER ()) / (max(p3) OVER () - min(p3) OVER () + 1e-6), 0), 1), 6) AS pc3 FROM pp"""
+
+
+@query("WITH " + PIXEL_PCA)
 def p4_pca_projection(spark: S, d: str) -> DataFrame:
-    """P3, P4, A11 (eigenvectors: NumPy tests)."""
+    """P3, P4, A11."""
     rows = _pixels(spark, d)
     state = pixels.fit_pca(rows, ["nir", "red", "green"])
     return r6(pixels.apply_pca(rows, state, ["nir", "red", "green"]).select("l_orderkey", "l_linenumber", "pc1", "pc2", "pc3"))
@@ -566,20 +572,45 @@ def r17_plain_baselines(spark: S, d: str) -> DataFrame:
     return r6(out)
 
 
-@query(None)
+FLAT_PCA = X.SQL_V + """, fx AS (SELECT sample_id, i, e[i + 1] AS x FROM v, (SELECT unnest(range(64))::INT AS i)),
+ fm AS (SELECT i, avg(x) AS m FROM fx WHERE sample_id % 5 IN (1, 2) GROUP BY i), fc AS (SELECT sample_id, i, x - m AS x FROM fx JOIN fm USING (i)),
+ cv AS MATERIALIZED (SELECT 0 AS sigma, 0 AS sample_id, a.i, b.i AS j, avg(a.x * b.x) AS a FROM fc a JOIN fc b ON a.sample_id = b.sample_id AND a.sample_id % 5 IN (1, 2) GROUP BY a.i, b.i), """ + Q.axes("cv", 3) + """,
+ pr AS (SELECT 0 AS config, sample_id, list(z ORDER BY k) AS f FROM (SELECT sample_id, k, sum(x * w) AS z FROM fc JOIN ev USING (i) WHERE sample_id % 5 < 3 GROUP BY ALL) GROUP BY sample_id), """ + Q.unit("pr", "pf") + Q.quality("pf")
+SUMMARY = " SELECT num_queries, round(r_at_1, 6) AS r_at_1, round(r_at_5, 6) AS r_at_5, round(r_at_10, 6) AS r_at_10, round(map, 6) AS map FROM am"
+
+
+@query(SUMMARY, FLAT_PCA)
 def a11_embedding_pca(spark: S, d: str) -> DataFrame:
     """Retrieval in three components of the flattened bands, fitted on the
-    gallery (eigenvectors: NumPy tests)."""
+    gallery."""
     return r6(ranking.summary(methods.evaluate_method(X.samples(spark, d), X.roles(spark, d), "pca")))
 
 
-@query(None)
+PROPAGATED = X.SQL_BANDS + """, s3 AS (SELECT 0 AS config, sample_id, list(y ORDER BY d) AS f FROM (SELECT sample_id, d, avg(x[d + 1]) AS y FROM b, (SELECT unnest(range(8))::INT AS d) WHERE i IN (1, 2, 3) GROUP BY ALL) GROUP BY sample_id), """ + Q.unit("s3", "sf") + """,
+ sl AS MATERIALIZED (SELECT sample_id, label, f FROM sf JOIN v USING (sample_id)),
+ ng AS MATERIALIZED (SELECT src_id, dst_id, s / (sum(s) OVER (PARTITION BY src_id) + 1e-6) AS weight FROM (SELECT x.sample_id AS src_id, y.sample_id AS dst_id, greatest(list_cosine_similarity(x.f, y.f), 0) AS s,
+   row_number() OVER (PARTITION BY x.sample_id ORDER BY greatest(list_cosine_similarity(x.f, y.f), 0) DESC, y.sample_id) AS k FROM sl x JOIN sl y ON x.sample_id % 5 IN (1, 2) AND y.sample_id % 5 IN (1, 2) AND x.sample_id <> y.sample_id) WHERE k <= 20),
+ dp AS MATERIALIZED (SELECT q.sample_id AS query_id, g.sample_id AS gallery_id, list_dot_product(q.f, g.f) AS sim, (q.label = g.label)::INT AS rel FROM sl q JOIN sl g ON q.sample_id % 5 = 0 AND g.sample_id % 5 IN (1, 2)),
+ sp AS (SELECT query_id, src_id AS gallery_id, sum(weight * sim) AS s FROM ng JOIN dp ON dp.gallery_id = ng.dst_id GROUP BY ALL),
+ rk AS (SELECT alpha, query_id, rel, row_number() OVER (PARTITION BY alpha, query_id ORDER BY (1 - alpha) * sim + alpha * s DESC, gallery_id) AS rank FROM dp JOIN sp USING (query_id, gallery_id), (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS alpha)),
+ rs AS (SELECT *, sum(rel) OVER (PARTITION BY alpha, query_id ORDER BY rank) AS seen FROM rk),
+ aq AS (SELECT alpha AS config, query_id, CASE WHEN sum(rel) > 0 THEN sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) / sum(rel) ELSE 0 END AS ap, max(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS h1, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS h5, max(CASE WHEN rank <= 10 THEN rel ELSE 0 END) AS h10 FROM rs GROUP BY ALL),
+ al AS (SELECT config, count(*) AS num_queries, avg(h1) * 100 AS r_at_1, avg(h5) * 100 AS r_at_5, avg(h10) * 100 AS r_at_10, avg(ap) * 100 AS map FROM aq GROUP BY config),
+ am AS (SELECT * FROM al ORDER BY round(r_at_1, 9) DESC, round(r_at_5, 9) DESC, round(map, 9) DESC, config LIMIT 1)"""
+
+
+@query(SUMMARY, PROPAGATED)
 def r17_propagation(spark: S, d: str) -> DataFrame:
-    """The propagation baseline with its best alpha (tests)."""
+    """The propagation baseline with its best alpha."""
     return r6(ranking.summary(methods.evaluate_method(X.samples(spark, d), X.roles(spark, d), "propagation")))
 
 
-@query(None)
+VOTED = X.SQL_BANDS + """, mf AS MATERIALIZED (SELECT sample_id, label, list(y ORDER BY d) AS f FROM (SELECT sample_id, label, d, avg(x[d + 1]) AS y FROM b, (SELECT unnest(range(8))::INT AS d) GROUP BY ALL) GROUP BY ALL),
+ vt AS (SELECT x.sample_id, y.label, sum(exp(-5.5 * (1 - list_cosine_similarity(x.f, y.f)))) AS votes FROM mf x JOIN mf y ON x.sample_id % 5 < 3 AND y.sample_id % 5 >= 3 GROUP BY ALL),
+ lo AS (SELECT 0 AS config, x.sample_id, list(list_cosine_similarity(x.f, c.q) + 20 * coalesce(votes, 0) ORDER BY c.label) AS f FROM mf x JOIN c ON x.sample_id % 5 < 3 LEFT JOIN vt ON vt.sample_id = x.sample_id AND vt.label = c.label GROUP BY x.sample_id), """ + Q.unit("lo", "lf2") + Q.quality("lf2")
+
+
+@query(SUMMARY, VOTED)
 def a18_vote_method(spark: S, d: str) -> DataFrame:
     """Retrieval in the space of vote logits."""
     return r6(ranking.summary(methods.evaluate_method(X.samples(spark, d), X.roles(spark, d), "vote")))

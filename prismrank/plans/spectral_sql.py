@@ -17,11 +17,11 @@ SHARED_QUERY = ", cq AS (SELECT DISTINCT label, [1.0, 0, 0, 0, 0, 0, 0, 0]::DOUB
 OWN_LABEL = ", cq AS (SELECT * FROM c)"
 
 
-def _dominant(source: str, name: str) -> list[str]:
+def _dominant(source: str, name: str, times: int = SQUARINGS) -> list[str]:
     """``name``: what is left of the matrices ``source`` (sigma, sample_id, i, j,
     a) when they are squared again and again, to a trace of 1."""
     out, last = [], source
-    for k in range(SQUARINGS):
+    for k in range(times):
         now = f"{name}{k}"
         out.append(
             f"{now} AS MATERIALIZED (SELECT sigma, sample_id, i, j, a / sum(a) FILTER (WHERE i = j) OVER (PARTITION BY sigma, sample_id) AS a FROM "
@@ -103,3 +103,18 @@ def quality(features: str) -> str:
  ps AS (SELECT *, sum(rel) OVER (PARTITION BY config, query_id ORDER BY rank) AS seen FROM pq),
  aq AS (SELECT config, query_id, CASE WHEN sum(rel) > 0 THEN sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) / sum(rel) ELSE 0 END AS ap, max(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS h1, max(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS h5, max(CASE WHEN rank <= 10 THEN rel ELSE 0 END) AS h10 FROM ps GROUP BY ALL),
  am AS (SELECT config, count(*) AS num_queries, avg(h1) * 100 AS r_at_1, avg(h5) * 100 AS r_at_5, avg(h10) * 100 AS r_at_10, avg(ap) * 100 AS map FROM aq GROUP BY config)"""
+
+
+def axes(source: str, components: int) -> str:
+    """``ev`` (k, i, w): the first eigenvectors of the covariance ``source``
+    (sigma, sample_id, i, j, a: one matrix), each with its largest coefficient
+    positive.  What a vector explains is taken off before the next one."""
+    out, last = [], source
+    for k in range(components):
+        vector = f"SELECT i, a / sqrt(d) AS w FROM y{k} JOIN (SELECT i AS top, a AS d FROM y{k} WHERE i = j ORDER BY a DESC, i LIMIT 1) ON j = top"
+        out += [*_dominant(last, f"y{k}", 16), f"e{k} AS MATERIALIZED ({vector})"]
+        rest = f"SELECT sigma, sample_id, x.i, x.j, x.a - (SELECT sum(z.a * p.a) FROM {last} z JOIN y{k} p USING (i, j)) * y.a AS a FROM {last} x JOIN y{k} y USING (sigma, sample_id, i, j)"
+        out.append(f"x{k} AS MATERIALIZED ({rest})")
+        last = f"x{k}"
+    listed = " UNION ALL ".join(f"SELECT {k} AS k, * FROM e{k}" for k in range(components))
+    return ", ".join(out) + f", ev AS MATERIALIZED ({listed})"

@@ -13,11 +13,12 @@ from prismrank.operators import ranking
 
 
 def score_stream(queries: DataFrame, gallery: DataFrame, path: str, checkpoint: str, k: int = 10, metric: str = "dot", once: bool = True) -> StreamingQuery:
-    """``queries``: a stream of query_id, query_vec, query_label.  Writes the
-    k best gallery rows of each to ``path``."""
+    """``queries``: a stream of query_id and query_vec.  Writes the k best gallery
+    rows of each (query_id, gallery_id, sim, rank) to ``path``: k rows a query
+    and shard leave a task, not one a pair."""
 
     def write(batch: DataFrame, number: int) -> None:
-        best = ranking.top(ranking.pairs(batch, gallery, metric), k)
+        best = ranking.top_blocks(batch, gallery, k, metric)
         best.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
