@@ -242,14 +242,19 @@ def pool_weights(size: int, to: int) -> list[tuple[int, int, float]]:
     return out
 
 
-def pool_tokens(tokens: DataFrame, size: int, to: int) -> DataFrame:
+def pool_tokens(tokens: DataFrame, size: int, to: int, unit: bool = False) -> DataFrame:
     """(sample_id, y, x, d, value) on a size x size grid to a to x to
-    grid.  The weight table has a few rows."""
+    grid; with ``unit`` each token to unit length.  The weight table has a few
+    rows."""
     spark = tokens.sparkSession
     axis = pool_weights(size, to)
     wy = F.broadcast(spark.createDataFrame(axis, "oy int, y int, wy double"))
     wx = F.broadcast(spark.createDataFrame(axis, "ox int, x int, wx double"))
-    return tokens.join(wy, "y").join(wx, "x").groupBy("sample_id", "oy", "ox", "d").agg(F.sum(F.col("value") * F.col("wy") * F.col("wx")).alias("value"))
+    pooled = tokens.join(wy, "y").join(wx, "x").groupBy("sample_id", "oy", "ox", "d").agg(F.sum(F.col("value") * F.col("wy") * F.col("wx")).alias("value"))
+    if not unit:
+        return pooled
+    n = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("sample_id", "oy", "ox")))  # a token's components
+    return pooled.withColumn("value", F.col("value") / F.greatest(n, F.lit(1e-12)))
 
 
 def descriptor(tokens: DataFrame) -> DataFrame:

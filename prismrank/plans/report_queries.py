@@ -174,14 +174,25 @@ def _images(spark: S, d: str, height: int = 8, width: int = 8) -> DataFrame:
     return X.vectors(spark, d).select("sample_id", F.lit(height).alias("height"), F.lit(width).alias("width"), F.col("vec").alias("cube"))
 
 
-@query("SELECT sample_id, (a.o * 12 + b.o)::INT AS pixel, round(sum(val * a.w * b.w), 6) AS value FROM px JOIN ax a ON a.i = y JOIN ax b ON b.i = x GROUP BY sample_id, a.o, b.o", GRID + ", " + _axis_sql("ax", 8, 12, True) + " ")
+TOKENS = X.SQL_V + ", tk AS (SELECT sample_id, p // 16 AS y, p // 4 % 4 AS x, p % 4 AS d, e[p + 1] AS val FROM v, (SELECT unnest(range(64))::INT AS p)), " + _axis_sql("ax", 4, 3, False)
+
+
+@query(", po AS (SELECT sample_id, a.o AS oy, b.o AS ox, d, sum(val * a.w * b.w) AS z FROM tk JOIN ax a ON a.i = y JOIN ax b ON b.i = x GROUP BY ALL) SELECT sample_id, oy, ox, d::INT AS d, round(z / greatest(sqrt(sum(z * z) OVER (PARTITION BY sample_id, oy, ox)), 1e-12), 6) + 0 AS value FROM po", TOKENS)
+def p21_pooled_unit_tokens(spark: S, d: str) -> DataFrame:
+    """4 x 4 tokens of four components to 3 x 3, each to unit length."""
+    t = X.vectors(spark, d).select("sample_id", F.posexplode("vec").alias("p", "value"))
+    t = t.select("sample_id", F.floor(F.col("p") / 16).cast("int").alias("y"), F.floor(F.col("p") / 4 % 4).cast("int").alias("x"), (F.col("p") % 4).alias("d"), "value")
+    return r6(pixels.pool_tokens(t, 4, 3, True).select("sample_id", "oy", "ox", "d", "value"))
+
+
+@query("SELECT sample_id, (a.o * 12 + b.o)::INT AS pixel, round(sum(val * a.w * b.w), 6) + 0 AS value FROM px JOIN ax a ON a.i = y JOIN ax b ON b.i = x GROUP BY sample_id, a.o, b.o", GRID + ", " + _axis_sql("ax", 8, 12, True) + " ")
 def s6_resampled_patch(spark: S, d: str) -> DataFrame:
     """Images of 8 x 8 to 12 x 12, corners on corners."""
     return r6(resample.resampled(_images(spark, d), 12, corners=True).select("sample_id", F.posexplode("cube").alias("pixel", "value")))
 
 
 @query(
-    f", rs AS (SELECT sample_id, a.o * 14 + b.o AS pixel, sum(least(greatest(val, 0), 1) * a.w * b.w) AS val FROM px JOIN ax a ON a.i = y JOIN ax b ON b.i = x GROUP BY sample_id, a.o, b.o) SELECT sample_id, 0 AS band_pos, (k * 196 + pixel)::INT AS place, round((val - {list(resample.ENCODER_MEAN)}[k + 1]) / {list(resample.ENCODER_STD)}[k + 1], 6) AS value FROM rs, (SELECT unnest(range(3))::INT AS k)",
+    f", rs AS (SELECT sample_id, a.o * 14 + b.o AS pixel, sum(least(greatest(val, 0), 1) * a.w * b.w) AS val FROM px JOIN ax a ON a.i = y JOIN ax b ON b.i = x GROUP BY sample_id, a.o, b.o) SELECT sample_id, 0 AS band_pos, (k * 196 + pixel)::INT AS place, round((val - {list(resample.ENCODER_MEAN)}[k + 1]) / {list(resample.ENCODER_STD)}[k + 1], 6) + 0 AS value FROM rs, (SELECT unnest(range(3))::INT AS k)",
     GRID + ", " + _axis_sql("ax", 8, 14, False),
 )
 def p5_encoder_input(spark: S, d: str) -> DataFrame:
@@ -189,7 +200,7 @@ def p5_encoder_input(spark: S, d: str) -> DataFrame:
     return r6(resample.for_encoder(_images(spark, d), 14).select("sample_id", "band_pos", F.posexplode("cube").alias("place", "value")))
 
 
-@query("SELECT sample_id, (k * 8 + p)::INT AS place, round(e[8 * [3, 2, 1][k + 1] + p + 1], 6) AS value FROM v, (SELECT unnest(range(3))::INT AS k), (SELECT unnest(range(8))::INT AS p)", X.SQL_V)
+@query("SELECT sample_id, (k * 8 + p)::INT AS place, round(e[8 * [3, 2, 1][k + 1] + p + 1], 6) + 0 AS value FROM v, (SELECT unnest(range(3))::INT AS k), (SELECT unnest(range(8))::INT AS p)", X.SQL_V)
 def s14_rgb_bands(spark: S, d: str) -> DataFrame:
     """Three bands of cubes of eight bands of 2 x 4."""
     return r6(resample.select_bands(_images(spark, d, 2, 4)).select("sample_id", F.posexplode("cube").alias("place", "value")))
@@ -548,7 +559,19 @@ def g18_parameter_sweep(spark: S, d: str) -> DataFrame:
     return r6(report.sweep_summary(methods.sweep(X.samples(spark, d), X.roles(spark, d), {"sigma": [0.3, 0.5, 1.0], "num_steps": [1, 5]})))
 
 
-@query(None)
+#: config: the fold, and 10 for each method; ``fr``: r_at_1 and map by method and fold.
+CROSS = Q.refined([(k, 0.01, 5) for k in range(5)]) + """, cb AS (SELECT sigma, sample_id FROM cw GROUP BY ALL),
+ wt AS (SELECT sigma::INT AS config, sample_id, i, x, 1.0 AS w FROM cb JOIN b USING (sample_id) UNION ALL SELECT sigma::INT + 10, sample_id, i, x, w FROM cw),
+ wf AS (SELECT config, sample_id, list(y ORDER BY d) AS f FROM (SELECT config, sample_id, d, sum(w * x[d + 1]) AS y FROM wt, (SELECT unnest(range(8))::INT AS d) GROUP BY ALL) GROUP BY ALL), """ + Q.unit("(SELECT * FROM wf UNION ALL SELECT config + 20, sample_id, f FROM rf)", "st") + """,
+ lf AS MATERIALIZED (SELECT config, config % 10 AS fold, sample_id, label, f FROM st JOIN v USING (sample_id)),
+ pq AS (SELECT q.config, q.sample_id AS query_id, (q.label = g.label)::INT AS rel, row_number() OVER (PARTITION BY q.config, q.sample_id ORDER BY list_dot_product(q.f, g.f) DESC, g.sample_id) AS rank FROM lf q JOIN lf g ON q.config = g.config AND q.sample_id % 5 = q.fold AND g.sample_id % 5 = (q.fold + 1) % 5),
+ pz AS (SELECT *, sum(rel) OVER (PARTITION BY config, query_id ORDER BY rank) AS seen FROM pq),
+ aq AS (SELECT config, query_id, CASE WHEN sum(rel) > 0 THEN sum(CASE WHEN rel = 1 THEN seen / rank ELSE 0 END) / sum(rel) ELSE 0 END AS ap, max(CASE WHEN rank <= 1 THEN rel ELSE 0 END) AS h1 FROM pz GROUP BY ALL),
+ fr AS (SELECT ['mean', 'affinity', 'full'][config // 10 + 1] AS method, config % 10 AS fold_id, avg(h1) * 100 AS r_at_1, avg(ap) * 100 AS map FROM aq GROUP BY config)
+ SELECT method, count(DISTINCT fold_id) AS num_folds, round(avg(r_at_1), 6) AS r_at_1_mean, round(coalesce(stddev_samp(r_at_1), 0), 6) AS r_at_1_std, printf('%.2f±%.2f', avg(r_at_1), coalesce(stddev_samp(r_at_1), 0)) AS r_at_1_mean_std, round(avg(map), 6) AS map_mean, round(coalesce(stddev_samp(map), 0), 6) AS map_std, printf('%.2f±%.2f', avg(map), coalesce(stddev_samp(map), 0)) AS map_mean_std FROM fr GROUP BY method"""
+
+
+@query(CROSS, Q.spectral(query=Q.FOLD_LABEL))
 def r17_cross_validation(spark: S, d: str) -> DataFrame:
     """Three methods over five folds."""
     folds = X.vectors(spark, d).select("sample_id", "label", (F.col("sample_id") % 5).cast("int").alias("bucket"))

@@ -241,12 +241,12 @@ def a24_affinity_diagnostics(spark: S, d: str) -> DataFrame:
     return r6(m.select("sample_id", error.alias("symmetry_error"), F.array_min(sums).alias("least_row_sum"), F.array_max(sums).alias("most_row_sum"), _variation(sums).alias("row_sum_cv")))
 
 
-@query("SELECT sample_id, i AS band_pos, round(w, 4) AS weight, round(lambda_2, 4) AS lambda_2, round(lambda_3 - lambda_2, 4) AS gap FROM fw JOIN fl USING (sigma, sample_id)", Q.spectral(gap=True))
+@query("SELECT sample_id, i AS band_pos, round(w, 4) AS weight, round(lambda_2, 4) + 0 AS lambda_2, round(lambda_3 - lambda_2, 4) + 0 AS gap FROM fw JOIN fl USING (sigma, sample_id)", Q.spectral(gap=True))
 def a6_fiedler_weights(spark: S, d: str) -> DataFrame:
     """A5, A6, A7."""
     m = X.conditioned(spark, d).select("sample_id", graph.affinity("bands", "query").alias("affinity"))
     s = kernel.spectra(m).select("sample_id", F.posexplode("weights").alias("band_pos", "weight"), "lambda_2", "gap")
-    return s.select("sample_id", "band_pos", *[F.round(c, 4).alias(c) for c in ("weight", "lambda_2", "gap")])
+    return s.select("sample_id", "band_pos", *[(F.round(c, 4) + 0.0).alias(c) for c in ("weight", "lambda_2", "gap")])  # no negative zero
 
 
 @query("SELECT sample_id, true AS residual_is_zero, true AS orthogonal_to_root_degrees, true AS norm_is_one, true AS lambda_1_is_zero FROM v", X.SQL_V)
@@ -268,14 +268,14 @@ def a10_refined_weights(spark: S, d: str) -> DataFrame:
     return out.select("sample_id", "steps", "band_pos", F.round("weight", 4).alias("weight"), F.round("final_loss", 5).alias("final_loss"))
 
 
-@query(", " + Q.unit("(SELECT 0 AS config, sample_id, list(y ORDER BY d) AS f FROM (SELECT sample_id, d, sum(w * x[d + 1]) AS y FROM fw JOIN b USING (sample_id, i), (SELECT unnest(range(8))::INT AS d) GROUP BY ALL) GROUP BY sample_id)", "ff") + " SELECT sample_id, (unnest(range(8)))::INT AS d, round(unnest(f), 5) AS v FROM ff", Q.spectral())
+@query(", " + Q.unit("(SELECT 0 AS config, sample_id, list(y ORDER BY d) AS f FROM (SELECT sample_id, d, sum(w * x[d + 1]) AS y FROM fw JOIN b USING (sample_id, i), (SELECT unnest(range(8))::INT AS d) GROUP BY ALL) GROUP BY sample_id)", "ff") + " SELECT sample_id, (unnest(range(8)))::INT AS d, round(unnest(f), 5) + 0 AS v FROM ff", Q.spectral())
 def a14_fiedler_fusion(spark: S, d: str) -> DataFrame:
     """A14."""
     return methods.fused(X.conditioned(spark, d), "fiedler").select("sample_id", F.posexplode("vec").alias("d", "v")).withColumn("v", F.round("v", 5))
 
 
 @query(
-    Q.refined(ONE, Q.SHARED_QUERY) + """ SELECT query_id, gallery_id, round(sim, 5) AS sim, rank::INT AS rank FROM (SELECT q.sample_id AS query_id, g.sample_id AS gallery_id, list_cosine_similarity(q.f, g.f) AS sim,
+    Q.refined(ONE) + """ SELECT query_id, gallery_id, round(sim, 5) AS sim, rank::INT AS rank FROM (SELECT q.sample_id AS query_id, g.sample_id AS gallery_id, list_cosine_similarity(q.f, g.f) AS sim,
  row_number() OVER (PARTITION BY q.sample_id ORDER BY list_cosine_similarity(q.f, g.f) DESC, g.sample_id) AS rank FROM rf q JOIN rf g ON q.sample_id % 5 = 0 AND g.sample_id % 5 <> 0) WHERE rank <= 5""",
     Q.spectral(query=Q.SHARED_QUERY),
 )

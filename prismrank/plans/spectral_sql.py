@@ -13,8 +13,11 @@ from prismrank.plans import fixtures as X
 
 SQUARINGS = 22
 #: One query for all samples instead of the label's centroid.
-SHARED_QUERY = ", cq AS (SELECT DISTINCT label, [1.0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS q FROM v)"
-OWN_LABEL = ", cq AS (SELECT * FROM c)"
+SHARED_QUERY = "cq AS (SELECT DISTINCT sigma, label, [1.0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS q FROM v, sg)"
+OWN_LABEL = "cq AS (SELECT sigma, label, q FROM c, sg)"
+#: The label's centroid in the training part of each of five folds (the key sigma);
+#: there a sample is a query in its own fold and in the gallery of the one before.
+FOLD_LABEL = """cq AS (SELECT sigma, label, list(m ORDER BY d) AS q FROM (SELECT sigma, label, d, avg(x[d + 1]) AS m FROM b, sg, (SELECT unnest(range(8))::INT AS d) WHERE sample_id % 5 NOT IN (sigma, (sigma + 1) % 5) GROUP BY ALL) GROUP BY ALL)"""
 
 
 def _dominant(source: str, name: str, times: int = SQUARINGS) -> list[str]:
@@ -33,10 +36,15 @@ def _dominant(source: str, name: str, times: int = SQUARINGS) -> list[str]:
 
 def spectral(sigmas: tuple[float, ...] = (0.5,), query: str = OWN_LABEL, gap: bool = False) -> str:
     """Tables ``fw`` (sigma, sample_id, i, w) of Fiedler weights and ``fl`` (sigma,
-    sample_id, lambda_2, and with ``gap`` lambda_3)."""
+    sample_id, lambda_2, and with ``gap`` lambda_3).  With ``FOLD_LABEL`` the key
+    sigma is the fold and the temperature 0.5."""
+    folds = query == FOLD_LABEL
+    keys = [(k, 0.5) for k in range(5)] if folds else [(x, x) for x in sigmas]
+    wanted = " WHERE sample_id % 5 IN (sigma, (sigma + 1) % 5)" if folds else ""
     steps = [
-        f"sg AS (SELECT unnest([{', '.join(map(str, sigmas))}])::DOUBLE AS sigma)",
-        "cw AS MATERIALIZED (SELECT sigma, sample_id, i, x, t / sum(t) OVER (PARTITION BY sigma, sample_id) AS w FROM (SELECT sigma, sample_id, i, x, exp(s - max(s) OVER (PARTITION BY sigma, sample_id)) AS t FROM (SELECT sigma, sample_id, i, x, list_cosine_similarity(x, q) / sigma AS s FROM b JOIN cq USING (label), sg)))",
+        f"sg(sigma, temperature) AS (VALUES {', '.join(f'({k}::DOUBLE, {t}::DOUBLE)' for k, t in keys)})",
+        query,
+        "cw AS MATERIALIZED (SELECT sigma, sample_id, i, x, t / sum(t) OVER (PARTITION BY sigma, sample_id) AS w FROM (SELECT sigma, sample_id, i, x, exp(s - max(s) OVER (PARTITION BY sigma, sample_id)) AS t FROM (SELECT sigma, sample_id, i, x, list_cosine_similarity(x, q) / temperature AS s FROM b JOIN cq USING (label) JOIN sg USING (sigma)" + wanted + ")))",
         "ra AS MATERIALIZED (SELECT y.sigma, y.sample_id, y.i, z.i AS j, greatest(list_cosine_similarity(y.x, z.x), 0) * y.w * z.w AS a FROM cw y JOIN cw z USING (sigma, sample_id))",
         "rd AS MATERIALIZED (SELECT sigma, sample_id, i, sum(a) + 1e-8 AS d FROM ra GROUP BY ALL)",
         "na AS MATERIALIZED (SELECT r.sigma, r.sample_id, r.i, r.j, r.a / sqrt(x.d * y.d) AS a FROM ra r JOIN rd x ON r.sigma = x.sigma AND r.sample_id = x.sample_id AND r.i = x.i JOIN rd y ON r.sigma = y.sigma AND r.sample_id = y.sample_id AND r.j = y.i)",
@@ -55,10 +63,10 @@ def spectral(sigmas: tuple[float, ...] = (0.5,), query: str = OWN_LABEL, gap: bo
         ]
     else:
         steps.append("fl AS (SELECT * FROM l2)")
-    return X.SQL_KNN + query + ", " + ", ".join(steps)
+    return X.SQL_KNN + ", " + ", ".join(steps)
 
 
-def refined(cells: list[tuple[float, float, int]], query: str = OWN_LABEL) -> str:
+def refined(cells: list[tuple[float, float, int]]) -> str:
     """``cells``: sigma, rate and steps of each config.  Tables ``rw`` (config,
     sample_id, i, x, w, steps, first_loss, last_loss) and ``rf`` (config,
     sample_id, f)."""

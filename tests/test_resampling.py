@@ -74,3 +74,14 @@ def test_bands_of_a_cube(spark):
         resample.select_bands(rows, (3, 5)).collect()
     each = resample.replicated(rows).orderBy("band_pos").collect()
     assert [r.cube for r in each] == [np.repeat(x[[b]], 3, 0).reshape(-1).tolist() for b in range(5)]
+
+
+def test_pooled_tokens_have_unit_length(spark):
+    from prismrank.operators import pixels
+
+    x = np.random.default_rng(6).normal(size=(14, 14, 5))
+    rows = spark.createDataFrame([(1, i, j, k, float(x[i, j, k])) for i in range(14) for j in range(14) for k in range(5)], "sample_id long, y int, x int, d int, value double")
+    got = {(r.oy, r.ox, r.d): r.value for r in pixels.pool_tokens(rows, 14, 4, True).collect()}
+    want = np.stack([by_hand(x[:, :, k], 4, 4, False) for k in range(5)], 2)
+    want = want / np.linalg.norm(want, axis=2, keepdims=True)
+    assert len(got) == 80 and all(got[i, j, k] == pytest.approx(want[i, j, k]) for i, j, k in got)
