@@ -48,7 +48,7 @@ def conditioned(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d).filter("sample_id % 5 >= 3").select("label", F.posexplode("vec").alias("p", "x"))
     dims = v.groupBy("label", (F.col("p") % WIDTH).alias("d")).agg(F.avg("x").alias("x"))
     centroid = dims.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("query"))
-    return samples(spark, d).join(F.broadcast(centroid), "label")
+    return samples(spark, d).join(centroid, "label")
 
 
 # ---- the same in SQL -----------------------------------------------------

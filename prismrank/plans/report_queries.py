@@ -260,9 +260,16 @@ def t2_paired_t_table(spark: S, d: str) -> DataFrame:
     return r6(stats.paired_t_table(_folds(spark, d), "A", ["r_at_1", "map"]).drop("p_value", "significant"))
 
 
-@query(None)
+#: The tail of t as a share of the integral of a power of the cosine.
+TAIL = X.SQL_PAIRS + """, tp AS (SELECT 'k' || k AS test, CASE k WHEN 1 THEN hit_at_1 WHEN 5 THEN hit_at_5 ELSE hit_at_10 END - ap AS dd FROM q, (SELECT unnest([1, 5, 10]) AS k)),
+ ts AS (SELECT test, count(*) AS n_pairs, avg(dd) AS mean_diff, avg(dd) / (stddev_samp(dd) / sqrt(count(*))) AS t_stat FROM tp GROUP BY test),
+ an AS (SELECT *, atan(abs(t_stat) / sqrt(n_pairs - 1)) AS low FROM ts), sx AS (SELECT (unnest(range(20000)) + 0.5) / 20000 AS g),
+ ta AS (SELECT test, any_value(n_pairs) AS n_pairs, any_value(mean_diff) AS mean_diff, any_value(t_stat) AS t_stat, sum((pi() / 2 - low) * cos(low + g * (pi() / 2 - low)) ** (n_pairs - 2)) / sum(pi() / 2 * cos(g * pi() / 2) ** (n_pairs - 2)) AS p FROM an, sx GROUP BY test)"""
+
+
+@query(" SELECT test, n_pairs, round(mean_diff, 6) AS mean_diff, round(t_stat, 6) AS t_stat, round(p, 6) AS p_value, round(least(p * count(*) OVER (), 1), 6) AS p_bonferroni FROM ta", TAIL)
 def t3_bonferroni(spark: S, d: str) -> DataFrame:
-    """T-3: p-values of per-query pairs, corrected (incomplete beta: tests)."""
+    """T-3: p-values of per-query pairs, corrected."""
     rows = ranking.evaluate_blocks(X.query_side(spark, d), X.gallery_side(spark, d))
     pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(f"k{a}").alias("test"), F.col(f"hit_at_{a}").alias("x"), F.col("ap").alias("y")) for a in (1, 5, 10)])).alias("s")).select("s.*")
     return r6(stats.bonferroni(stats.paired_t(pairs, "x", "y", ["test"])))
@@ -456,10 +463,11 @@ def g12_cloud_detector(spark: S, d: str) -> DataFrame:
 # ---- attribution -----------------------------------------------------------------------
 
 
-@query(None)
+@query(", bs AS (SELECT sample_id, i, cw.w * fw.w AS a FROM cw JOIN fw USING (sigma, sample_id, i)) SELECT sample_id, i AS band_pos, round((a - min(a) OVER o) / (max(a) OVER o - min(a) OVER o), 4) + 0 AS score FROM bs WINDOW o AS (PARTITION BY sample_id)", Q.spectral())
 def g7_band_attribution(spark: S, d: str) -> DataFrame:
-    """G7, P18 (spectral weights: NumPy tests)."""
-    return r6(attribution.attribute(X.conditioned(spark, d)).select("sample_id", F.posexplode("attribution").alias("band_pos", "score")))
+    """G7, P18."""
+    rows = attribution.attribute(X.conditioned(spark, d)).select("sample_id", F.posexplode("attribution").alias("band_pos", "score"))
+    return rows.withColumn("score", F.round("score", 4))
 
 
 AL = X.SQL_BANDS + ", mm AS (SELECT sample_id, label, i, (w - min(w) OVER o) / (max(w) OVER o - min(w) OVER o) AS a FROM w JOIN v USING (sample_id) WINDOW o AS (PARTITION BY sample_id)), pb AS (SELECT label, i AS band_pos, avg(a) AS mean, stddev_pop(a) AS std, count(*) AS n FROM mm GROUP BY label, i), bt AS (SELECT unnest(range(8))::INT AS band_pos, unnest(['B01', 'B02', 'B03', 'B04', 'B05', 'B06', 'B07', 'B08']) AS band, unnest(['Coastal/Aerosol', 'Visible (RGB)', 'Visible (RGB)', 'Visible (RGB)', 'Red-Edge', 'Red-Edge', 'Red-Edge', 'NIR']) AS g), gs AS (SELECT label, g, sum(mean) AS s, min(band_pos) AS p FROM pb JOIN bt USING (band_pos) GROUP BY label, g)"
