@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.SQL, "op6_secret_scan": secretscan.SQL, "op7_exact_top_k": topk.SQL, "op8_exact_dedup": exactdedup.SQL, "op9_repeated_passages": repeats.SQL, "op10_warc": warc.SQL, "op12_centroid_clustering": kmeans.SQL, "op13_vector_codes": codebooks.SQL}
+    return {"op5_source_mixing": mixing.SQL, "op6_secret_scan": secretscan.SQL, "op7_exact_top_k": topk.SQL, "op8_exact_dedup": exactdedup.SQL, "op9_repeated_passages": repeats.SQL, "op10_warc": warc.SQL, "op11_ngram_jaccard_join": setjoin.SQL, "op12_centroid_clustering": kmeans.SQL, "op13_vector_codes": codebooks.SQL}
