@@ -137,7 +137,8 @@ def evaluate_method(samples: DataFrame, roles: DataFrame, method: str, config: k
 def evaluate_features(features: DataFrame, roles: DataFrame, method: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Per-query rows of features (sample_id, vec) however they were made, for
     example by an encoder from images of three bands, of indices or of principal
-    components."""
+    components.  They are written once, as an encoder is costly."""
+    features = kept(features.select("sample_id", "vec"), "features")
     return ranking.evaluate_blocks(named(features, roles, "query"), named(features, roles, "gallery"), ks).withColumn("method", F.lit(method))
 
 

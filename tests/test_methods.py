@@ -77,6 +77,13 @@ def test_methods_equal_numpy(tables_):
         assert metrics(methods.evaluate_method(samples, roles, name, CONFIG)) == pytest.approx(quality(q, g)), name
 
 
+def test_features_from_elsewhere_are_evaluated_alike(tables_):
+    _, samples, roles, _ = tables_
+    made = samples.select("sample_id", graph.mean_fusion("bands").alias("vec"))
+    a, b = (ranking.summary(x).first() for x in (methods.evaluate_features(made, roles, "mean"), methods.evaluate_method(samples, roles, "mean")))
+    assert tuple(a) == tuple(b)
+
+
 def test_pca_of_flattened_bands_equals_numpy(tables_):
     _, samples, roles, side = tables_
     g = np.array([np.ravel(x) for _, _, x in side["gallery"]])
