@@ -382,8 +382,8 @@ def s16_cache_mismatches(spark: S, d: str) -> DataFrame:
 
 
 def _failures(spark: S, d: str) -> DataFrame:
-    rows = ranking.evaluate(X.query_side(spark, d), X.gallery_side(spark, d))
-    return failure.failures(rows, 5)
+    gallery = X.gallery_side(spark, d)
+    return failure.failures(ranking.with_top_label(ranking.evaluate_blocks(X.query_side(spark, d), gallery), gallery), 5)
 
 
 @query("SELECT query_id, query_label AS true_label, top1_label AS predicted_label, round(top1_score, 6) AS top1_score, first_hit_rank::INT AS first_hit_rank, round(ap, 6) AS average_precision FROM q WHERE first_hit_rank IS NULL OR first_hit_rank > 5", X.SQL_PAIRS)
