@@ -217,7 +217,9 @@ def stretch(pixels: DataFrame, value: str, by: list[str] | None = None, low: flo
     interpolated percentiles (see ``percentiles``); without it a sketch of
     bounded size."""
     if exact:
-        ends = percentiles(pixels, value, [low, high], by or [], held)
+        # written, so that their size is known and few of them do not make Spark
+        # sort the pixels by group
+        ends = kept(percentiles(pixels, value, [low, high], by or [], held), "ends")
     else:
         ends = pixels.groupBy(*(by or [])).agg(F.percentile_approx(value, [low, high], 100_000).alias("__q"))
     if by:
