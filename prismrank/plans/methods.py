@@ -122,13 +122,18 @@ def features_of(rows: DataFrame, method: str, train: DataFrame, gallery: DataFra
     return fused(wanted, "selected" if method == "propagation" else method, config)
 
 
-def evaluate_method(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config = kernel.Config(k=3), mode: str = "own_label", ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Per-query rows of one method over one fold.  Each side's features are
+def method_sides(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config, mode: str) -> list[DataFrame]:
+    """Queries and gallery of one method over one fold.  Each side's features are
     made from the samples of its role alone, and once."""
     check_methods([method])
     labelled = samples.join(roles.select("sample_id", "role"), "sample_id")
     of = {r: labelled.filter(F.col("role") == r).drop("role") for r in ("train", "query", "gallery")}
-    q, g = (named(features_of(of[r], method, of["train"], of["gallery"], config, mode), roles, r) for r in ("query", "gallery"))
+    return [named(features_of(of[r], method, of["train"], of["gallery"], config, mode), roles, r) for r in ("query", "gallery")]
+
+
+def evaluate_method(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config = kernel.Config(k=3), mode: str = "own_label", ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Per-query rows of one method over one fold."""
+    q, g = method_sides(samples, roles, method, config, mode)
     if method == "propagation":
         return propagation(q, g, ks=ks).withColumn("method", F.lit(method))
     return ranking.evaluate_blocks(q, g, ks, sizes=role_sizes(samples, roles)).withColumn("method", F.lit(method))
@@ -203,9 +208,9 @@ def ablation(samples: DataFrame, roles: DataFrame, config: kernel.Config = kerne
     return report.deltas(out, ["r_at_1", "r_at_10"])
 
 
-def sweep(samples: DataFrame, roles: DataFrame, grid: dict[str, list], base: kernel.Config = kernel.Config(k=3)) -> DataFrame:
+def sweep(samples: DataFrame, roles: DataFrame, grid: dict[str, list], base: kernel.Config = kernel.Config(k=3), ap: bool = True) -> DataFrame:
     """One parameter at a time; cells param_name, pos, param_value and
-    metrics."""
+    metrics (``ap``: with mAP, for which all rows are ranked)."""
     labelled = samples.join(roles.select("sample_id", "role"), "sample_id")
     train = labelled.filter("role = 'train'")
     cells = [(p, i, v) for p, values in grid.items() for i, v in enumerate(values)]
@@ -218,7 +223,11 @@ def sweep(samples: DataFrame, roles: DataFrame, grid: dict[str, list], base: ker
         return named(made.select("sample_id", "config", F.col("fused").alias("vec")), numbered, role, keys)
 
     # the cell is a key of one evaluation: each sample is fused once a cell
-    rows = ranking.evaluate_blocks(side("query"), side("gallery"), by=("config",), sizes=role_sizes(samples, roles))
+    sizes = role_sizes(samples, roles)
+    if ap:
+        rows = ranking.evaluate_blocks(side("query"), side("gallery"), by=("config",), sizes=sizes)
+    else:
+        rows = ranking.hits_blocks(side("query"), side("gallery"), by=("config",), rows=sizes[1])
     of = lambda k, kind: F.get(F.array(*[F.lit(c[k]).cast(kind) for c in cells]), F.col("config"))
     out = ranking.summary(rows, by=["config"])
     return out.withColumns({"param_name": of(0, "string"), "pos": of(1, "int"), "param_value": of(2, "double")}).drop("config")
@@ -229,10 +238,15 @@ def leave_one_band_out(samples: DataFrame, roles: DataFrame, bands: int, method:
     what the band adds to either (all bands minus without it), and its rank by
     R@10 (1: the band that matters most)."""
     kept = attribution.without_band(samples)
+    asked = role_sizes(samples, roles)[1]
     out = None
     for b in (None, *range(bands)):
         some = samples if b is None else kept.filter(F.col("dropped") == b).drop("dropped")
-        rows = ranking.summary(evaluate_method(some, roles, method, config), (1, 10)).select(F.lit(b).cast("int").alias("dropped"), "r_at_1", "r_at_10")
+        if method == "propagation":  # its alpha is chosen by AP as well
+            found = evaluate_method(some, roles, method, config)
+        else:
+            found = ranking.hits_blocks(*method_sides(some, roles, method, config, "own_label"), (1, 10), rows=asked)
+        rows = ranking.summary(found, (1, 10)).select(F.lit(b).cast("int").alias("dropped"), "r_at_1", "r_at_10")
         out = rows if out is None else out.unionByName(rows)
     whole = Window.orderBy(F.col("dropped").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row per band
     out = out.withColumns({f"delta_{m}": F.first(m).over(whole) - F.col(m) for m in ("r_at_1", "r_at_10")}).filter("dropped IS NOT NULL")
