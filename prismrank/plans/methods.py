@@ -157,9 +157,9 @@ def propagation(queries: DataFrame, gallery: DataFrame, alphas: tuple[float, ...
     return rows.filter(F.col("mix") == (best.alpha_pos if best else 0)).drop("mix", *unwanted)
 
 
-def evaluate_folds(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config = kernel.Config(k=3), ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+def evaluate_folds(samples: DataFrame, roles: DataFrame, method: str, config: kernel.Config = kernel.Config(k=3), ks: tuple[int, ...] = (1, 5, 10), folds: list[int] | None = None) -> DataFrame:
     """A stage or the index mean over all folds of ``roles`` (sample_id, label,
-    fold_id, role) as one plan."""
+    fold_id, role) as one plan; ``folds``: all values of fold_id, if known."""
     by = ("fold_id",)
     labelled = samples.join(roles.select("sample_id", "fold_id", "role"), "sample_id")
 
@@ -171,7 +171,7 @@ def evaluate_folds(samples: DataFrame, roles: DataFrame, method: str, config: ke
         made = fused(rows.withColumn("sample_id", F.struct("sample_id", "fold_id")), method, config)
         return named(made.select("sample_id.sample_id", "sample_id.fold_id", "vec"), roles, role, ("sample_id", "fold_id"))
 
-    rows = ranking.evaluate_blocks(side("query"), side("gallery"), ks, by=by, sizes=role_sizes(samples, roles, by))
+    rows = ranking.evaluate_blocks(side("query"), side("gallery"), ks, by=by, sizes=role_sizes(samples, roles, by), groups=tuple(folds or ()))
     return rows.withColumn("method", F.lit(method))
 
 
@@ -187,7 +187,7 @@ def cross_validate(samples: DataFrame, folds: DataFrame, k: int, methods: list[s
     out = None
     for m in methods:
         if m in (*STAGES, "index"):
-            found = [evaluate_folds(samples, roles, m, config)]
+            found = [evaluate_folds(samples, roles, m, config, folds=chosen)]
         else:
             found = [evaluate_method(samples, roles.filter(fold == f).drop("fold_id"), m, config).withColumn("fold_id", F.lit(f)) for f in chosen]
         for rows in found:
