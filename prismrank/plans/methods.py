@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,12 +201,17 @@ def fold_metrics(query_rows: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> Dat
 
 
 def ablation(samples: DataFrame, roles: DataFrame, config: kernel.Config = kernel.Config(k=3)) -> DataFrame:
-    """The five stages with their differences."""
-    out = None
-    for order, stage in enumerate(STAGES, 1):
-        rows = ranking.summary(evaluate_method(samples, roles, stage, config)).withColumns({"stage_order": F.lit(order), "component": F.lit(stage)})
-        out = rows if out is None else out.unionByName(rows)
-    return report.deltas(out, ["r_at_1", "r_at_10"])
+    """The five stages with their differences.  The stage is a key of one
+    evaluation, whose blocks the stages share."""
+    by, orders = "stage_order", tuple(range(1, len(STAGES) + 1))
+    sides = [[side.withColumn(by, F.lit(n)) for side in method_sides(samples, roles, stage, config, "own_label")] for n, stage in zip(orders, STAGES)]
+    queries, gallery = (reduce(DataFrame.unionByName, some) for some in zip(*sides))
+    rows = ranking.evaluate_blocks(queries, gallery, by=(by,), sizes=role_sizes(samples, roles), groups=orders)
+    found = ranking.summary(rows, by=[by])
+    stages = samples.sparkSession.range(1, len(STAGES) + 1).select(F.col("id").cast("int").alias(by), F.get(F.array(*map(F.lit, STAGES)), (F.col("id") - 1).cast("int")).alias("component"))
+    # a stage without queries has a row as well
+    out = stages.join(found, by, "left").withColumn("num_queries", F.coalesce("num_queries", F.lit(0)).cast("long"))
+    return report.deltas(out.select(*[c for c in found.columns if c != by], by, "component"), ["r_at_1", "r_at_10"])
 
 
 def sweep(samples: DataFrame, roles: DataFrame, grid: dict[str, list], base: kernel.Config = kernel.Config(k=3), ap: bool = True) -> DataFrame:

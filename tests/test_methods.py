@@ -158,6 +158,20 @@ def test_ablation_and_sweep_have_their_cells(tables_):
     assert cells["sigma", 1.0] == pytest.approx((want.r_at_1, want.map))
 
 
+def test_ablation_is_one_evaluation(tables_, monkeypatch):
+    """Its stages share the blocks, and one without queries has a row as well."""
+    _, samples, roles, _ = tables_
+    calls, evaluate = [], ranking.evaluate_blocks
+    monkeypatch.setattr(ranking, "evaluate_blocks", lambda *a, **k: calls.append(k) or evaluate(*a, **k))
+    stages = methods.ablation(samples, roles, CONFIG).orderBy("stage_order").collect()
+    assert [k["groups"] for k in calls] == [(1, 2, 3, 4, 5)]
+    for r in (stages[0], stages[4]):
+        want = ranking.summary(methods.evaluate_method(samples, roles, r.component, CONFIG)).first()
+        assert (r.num_queries, r.r_at_1, r.r_at_10, r.map) == pytest.approx((want.num_queries, want.r_at_1, want.r_at_10, want.map))
+    none = methods.ablation(samples, roles.filter("role <> 'query'"), CONFIG).orderBy("stage_order").collect()
+    assert [(r.component, r.num_queries, r.map) for r in none] == [(s, 0, None) for s in methods.STAGES]
+
+
 def test_more_steps_never_raise_the_loss(tables_, spark):
     """A23."""
     from prismrank.plans import retrieval_queries
